@@ -1,8 +1,9 @@
 """Registered queries of this subpackage, and their SQL where it can express them."""
 
-from agrolith.llm import mixing
+from agrolith.llm import language_id, mixing
 
 QUERIES = {
+    "op5_language_id": language_id.op5,
     "op8_mix_sources": mixing.op8,
 }
 ORACLES = {
