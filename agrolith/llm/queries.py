@@ -1,11 +1,13 @@
 """Registered queries of this subpackage, and their SQL where it can express them."""
 
-from agrolith.llm import language_id, mixing
+from agrolith.llm import exact_dedup, language_id, mixing
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2,
     "op5_language_id": language_id.op5,
     "op8_mix_sources": mixing.op8,
 }
 ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
