@@ -19,9 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm.shared import discard, documents, keep_ids, scratch, sized, stored
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from agrolith.llm.shared import documents, keep_ids, scratch, sized, stored
+
+#: Disk-backed state; change logs instead of whole snapshots, and no disk set aside for small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Staged rows are small; a micro-batch takes up to this many bytes of them.
 BATCH_BYTES = 256 << 20
 
@@ -50,15 +55,17 @@ def ledger(spark: SparkSession, staged: str, schema, state_dir: str) -> DataFram
     def log(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{state_dir}/changes/batch={batch}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         keyed.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{state_dir}/checkpoint").foreachBatch(log).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     kept = "digest string, length long, keeper struct<doc_id: bigint, locator: string>, n long, batch int"
     changes = spark.read.schema(kept).option("basePath", f"{state_dir}/changes").parquet(f"{state_dir}/changes")
     return changes.groupBy("digest", "length").agg(F.max("keeper").alias("keeper"), F.max("n").alias("n")).select("digest", "length", "keeper.doc_id", "keeper.locator", "n")
