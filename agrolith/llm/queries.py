@@ -1,8 +1,9 @@
 """Registered queries of this subpackage, and their SQL where it can express them."""
 
-from agrolith.llm import exact_dedup, language_id, minhash_dedup, mixing
+from agrolith.llm import exact_dedup, language_id, minhash_dedup, mixing, sentencepiece_codec
 
 QUERIES = {
+    "op4_sentencepiece": sentencepiece_codec.op4,
     "op7_minhash_dedup": minhash_dedup.op7,
     "op2_exact_dedup": exact_dedup.op2,
     "op5_language_id": language_id.op5,
