@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and their SQL where it can express them."""
 
-from agrolith.llm import exact_dedup, language_id, minhash_dedup, mixing, sentencepiece_codec, token_orc
+from agrolith.llm import exact_dedup, language_id, lm_score, minhash_dedup, mixing, sentencepiece_codec, token_orc
 
 QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_language_id": language_id.op5,
     "op8_mix_sources": mixing.op8,
     "op10_token_orc": token_orc.op10,
+    "op3_lm_score": lm_score.op3,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
