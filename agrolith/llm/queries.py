@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and their SQL where it can express them."""
 
-from agrolith.llm import exact_dedup, language_id, lm_score, minhash_dedup, mixing, sentencepiece_codec, token_orc
+from agrolith.llm import embedding_dedup, exact_dedup, language_id, lm_score, minhash_dedup, mixing, sentencepiece_codec, token_orc
 
 QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4,
@@ -10,8 +10,10 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op10_token_orc": token_orc.op10,
     "op3_lm_score": lm_score.op3,
+    "op6_embedding_dedup": embedding_dedup.op6,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op6_embedding_dedup": embedding_dedup.ORACLE,
 }
