@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and their SQL where it can express them."""
 
-from agrolith.llm import embedding_dedup, exact_dedup, language_id, lm_score, minhash_dedup, mixing, sentencepiece_codec, token_orc
+from agrolith.llm import embedding_dedup, exact_dedup, language_id, lm_score, minhash_dedup, mixing, quality, sentencepiece_codec, token_orc, url_filter
 
 QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4,
@@ -11,9 +11,12 @@ QUERIES = {
     "op10_token_orc": token_orc.op10,
     "op3_lm_score": lm_score.op3,
     "op6_embedding_dedup": embedding_dedup.op6,
+    "op9_quality": quality.op9,
+    "op1_url_filter": url_filter.op1,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op6_embedding_dedup": embedding_dedup.ORACLE,
+    "op1_url_filter": url_filter.ORACLE,
 }

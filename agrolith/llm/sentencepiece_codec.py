@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from agrolith.llm.shared import documents, sized, stored
 
 CHUNK = 32_768
+ROWS = 256
 SPACES = " ▁"
 #: No piece may hold it, so that what follows it is encoded as if it stood alone.
 APART = "\n"
@@ -194,11 +195,9 @@ def _one_chunk(spark: SparkSession, proto: bytes):
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sp = codec(shared.value).sp
-        for texts in batches:
-            out = []
-            for lo in range(0, len(texts), 256):
-                out.append(pa.array(sp.encode(pc.fill_null(texts[lo : lo + 256], "").to_pylist(), num_threads=1), pa.list_(pa.int32())))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        for texts in batches:  # results leave in small batches, so that few ids are held at once
+            for lo in range(0, len(texts), ROWS):
+                yield pa.array(sp.encode(pc.fill_null(texts[lo : lo + ROWS], "").to_pylist(), num_threads=1), pa.list_(pa.int32()))
 
     return encode
 
@@ -211,14 +210,19 @@ def decoder(spark: SparkSession, proto: bytes | None = None):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sp = codec(shared.value).sp
         for ids in batches:
-            out = []
-            for lo in range(0, len(ids), 256):
-                out += sp.decode([x or [] for x in ids[lo : lo + 256].to_pylist()], num_threads=1)
-            yield pa.array(out, pa.string())
+            for lo in range(0, len(ids), ROWS):
+                yield pa.array(sp.decode([x or [] for x in ids[lo : lo + ROWS].to_pylist()], num_threads=1), pa.string())
 
     return decode
 
 
+def _few(batches: Iterator[tuple[pa.Array, ...]], most: int = 16) -> Iterator[list[tuple]]:
+    """The rows of the batches, a few chunks at a time."""
+    for parts in batches:
+        for lo in range(0, len(parts[0]), most):
+            yield list(zip(*(p[lo : lo + most].to_pylist() for p in parts), strict=True))
+
+
 def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int) -> DataFrame:
     """Rows (giant, ids) of a stored table with the columns giant and ``text``."""
     spark = docs.sparkSession
@@ -228,8 +232,8 @@ def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int) -> DataFrame:
     @F.arrow_udf("string")
     def transfer(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         c = codec(shared.value)
-        for parts in batches:
-            yield pa.array([json.dumps(c.transfer(*row)) for row in zip(*(p.to_pylist() for p in parts), strict=True)], pa.string())
+        for rows in _few(batches):
+            yield pa.array([json.dumps(c.transfer(*row)) for row in rows], pa.string())
 
     @F.arrow_udf("array<array<int>>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -239,11 +243,8 @@ def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int) -> DataFrame:
     @F.arrow_udf("array<int>")
     def backtrace(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         c = codec(shared.value)
-        for parts in batches:
-            out = []
-            for text_, lo, hi, path in zip(*(p.to_pylist() for p in parts), strict=True):
-                out.append(c.backtrace(text_, lo, hi, (lo + path[0], lo + path[1]), (hi + path[2], hi + path[3])))
-            yield pa.array(out, pa.list_(pa.int32()))
+        for rows in _few(batches):
+            yield pa.array([c.backtrace(text_, lo, hi, (lo + path[0], lo + path[1]), (hi + path[2], hi + path[3])) for text_, lo, hi, path in rows], pa.list_(pa.int32()))
 
     n = F.length(text)
     cut = docs.select("giant", text, F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("k"))
@@ -283,19 +284,33 @@ def op4(spark, sf_dir: str) -> DataFrame:
     """Rows (doc_id, n_pieces, ids_crc32, round_trip): ids as little-endian 32-bit integers; round_trip: decoding gives the text."""
     proto = model_bytes()
     rows = encode(documents(spark, sf_dir), ["doc_id", "text"], proto=proto)
-    back = rows.select("doc_id", "text", "ids", decoder(spark, proto)("ids").alias("decoded"), ids_crc32()("ids").alias("ids_crc32"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    shared = spark.sparkContext.broadcast(proto)
+
+    @F.arrow_udf("struct<n_pieces: bigint, ids_crc32: bigint, round_trip: boolean>")
+    def digest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        sp = codec(shared.value).sp
+        for texts, ids in batches:
+            for lo in range(0, len(ids), ROWS):
+                given, lists = pc.fill_null(texts[lo : lo + ROWS], "").to_pylist(), ids[lo : lo + ROWS].to_pylist()
+                same = [a == b for a, b in zip(given, sp.decode(lists, num_threads=1), strict=True)]
+                yield pa.StructArray.from_arrays([pa.array(map(len, lists), pa.int64()), pa.array([crc(np.array(x, "<i4")) for x in lists], pa.int64()), pa.array(same)], ["n_pieces", "ids_crc32", "round_trip"])
+
+    return rows.select("doc_id", digest("text", "ids").alias("d")).select("doc_id", "d.*")
+
+
+def crc(ids: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(ids, "<i4"))
 
 
 def ids_crc32():
     """A function of a column of ids: the unsigned crc32 of them as little-endian 32-bit integers."""
 
     @F.arrow_udf("bigint")
-    def crc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def crcs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             column = pc.fill_null(column, [])
             at = column.offsets.to_numpy()
             flat = np.ascontiguousarray(column.values.to_numpy(zero_copy_only=False), dtype="<i4")
             yield pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
 
-    return crc
+    return crcs
