@@ -76,6 +76,23 @@ def _divisible(texts: list[str]) -> np.ndarray:
     return fine
 
 
+class _Pieces(dict):
+    """Numbers of pieces in the order in which they were first asked for; ``fresh`` are those not yet encoded."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+        self.seen = 0
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = self.add(piece)
+        return n
+
+    def add(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self.seen += 1
+        return self.seen - 1
+
+
 class Encoder:
     """Encodes texts with the library, each distinct piece between cuts once."""
 
@@ -84,57 +101,76 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([self.tokenizer.id_to_token(i).startswith("Ġ") for i in range(size)])
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.pieces = _Pieces()
         self.flat = np.zeros(1 << 16, np.int32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.used, self.pieces = 0, 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.pieces + len(ids) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        self.start[self.pieces + 1 : self.pieces + 1 + len(ids)] = self.used + np.cumsum(n)
-        self.known.update(zip(pieces, range(self.pieces, self.pieces + len(ids)), strict=True))
-        self.used += total
-        self.pieces += len(ids)
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = self.known = 0
+
+    def _append(self, which: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Give the pieces of these numbers their ids, of which they have ``n`` each."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[which] = self.used + np.cumsum(n) - n
+        self.size[which] = n
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Encode the fresh pieces. Those that begin with their only space are joined to one text, whose ids part
+        where one starts with a space."""
+        fresh = self.pieces.fresh
+        more = self.known + len(fresh) - len(self.begin)
+        if more > 0:
+            more = np.zeros(max(more, len(self.begin)), np.int64)
+            self.begin, self.size = np.concatenate([self.begin, more]), np.concatenate([self.size, more])
+        plain = np.array([len(p) > 1 and p[0] == " " and not p[-1].isspace() and p.rfind(" ") == 0 for p in fresh], bool)
+        joined, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        if len(joined):
+            ids = np.array(self.tokenizer.encode("".join(map(fresh.__getitem__, joined.tolist())), add_special_tokens=False).ids, np.int32)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) == len(joined) and first[0] == 0:
+                self._append(self.known + joined, ids, np.diff(np.append(first, len(ids))))
+            else:
+                rest = np.arange(len(fresh))
+        if len(rest):
+            each = [e.ids for e in self.tokenizer.encode_batch(list(map(fresh.__getitem__, rest.tolist())), add_special_tokens=False)]
+            n = np.fromiter(map(len, each), np.int64, len(each))
+            self._append(self.known + rest, np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())), n)
+        self.known += len(fresh)
+        fresh.clear()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text's ids begin."""
-        if self.pieces > CACHED:
+        if self.known > CACHED or self.used > 16 * CACHED:
             self._clear()
-        parts = []
+        numbers, n = [], []
+        get = self.pieces.__getitem__
         for t, fine in zip(texts, _divisible(texts).tolist(), strict=True):
             if fine:
                 for c in CUTS:
                     t = t.replace(c, "\0" + c)
-                parts.append(t.split("\0"))
-            else:
-                parts.append(None)
-        new = set(chain.from_iterable(p for p in parts if p)) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        whole = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, parts, strict=True) if p is None], add_special_tokens=False))
-        out, at, end = [], [0], np.array([END], np.int32)
-        for p in parts:
-            if p is None:
-                ids = np.array(next(whole).ids, np.int32)
+                p = t.split("\0")
+                numbers.append(np.fromiter(map(get, p), np.int64, len(p)))
             else:
-                which = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
-                lo = self.start[which]
-                n = self.start[which + 1] - lo
-                ends = np.cumsum(n)
-                ids = self.flat[np.arange(int(ends[-1])) + np.repeat(lo - ends + n, n)]
-            out += [ids, end]
-            at.append(at[-1] + len(ids) + 1)
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array(at, np.int64)
+                numbers.append(np.array([self.pieces.add(t)], np.int64))
+            n.append(len(numbers[-1]))
+        self._learn()
+        which = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        lo, size = self.begin[which], self.size[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        doc_ends = ends[np.cumsum(np.array(n, np.int64))] if n else np.zeros(0, np.int64)
+        at = np.concatenate([[0], doc_ends + np.arange(1, len(n) + 1)])
+        out = np.empty(int(at[-1]), np.int32)
+        is_end = np.zeros(len(out), bool)
+        is_end[at[1:] - 1] = True
+        out[is_end] = END
+        out[~is_end] = self.flat[np.arange(int(ends[-1])) + np.repeat(lo - ends[:-1], size)]
+        return out, at
 
 
 def encoder(spec: str) -> Encoder:
