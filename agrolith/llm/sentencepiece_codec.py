@@ -32,6 +32,7 @@ from agrolith.llm.shared import documents, sized, stored
 
 CHUNK = 32_768
 ROWS = 256
+ENCODED = "struct<ids: array<int>, ids_crc32: bigint, round_trip: boolean>"
 SPACES = " ▁"
 #: No piece may hold it, so that what follows it is encoded as if it stood alone.
 APART = "\n"
@@ -91,7 +92,7 @@ class Codec:
         if not a:
             return True
         if (a, b) not in self._stays:
-            if len(self._stays) > 500_000:
+            if len(self._stays) > 50_000:
                 self._stays.clear()
             self._stays[a, b] = self.raw(a + b) == self.ids(a) + self.ids(b)
         return self._stays[a, b]
@@ -181,6 +182,13 @@ def chain(matrices: list[list[list[int]]]) -> list[list[int]]:
     return out
 
 
+def _encoded(sp, texts: list[str], ids: list[list[int]], verify: bool) -> pa.Array:
+    none = [None] * len(ids)
+    crcs = [crc(np.array(x, "<i4")) for x in ids] if verify else none
+    same = [a == b for a, b in zip(texts, sp.decode(ids, num_threads=1), strict=True)] if verify else none
+    return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())], ["ids", "ids_crc32", "round_trip"])
+
+
 def codec(proto: bytes) -> Codec:
     key = zlib.crc32(proto)
     if key not in _models:
@@ -188,16 +196,17 @@ def codec(proto: bytes) -> Codec:
     return _models[key]
 
 
-def _one_chunk(spark: SparkSession, proto: bytes):
+def _one_chunk(spark: SparkSession, proto: bytes, verify: bool):
     """Ids of texts of one chunk each: from the start state to the end state there is one path, the encoder's."""
     shared = spark.sparkContext.broadcast(proto)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(ENCODED)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sp = codec(shared.value).sp
         for texts in batches:  # results leave in small batches, so that few ids are held at once
             for lo in range(0, len(texts), ROWS):
-                yield pa.array(sp.encode(pc.fill_null(texts[lo : lo + ROWS], "").to_pylist(), num_threads=1), pa.list_(pa.int32()))
+                given = pc.fill_null(texts[lo : lo + ROWS], "").to_pylist()
+                yield _encoded(sp, given, sp.encode(given, num_threads=1), verify)
 
     return encode
 
@@ -262,40 +271,34 @@ def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int) -> DataFrame:
     return done.groupBy("giant").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, columns: list[str] | None = None, text: str = "text", proto: bytes | None = None, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, columns: list[str] | None = None, text: str = "text", proto: bytes | None = None, chunk: int = CHUNK, verify: bool = False) -> DataFrame:
     """The ``columns`` of each row (doc_id by default) with ``ids``, its text's piece ids.
 
     Null and empty texts have no ids. The ids are those of the library for the whole text,
-    however long; ``columns`` may hold repeated rows and nulls but no column named ids. An
-    empty table gives no rows.
+    however long; ``columns`` may hold repeated rows and nulls but none of the names added. An
+    empty table gives no rows. verify: decode the ids again, and add ids_crc32 and round_trip,
+    which is false where a text holds what the model can't give back, as its sign for a space.
     """
     proto = proto or model_bytes()
     keep = columns or ["doc_id"]
+    added = ["ids", "ids_crc32", "round_trip"] if verify else ["ids"]
     value = F.coalesce(F.col(text), F.lit(""))
-    short = docs.where(F.length(value) <= chunk).select(*keep, _one_chunk(docs.sparkSession, proto)(value).alias("ids"))
-    giants = stored(docs.where(F.length(text) > chunk).select(*keep, F.concat(F.lit(" "), F.col(text)).alias("__text"), F.monotonically_increasing_id().alias("giant")), "pieces-giants")
+    short = docs.where(F.length(value) <= chunk).select(*keep, _one_chunk(docs.sparkSession, proto, verify)(value).alias("__e")).select(*keep, *[f"__e.{c}" for c in added])
+    giants = stored(docs.where(F.length(text) > chunk).select(*keep, F.concat(F.lit(" "), F.col(text)).alias("__text"), F.monotonically_increasing_id().alias("__giant")), "pieces-giants")
     if giants.isEmpty():
         return short
-    ids = _giants(giants.select("giant", "__text"), "__text", proto, chunk)
-    return short.unionByName(giants.drop("__text").join(ids, "giant").select(*keep, "ids"))
+    ids = _giants(giants.select(F.col("__giant").alias("giant"), "__text"), "__text", proto, chunk)
+    whole = giants.join(ids.withColumnRenamed("giant", "__giant"), "__giant")
+    if verify:
+        same = decoder(docs.sparkSession, proto)("ids") == F.substring("__text", 2, 1 << 30)
+        whole = whole.withColumn("round_trip", same).withColumn("ids_crc32", ids_crc32()("ids"))
+    return short.unionByName(whole.select(*keep, *added))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """Rows (doc_id, n_pieces, ids_crc32, round_trip): ids as little-endian 32-bit integers; round_trip: decoding gives the text."""
-    proto = model_bytes()
-    rows = encode(documents(spark, sf_dir), ["doc_id", "text"], proto=proto)
-    shared = spark.sparkContext.broadcast(proto)
-
-    @F.arrow_udf("struct<n_pieces: bigint, ids_crc32: bigint, round_trip: boolean>")
-    def digest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        sp = codec(shared.value).sp
-        for texts, ids in batches:
-            for lo in range(0, len(ids), ROWS):
-                given, lists = pc.fill_null(texts[lo : lo + ROWS], "").to_pylist(), ids[lo : lo + ROWS].to_pylist()
-                same = [a == b for a, b in zip(given, sp.decode(lists, num_threads=1), strict=True)]
-                yield pa.StructArray.from_arrays([pa.array(map(len, lists), pa.int64()), pa.array([crc(np.array(x, "<i4")) for x in lists], pa.int64()), pa.array(same)], ["n_pieces", "ids_crc32", "round_trip"])
-
-    return rows.select("doc_id", digest("text", "ids").alias("d")).select("doc_id", "d.*")
+    rows = encode(documents(spark, sf_dir), verify=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", "round_trip")
 
 
 def crc(ids: np.ndarray) -> int:
