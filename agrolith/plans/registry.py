@@ -27,5 +27,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by region; replaced as the domain queries arrive."""
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """State and national monthly rain departure as a ratio of area-weighted sums."""
+    return QUERIES["a08_ratio_of_sums"](spark, sf_dir)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from agrolith.plans import climate  # noqa: F401
+
+
+load()
