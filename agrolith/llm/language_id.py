@@ -89,7 +89,7 @@ class CrossParser:
         letters = sorted({c for t in joined.values() for c in t if c.isalpha()})[:250]
         self.symbol = {c: i + 3 for i, c in enumerate(letters)}
         self.width = len(letters) + 3
-        rows, self.roots, self.bits = [], [], []
+        rows, self.starts, self.bits = [], [], []
         base = 0
         for k in self.languages:
             symbols = [self.symbol.get(c, 1 if c.isalpha() else 0) for c in joined[k]]
@@ -106,7 +106,7 @@ class CrossParser:
             table[:, 1] = ~(dead * self.width)
             table[:, 2] = (base + np.arange(n + 1)) * self.width
             rows.append(table)
-            self.roots.append(base * self.width)
+            self.starts.append(dead * self.width)  # from there each symbol opens a phrase
             self.bits.append(math.log2(max(2, len(symbols))))
             base += n + 1
         self.table = np.concatenate(rows).astype(np.int32).ravel() if rows else np.zeros(0, np.int32)
@@ -141,8 +141,8 @@ class CrossParser:
             column = np.arange(SEGMENT, dtype=np.int64)[:, None]
             block = symbols[np.minimum(s[None, :] + column, len(symbols) - 1)]
             block[column >= n[None, :]] = 2
-            state = np.repeat(np.array(self.roots, np.int32), len(s)).reshape(len(self.roots), -1)
-            count = np.ones(state.shape, np.int32)
+            state = np.repeat(np.array(self.starts, np.int32), len(s)).reshape(len(self.starts), -1)
+            count = np.zeros(state.shape, np.int32)
             active = np.searchsorted(-n, -np.arange(SEGMENT), "left")  # texts longer than the column
             for i in range(SEGMENT):
                 m = active[i]
@@ -152,7 +152,7 @@ class CrossParser:
                 broke = to >> 31
                 count[:, :m] -= broke
                 state[:, :m] = to ^ broke
-            for k in range(len(self.roots)):
+            for k in range(len(self.starts)):
                 out[k] += np.bincount(owner[lo : lo + step][order], count[k], len(length)).astype(np.int64)
         return out
 
