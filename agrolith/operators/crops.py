@@ -51,7 +51,7 @@ def rabi_water(soil: Column, reference: Column, deviation: Column, irrigated: Co
     return clip(0.65 * short + 0.35 * F.coalesce(clip((reference - soil) / F.nullif(deviation, F.lit(0.0)) / 2.0, 0, 1), short), 0, 1)
 
 
-def stage_stress(panel: DataFrame) -> DataFrame:
+def stage_stress(panel: DataFrame, digits: int = 3) -> DataFrame:
     """Per district, crop, season year and stage: heat (worst month), water and index (means).
 
     panel: district_id, month, tmax_c, tmin_c, mai, departure, irrig, soil, soil_ref, soil_sd. The
@@ -67,7 +67,7 @@ def stage_stress(panel: DataFrame) -> DataFrame:
     x = x.withColumn("csi", F.coalesce(both, "water", "heat")).where("csi is not null")
     year = F.year("month") - F.when(rabi & (F.col("m") <= 4), 1).otherwise(0)
     gdd = days * clip((F.col("tmax_c") + F.col("tmin_c")) / 2 - F.col("t_base"), 0)
-    return x.groupBy("district_id", "crop", "season", year.alias("season_year"), "stage", "ky").agg(F.round(F.max("heat"), 3).alias("heat"), F.round(F.avg("water"), 3).alias("water"), F.round(F.avg("csi"), 3).alias("csi"), F.sum(gdd).alias("gdd"))
+    return x.groupBy("district_id", "crop", "season", year.alias("season_year"), "stage", "ky").agg(F.round(F.max("heat"), digits).alias("heat"), F.round(F.avg("water"), digits).alias("water"), F.round(F.avg("csi"), digits).alias("csi"), F.sum(gdd).alias("gdd"))
 
 
 def season_stress(stages: DataFrame) -> DataFrame:

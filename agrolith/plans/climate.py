@@ -32,10 +32,10 @@ def a03(spark, d):
     return monthly(spark, d).select("district_id", txt("month"), r4(F.col("rain_mm"), "rain_mm"), r4(F.col("tmax_c"), "tmax_c"), r4(F.col("tmin_c"), "tmin_c"), "days")
 
 
-@query("a01_named_aggregates", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 4) AS mean, max(c_acctbal) AS hi, min(c_acctbal) AS lo, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS nations FROM customer GROUP BY 1")
+@query("a01_named_aggregates", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 6) AS mean, max(c_acctbal) AS hi, min(c_acctbal) AS lo, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS nations FROM customer GROUP BY 1")
 def a01(spark, d):
     c = A.table(spark, d, "customer")
-    return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), r4(F.avg("c_acctbal"), "mean"), F.max("c_acctbal").alias("hi"), F.min("c_acctbal").alias("lo"), F.countDistinct("c_nationkey").alias("nations"))
+    return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.round(F.avg("c_acctbal"), 6).alias("mean"), F.max("c_acctbal").alias("hi"), F.min("c_acctbal").alias("lo"), F.countDistinct("c_nationkey").alias("nations"))
 
 
 @query("a02_sum_min_count", f"{with_(DAILY)} SELECT district_id, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, CASE WHEN count(rain_mm) >= 3 THEN round(sum(rain_mm), 4) END AS at_least_3, CASE WHEN count(rain_mm) >= 15 THEN round(sum(rain_mm), 4) END AS at_least_15, round(coalesce(sum(rain_mm), 0), 4) AS any_count FROM daily GROUP BY ALL")

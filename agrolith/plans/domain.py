@@ -125,13 +125,13 @@ ref AS (SELECT district_id, month(month) AS mm, avg(tmin_c) AS sr, stddev_samp(t
 panel AS (SELECT mo.district_id, mo.month, CAST(day(last_day(mo.month)) AS DOUBLE) AS days, tmax_c, tmin_c, CASE WHEN rain_mm IS NOT NULL AND tmax_c IS NOT NULL THEN least(greatest(rain_mm / (tmax_c * 8), 0), 1.5e0) END AS mai, CASE WHEN normal_mm >= 5 THEN (rain_mm - normal_mm) / normal_mm * 100 END AS dep, least(greatest(area / 100, 0), 1) AS irrig, sr, sd FROM monthly mo JOIN registry USING (district_id) LEFT JOIN normal n ON n.district_id = mo.district_id AND n.m = month(mo.month) LEFT JOIN ref ON ref.district_id = mo.district_id AND ref.mm = month(mo.month)),
 hw AS (SELECT panel.*, crop, season, stage, CAST(ky AS DOUBLE) AS ky, {_clip("days * (CASE WHEN tmax_c IS NOT NULL THEN greatest(tmax_c - upper, 0) END) / 90.0e0")} AS heat, CASE WHEN season = 'Rabi' THEN {_clip(f"0.65e0 * (1 - irrig) + 0.35e0 * coalesce({_clip('(sr - tmin_c) / nullif(sd, 0) / 2.0e0')}, 1 - irrig)")} ELSE {_clip(f"{_clip(f'0.75e0 * {RAW} + 0.25e0 * coalesce({_clip("-dep / 60.0e0")}, {RAW})')} * (1 - 0.55e0 * irrig)")} END AS water FROM panel JOIN cal ON cal.m = month(month)),
 c AS (SELECT *, coalesce(CASE WHEN season = 'Rabi' THEN 0.45e0 * water + 0.55e0 * heat ELSE 0.65e0 * water + 0.35e0 * heat END, water, heat) AS csi, CAST(year(month) - CASE WHEN season = 'Rabi' AND month(month) <= 4 THEN 1 ELSE 0 END AS INT) AS sy FROM hw),
-st AS (SELECT district_id, crop, season, sy, stage, ky, round(max(heat), 3) AS heat, round(avg(water), 3) AS water, round(avg(csi), 3) AS csi FROM c WHERE csi IS NOT NULL GROUP BY ALL),
+st AS (SELECT district_id, crop, season, sy, stage, ky, round(max(heat), 9) AS heat, round(avg(water), 9) AS water, round(avg(csi), 9) AS csi FROM c WHERE csi IS NOT NULL GROUP BY ALL),
 h AS (SELECT district_id, crop, season, sy, round(1 - product(1 - {_clip("ky * csi")}), 3) AS csi, round(1 - product(1 - least(greatest(ky, 0), 1)), 3) AS csi_max, count(DISTINCT stage) AS stages FROM st GROUP BY ALL)"""
 
 
 @query("d13_crop_stress", f"{with_(DAILY, MONTHLY, REGISTRY, NORMAL, CROPS)} SELECT district_id, crop, season, sy AS season_year, csi, round(csi_max, 3) AS csi_max, CAST(stages AS BIGINT) AS stages FROM (SELECT *, max(sy) OVER (PARTITION BY crop) AS latest FROM h) WHERE stages >= 4 OR sy >= latest")
 def d13(spark, d):
-    s = crops.season_stress(crops.stage_stress(crop_panel(spark, d)))
+    s = crops.season_stress(crops.stage_stress(crop_panel(spark, d), digits=9))
     return s.select("district_id", "crop", "season", "season_year", "csi", "csi_max", "stages")
 
 
