@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """Bounded value; NULL and NaN stay missing (greatest and least would skip a NULL)."""
-    y = x
+    """Bounded value; NULL and NaN become NULL (greatest and least would skip a NULL)."""
+    v = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    y = v
     if lo is not None:
         y = F.greatest(y, F.lit(float(lo)))
     if hi is not None:
         y = F.least(y, F.lit(float(hi)))
-    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")), y)
+    return F.when(v.isNotNull(), y)
 
 
 def percent_departure(actual: Column, normal: Column, floor: float = 5.0) -> Column:
