@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agrolith.llm.kernels import text_bytes
+from agrolith.llm.kernels import give_back, text_bytes
 from agrolith.llm.shared import crc32_mod, documents
 
 SAMPLE_DOCS = 32
@@ -31,7 +31,7 @@ SAMPLE_CHARS = 24_000
 #: Characters sampled of all languages together; with many languages each gets fewer.
 ALL_CHARS = 1_000_000
 SEGMENT = 256
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 UNKNOWN = "und"
 
 
@@ -218,6 +218,7 @@ def predicted(docs: DataFrame, model: CrossParser, text: str = "text") -> Column
                 parts.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang_pred", "score"]))
                 lo = hi
             yield pa.concat_arrays(parts)
+        give_back()
 
     return parse(F.col(text))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.kernels import grams, mix, text_bytes, word_hashes
+from agrolith.llm.kernels import give_back, grams, mix, text_bytes, word_hashes
 from agrolith.llm.shared import components, discard, documents, keep_ids, sized, stored
 
 SHINGLE = 5
@@ -114,6 +114,7 @@ def signature(text: Column) -> Column:
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()), mask=pa.array(n == 0))
                 parts.append(pa.StructArray.from_arrays([pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.array(n), bands], fields=list(kind)))
             yield pa.concat_arrays(parts)
+        give_back()
 
     return sign(text)
 
@@ -127,6 +128,7 @@ def set_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             values, at = shingle_sets(part)
             out += [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.array(out, pa.binary())
+    give_back()
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -147,6 +149,7 @@ def _linked(percent: int):
                 both = _shared(u, v)
                 out.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.array(out, pa.bool_())
+        give_back()
 
     return linked
 
@@ -184,6 +187,7 @@ def _tile_links(percent: int):
                         found.append({"a": x[i]["rep"], "b": y[j]["rep"]})
                 out.append(found)
             yield pa.array(out, kind)
+        give_back()
 
     return links
 

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agrolith.llm.kernels import give_back
 from agrolith.llm.shared import documents, sized, stored
 
 CHUNK = 32_768
@@ -207,6 +208,7 @@ def _one_chunk(spark: SparkSession, proto: bytes, verify: bool):
             for lo in range(0, len(texts), ROWS):
                 given = pc.fill_null(texts[lo : lo + ROWS], "").to_pylist()
                 yield _encoded(sp, given, sp.encode(given, num_threads=1), verify)
+        give_back()
 
     return encode
 
@@ -221,6 +223,7 @@ def decoder(spark: SparkSession, proto: bytes | None = None):
         for ids in batches:
             for lo in range(0, len(ids), ROWS):
                 yield pa.array(sp.decode([x or [] for x in ids[lo : lo + ROWS].to_pylist()], num_threads=1), pa.string())
+        give_back()
 
     return decode
 
@@ -232,6 +235,21 @@ def _few(batches: Iterator[tuple[pa.Array, ...]], most: int = 16) -> Iterator[li
             yield list(zip(*(p[lo : lo + most].to_pylist() for p in parts), strict=True))
 
 
+def _checks(spark: SparkSession, proto: bytes):
+    """A function of a giant's lattice text and ids: struct(ids_crc32, round_trip). One function, so that one worker a core serves a stage."""
+    shared = spark.sparkContext.broadcast(proto)
+
+    @F.arrow_udf("struct<ids_crc32: bigint, round_trip: boolean>")
+    def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        sp = codec(shared.value).sp
+        for rows in _few(batches):
+            done = [(crc(np.array(ids, "<i4")), sp.decode(ids) == text[1:]) for text, ids in rows]
+            yield pa.StructArray.from_arrays([pa.array([c for c, _ in done], pa.int64()), pa.array([r for _, r in done], pa.bool_())], ["ids_crc32", "round_trip"])
+        give_back()
+
+    return check
+
+
 def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int) -> DataFrame:
     """Rows (giant, ids) of a stored table with the columns giant and ``text``."""
     spark = docs.sparkSession
@@ -254,6 +272,7 @@ def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int) -> DataFrame:
         c = codec(shared.value)
         for rows in _few(batches):
             yield pa.array([c.backtrace(text_, lo, hi, (lo + path[0], lo + path[1]), (hi + path[2], hi + path[3])) for text_, lo, hi, path in rows], pa.list_(pa.int32()))
+        give_back()
 
     n = F.length(text)
     cut = docs.select("giant", text, F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("k"))
@@ -290,8 +309,7 @@ def encode(docs: DataFrame, columns: list[str] | None = None, text: str = "text"
     ids = _giants(giants.select(F.col("__giant").alias("giant"), "__text"), "__text", proto, chunk)
     whole = giants.join(ids.withColumnRenamed("giant", "__giant"), "__giant")
     if verify:
-        same = decoder(docs.sparkSession, proto)("ids") == F.substring("__text", 2, 1 << 30)
-        whole = whole.withColumn("round_trip", same).withColumn("ids_crc32", ids_crc32()("ids"))
+        whole = whole.withColumn("__e", _checks(docs.sparkSession, proto)("__text", "ids")).select("*", "__e.ids_crc32", "__e.round_trip")
     return short.unionByName(whole.select(*keep, *added))
 
 

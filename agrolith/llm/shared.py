@@ -13,7 +13,7 @@ BROADCAST_ROWS = 400_000
 _own_folder: dict[str, str] = {}
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Send Python at most ``rows`` rows at a time, as a row may hold a long text; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agrolith.llm.kernels import text_bytes
+from agrolith.llm.kernels import give_back, text_bytes
 from agrolith.llm.shared import documents, scratch
 
 END = 0
@@ -198,6 +198,7 @@ def write(docs: DataFrame, path: str, spec: str | None = None) -> None:
                 ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(at[:-1] + before), pa.array(np.diff(at)), ids], ["doc_id", "file_start", "n_tokens", "ids"])
                 before += int(at[-1])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
