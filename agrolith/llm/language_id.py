@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.llm.kernels import give_back, text_bytes
-from agrolith.llm.shared import crc32_mod, documents
+from agrolith.llm.shared import crc32_mod, documents, stored
 
 SAMPLE_DOCS = 32
 SAMPLE_CHARS = 24_000
@@ -186,10 +186,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     """Learn from documents with a lang that aren't held out, on the bounded sample above."""
     h = F.xxhash64("doc_id")
     chosen = docs.where("lang is not null and doc_id is not null").where(~held_out()).groupBy("lang", F.pmod(h, F.lit(sample_docs)).alias("slot")).agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(7))).alias("doc_id"))
-    ids = chosen.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(7)).alias("turn")).collect()  # sample_docs a language
+    chosen = stored(chosen.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(7)).alias("turn")), "language-sample")  # sample_docs a language
+    ids = chosen.collect()
     if not ids:
         return CrossParser({})
-    wanted = docs.sparkSession.createDataFrame([(r.doc_id,) for r in ids], "id long")
+    wanted = chosen.select(F.col("doc_id").alias("id"))
     texts = docs.join(F.broadcast(wanted), docs.doc_id == wanted.id, "left_semi").groupBy("doc_id", "lang").agg(F.max(F.substring("text", 1, sample_chars)).alias("text")).collect()
     found = {(r.lang, r.doc_id): r.text or "" for r in texts}
     n = len({r.lang for r in ids})
