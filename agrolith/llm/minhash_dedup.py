@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = members.where("rep <> first").where(_close("n", "first_n", percent)).select("first", "rep").distinct()
     wanted = stored(members.select("rep").distinct(), "minhash-compared")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(sized(wanted), "rep", "left_semi")
-    sets = stored(texts.select("rep", set_bytes("text").alias("shingles")).where("length(shingles) > 0"), "minhash-sets")
+    made = stored(texts.select("rep", set_bytes("text").alias("shingles")), "minhash-sets")
+    sets = made.where("length(shingles) > 0")  # after the write: a filter beside it would make each set twice, in a second worker
 
     a, b = sets.select(F.col("rep").alias("first"), F.col("shingles").alias("x")), sets.select("rep", F.col("shingles").alias("y"))
     links = pairs.join(b, "rep").join(a, "first").where(_linked(percent)("x", "y")).select(F.col("rep").alias("a"), F.col("first").alias("b"))
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = _within(left, open_keys, kinds, sets, percent)
         links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         comps = components(links, "minhash-components")
-    discard(sets, members)
+    discard(made, members)
 
     known = kinds.select("d1", "d2", "n", "rep", "copies").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = stored(known.where("copies > 1 or component is not null").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")), "minhash-known")
