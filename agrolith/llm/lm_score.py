@@ -6,11 +6,13 @@ and the last level found stands for the count. Unigrams and bigrams share one fi
 
 Building: tasks combine the n-grams of their documents, the counts of equal n-grams meet in
 parts of the hash range, and each part writes its own stretch of the filter: an n-gram's
-bits lie in one block of 512 bits, which its hash picks. Only finished stretches reach the
-driver, which broadcasts their sequence. The filter takes BITS bits for each stored pair and
-never more than MOST_BITS, the bound of what is broadcast (128 MB). A corpus whose pairs
-need more gets the least cutoff of CUTOFFS at which those of the n-grams that occur as
-often fit: the model of a larger corpus forgets its rarest n-grams rather than answer falsely.
+bits lie in one block of 512 bits, which its hash picks. The filter takes BITS bits for each
+stored pair, however many there are; no n-gram is left out. Only finished stretches reach the
+driver, which broadcasts windows of them, runs of parts of MOST_BITS at most (64 MB). A filter
+of one window is probed while the texts are read once. A larger one is probed window by window
+over the stored texts: each pass writes the levels of the n-grams that fall into its window,
+and the sum of a text's levels over all windows gives its score. So the windows' size
+decides the number of passes, but no score.
 
 Scores: P(w | v) = (c(v, w) + MU P(w)) / (c(v) + MU), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), with
 counts from the filter, c(v, w) at most c(v) and c(w). Each text ends with an end token,
@@ -22,7 +24,9 @@ HOT_WORDS at most, are looked up in a broadcast table; the counts of all others
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +39,9 @@ from agrolith.llm.language_id import held_out
 from agrolith.llm.shared import discard, documents, stored
 
 BASE = 1.3
-BITS = 8
-MOST_BITS = 1 << 30
-#: Least counts of an n-gram to be stored; the first whose pairs fit MOST_BITS is taken.
-CUTOFFS = (1, 2, 3, 5, 9, 17, 33, 65, 129, 257, 513, 1025)
+BITS = 12
+#: Bits of the filter that are broadcast at once.
+MOST_BITS = 1 << 29
 PROBES = 4
 BLOCK = 512
 MU = 500.0
@@ -66,11 +69,11 @@ def most_levels(n: int) -> int:
 
 
 class Filter:
-    """Bits of a blocked Bloom filter over (hash, level) pairs."""
+    """Bits of a blocked Bloom filter over (hash, level) pairs, or a window of its ``blocks`` from block ``lo`` on."""
 
-    def __init__(self, words: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, lo: int = 0, blocks: int | None = None) -> None:
         self.words = words  # uint64, eight a block
-        self.blocks = len(words) // 8
+        self.lo, self.blocks = lo, len(words) // 8 if blocks is None else blocks
 
     @staticmethod
     def places(h: np.ndarray, level: int | np.ndarray) -> Iterator[np.ndarray]:
@@ -83,10 +86,10 @@ class Filter:
         return ((h >> _U(32)) * _U(self.blocks)) >> _U(32)
 
     def level(self, h: np.ndarray, most: int) -> np.ndarray:
-        """The highest level such that it and all below are found."""
+        """The highest level such that it and all below are found; 0 outside the window."""
         out = np.zeros(len(h), np.int64)
-        left = np.arange(len(h))
-        at = self.block(h).astype(np.int64) * 8
+        at = (self.block(h).astype(np.int64) - self.lo) * 8
+        left = np.flatnonzero((at >= 0) & (at < len(self.words)))
         for j in range(1, most + 1):
             x, b = h[left], at[left]
             found = np.ones(len(left), bool)
@@ -222,20 +225,18 @@ def unpack(data: memoryview) -> tuple[np.ndarray, np.ndarray]:
     return h, n
 
 
-@F.arrow_udf(T.StructType([T.StructField("grams", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType()))]))
+@F.arrow_udf(T.StructType([T.StructField("grams", T.BinaryType()), T.StructField("pairs", T.LongType())]))
 def _sum_part(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """A part's n-grams with their counts summed, and the pairs to store for each of CUTOFFS."""
+    """A part's n-grams with their counts summed, and the number of pairs to store."""
     for column in batches:
         for blobs in column:
             pieces = [unpack(b.as_buffer()) for b in blobs.values]
             h, n = _summed(np.concatenate([x for x, _ in pieces]), np.concatenate([y for _, y in pieces]))
-            j = levels(n)
-            pairs = [int(j[n >= c].sum()) for c in CUTOFFS]
-            yield pa.StructArray.from_arrays([pa.array([pack(h, n)], pa.binary()), pa.array([pairs], pa.list_(pa.int64()))], ["grams", "pairs"])
+            yield pa.StructArray.from_arrays([pa.array([pack(h, n)], pa.binary()), pa.array([int(levels(n).sum())], pa.int64())], ["grams", "pairs"])
     give_back()
 
 
-def _write_filter(parts: int, bits: int, cutoff: int):
+def _write_filter(parts: int, bits: int):
     """A part's stretch of the filter, whose size is ``bits`` in all."""
     blocks = bits // BLOCK
 
@@ -244,53 +245,100 @@ def _write_filter(parts: int, bits: int, cutoff: int):
         for part, grams in batches:
             for p, blob in zip(part.to_pylist(), grams, strict=True):
                 h, n = unpack(blob.as_buffer())
-                kept = n >= cutoff
-                yield pa.array([stretch(h[kept], n[kept], blocks, p * blocks // parts, (p + 1) * blocks // parts).tobytes()], pa.binary())
+                yield pa.array([stretch(h, n, blocks, p * blocks // parts, (p + 1) * blocks // parts).tobytes()], pa.binary())
 
     return build
 
 
 class Model:
-    """What scoring needs on each worker: the filter and three numbers."""
+    """What scoring needs on each worker: the filter, or a window of it, and three numbers."""
 
-    def __init__(self, words: np.ndarray, n: int, v: int, mu: float = MU) -> None:
-        self.filter, self.n, self.v, self.mu = Filter(words), n, v, mu
+    def __init__(self, filter_: Filter, n: int, v: int, mu: float = MU) -> None:
+        self.filter, self.n, self.v, self.mu = filter_, n, v, mu
 
-    def score(self, t: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of each text's probability; its tokens begin at ``at`` and the last is END."""
-        if not len(t):
-            return np.zeros(0)
+    def levels(self, t: np.ndarray) -> np.ndarray:
+        """The levels of each token (first row) and of it with the one before it (second row)."""
         most = most_levels(self.n)
         own, back = np.unique(t, return_inverse=True)
-        count = typical(self.filter.level(mix(own), most))[back]
-        before = np.empty(len(t))
+        return np.stack([self.filter.level(mix(own), most)[back], self.filter.level(bigrams(t), most)]).astype(np.uint8)
+
+    def score(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 of each text's probability by the levels of its tokens, which begin at ``at``; the last is END."""
+        if not found.shape[1]:
+            return np.zeros(0)
+        count = typical(found[0].astype(np.int64))
+        before = np.empty(len(count))
         before[1:] = count[:-1]
-        before[at[:-1]] = typical(self.filter.level(mix(np.array([END])), most))[0]
-        pair = np.minimum(typical(self.filter.level(bigrams(t), most)), np.minimum(count, before))
+        before[at[:-1]] = count[-1]  # that of END
+        pair = np.minimum(typical(found[1].astype(np.int64)), np.minimum(count, before))
         base = (count + 0.5) / (self.n + 0.5 * (self.v + 1))
         return np.add.reduceat(np.log10((pair + self.mu * base) / (before + self.mu)), at[:-1])
 
 
-def fit(train: DataFrame, counts: DataFrame) -> Model:
+class Fitted:
+    """The stored stretches of a filter, of which windows are read."""
+
+    def __init__(self, made: DataFrame, parts: int, blocks: int, n: int, v: int) -> None:
+        self.made, self.parts, self.blocks, self.n, self.v = made, parts, blocks, n, v
+        each = max(1, MOST_BITS // BLOCK * parts // blocks)  # parts a window
+        self.windows = [(lo, min(parts, lo + each)) for lo in range(0, parts, each)]
+
+    def model(self, lo: int, hi: int) -> Model:
+        """The model with the window of parts lo to hi."""
+        each = self.blocks // self.parts * 8
+        words = np.zeros((hi - lo) * each, np.uint64)
+        for r in self.made.where(F.col("part").between(lo, hi - 1)).toLocalIterator():
+            at = (r["part"] - lo) * each
+            words[at : at + each] = np.frombuffer(r["bytes"], np.uint64)
+        return Model(Filter(words, lo * each // 8, self.blocks), self.n, self.v)
+
+
+def fit(train: DataFrame, counts: DataFrame) -> Fitted:
     """Build the filter of ``train`` (a column text); counts: its stored unigrams (h, n)."""
-    spark = train.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    parts = max(1, min(MOST_BITS // BLOCK, -(-2 * total.n // PART_GRAMS)))
+    parts = max(1, -(-2 * total.n // PART_GRAMS))
     gathered = train.select("text").mapInArrow(_count_grams(parts), "part int, grams binary").groupBy("part").agg(F.collect_list("grams").alias("grams"))
     grams = stored(gathered.select("part", _sum_part("grams").alias("s")).select("part", "s.*"), "lm-grams")
-    pairs = [r["n"] or 0 for r in grams.select([F.struct(F.sum(F.element_at("pairs", i + 1)).alias("n")).alias(f"c{i}") for i in range(len(CUTOFFS))]).first()]
-    cutoff, pairs = next(((c, n) for c, n in zip(CUTOFFS, pairs, strict=True) if n * BITS <= MOST_BITS), (CUTOFFS[-1], pairs[-1]))
+    pairs = grams.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
     unit = BLOCK * parts
-    bits = max(1, -(-min(MOST_BITS, max(pairs * BITS, 1 << 16)) // unit)) * unit
-    made = stored(grams.select("part", _write_filter(parts, bits, cutoff)("part", "grams").alias("bytes")), "lm-filter")
-    blocks = bits // BLOCK
-    words = np.zeros(blocks * 8, np.uint64)
-    for r in made.toLocalIterator():
-        lo = r["part"] * blocks // parts * 8
-        piece = np.frombuffer(r["bytes"], np.uint64)
-        words[lo : lo + len(piece)] = piece
-    discard(grams, made)
-    return Model(words, int(total.n), int(total.v), MU)
+    bits = max(1, -(-max(pairs * BITS, 1 << 16) // unit)) * unit
+    made = stored(grams.select("part", _write_filter(parts, bits)("part", "grams").alias("bytes")), "lm-filter")
+    discard(grams)
+    return Fitted(made, parts, bits // BLOCK, int(total.n), int(total.v))
+
+
+def _levels(m: Model, t: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The levels of each text, compressed: those of its tokens, then those of its bigrams."""
+    found = m.levels(t)
+    return pa.array([zlib.compress(found[:, a:b].tobytes(), 1) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def _level_pass(shared):
+    def levels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, _ = shared.value
+        for batch in batches:
+            for lo, part in _parts(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), _levels(m, *tokens(part))], ["row", "levels"])
+        give_back()
+
+    return levels_of
+
+
+def _score_levels(n: int, v: int):
+    """The score of a text by its levels in all windows; each n-gram has some in one window at most."""
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = Model(Filter(np.zeros(0, np.uint64)), n, v)
+        for column in batches:
+            out = []
+            for blobs in column:
+                found = sum(np.frombuffer(zlib.decompress(b.as_buffer()), np.uint8) for b in blobs.values).reshape(2, -1)
+                out.append(float(m.score(found, np.array([0, found.shape[1]]))[0]))
+            yield pa.array(out, pa.float64())
+        give_back()
+
+    return scored
 
 
 def score(docs: DataFrame, train_where=None) -> DataFrame:
@@ -305,7 +353,12 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     train = rows.where(~held_out(5)).select("text")
     counts = stored(train.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
-    model = fit(train, counts)
+    fitted = fit(train, counts)
+    model, once = fitted.model(*fitted.windows[0]), len(fitted.windows) == 1
+    if once:
+        discard(fitted.made)
+    else:  # rows keep their numbers over the passes
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
 
     # counts of powers of two, from which the least frequent of the hot words follows
     steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().orderBy(F.desc("e")).collect()
@@ -344,12 +397,31 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
                 times = np.diff(np.concatenate([first, [len(d)]])).astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(d[first], minlength=len(part)))]).astype(np.int32)
                 words = pa.StructArray.from_arrays([pa.array(h[first].view(np.int64)), pa.array(times)], fields=list(kind.value_type))
-                columns = [batch.column("doc_id").slice(lo, len(part)), pa.array(np.diff(at)), pa.array(n_hot), pa.array(base), pa.array(m.score(t, at)), pa.ListArray.from_arrays(pa.array(ends), words)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_hot", "base_hot", "score", "words"])
+                columns = [batch.column("doc_id").slice(lo, len(part)), pa.array(np.diff(at)), pa.array(n_hot), pa.array(base), pa.ListArray.from_arrays(pa.array(ends), words)]
+                names = ["doc_id", "n_tokens", "n_hot", "base_hot", "words"]
+                if once:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(m.score(m.levels(t), at))], [*names, "score"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, batch.column("row").slice(lo, len(part)), _levels(m, t, at)], [*names, "row", "levels"])
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = stored(rows.mapInArrow(pass_over, f"doc_id {kind}, n_tokens long, n_hot long, base_hot double, score double, words array<struct<h: long, k: int>>").withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    kind = f"doc_id {kind}, n_tokens long, n_hot long, base_hot double, words array<struct<h: long, k: int>>"
+    if once:
+        scored = stored(rows.mapInArrow(pass_over, f"{kind}, score double").withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    else:
+        scored = stored(rows.mapInArrow(pass_over, f"{kind}, row long, levels binary"), "lm-scored")
+        found = [scored.select("row", "levels")]
+        for window in fitted.windows[1:]:
+            shared.unpersist()
+            shared = spark.sparkContext.broadcast((fitted.model(*window), None))
+            found.append(stored(rows.select("row", "text").mapInArrow(_level_pass(shared), "row long, levels binary"), "lm-levels"))
+        shared.unpersist()
+        discard(fitted.made)
+        summed = reduce(DataFrame.union, found).groupBy("row").agg(F.collect_list("levels").alias("levels"))
+        scores = stored(summed.select("row", _score_levels(model.n, model.v)("levels").alias("score")), "lm-scores")
+        discard(rows, *found[1:])
+        scored = scored.drop("levels").join(scores, "row")
     words = scored.select("row", F.explode("words").alias("w")).select("row", "w.h", "w.k")
     met = words.join(counts.withColumnRenamed("n", "c"), "h", "left")
     c = F.coalesce("c", F.lit(0))

@@ -285,3 +285,15 @@ def test_token_files_hold_the_librarys_ids(spark, odd, nothing, documents, tmp_p
     assert [list(r["ids"]) for r in rows(token_orc.lookup(spark, path, 110))] == [[*tool.encode(documents[10], add_special_tokens=False).ids, 0]]
     token_orc.write(nothing, str(tmp_path / "none"))
     assert token_orc.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_lm_scores_do_not_depend_on_the_windows_of_the_filter(monkeypatch, spark, odd, documents):
+    table = spark.createDataFrame([*documents.items()], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+
+    def scores():
+        return sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in rows(lm_score.score(table)))
+
+    monkeypatch.setattr(lm_score, "PART_GRAMS", 1 << 14)
+    whole = scores()
+    monkeypatch.setattr(lm_score, "MOST_BITS", 1 << 18)
+    assert scores() == whole
