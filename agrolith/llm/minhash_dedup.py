@@ -3,7 +3,8 @@
 Each permutation gives two signature values, the least and the greatest hash of the set, so
 that PERMUTATIONS hash evaluations make a signature of twice that length. BANDS bands of
 ROWS values each become bucket keys; a pair with a similarity of 0.85 shares no bucket with
-a chance under 1e-6.
+a chance under 1e-6. Lower thresholds take WIDE bands: 30 of 4, which a pair of 0.80 misses with a
+chance under 1e-6.
 
 1. Documents with equal sets form a class at once; its least doc_id stands for it.
 2. In each bucket, all are compared with the bucket's least doc_id, on whole sets. The links
@@ -33,6 +34,8 @@ from agrolith.llm.shared import components, discard, documents, keep_ids, sized,
 
 SHINGLE = 5
 PERMUTATIONS, BANDS, ROWS = 60, 24, 5
+#: Bands and values in each for thresholds below PERCENT.
+WIDE = (30, 4)
 PERCENT = 85
 TILE = 64
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -63,7 +66,7 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum(n)
 
 
-def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(values: np.ndarray, at: np.ndarray, cut: tuple[int, int] = (BANDS, ROWS)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of non-empty sets: two digests of the set and its band keys."""
     begins = at[:-1]
     m = mix(values)
@@ -76,11 +79,12 @@ def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
         low[p] = np.minimum.reduceat(v, begins)
         high[p] = np.maximum.reduceat(v, begins)
     both = np.concatenate([low, high])
-    bands = np.empty((len(begins), BANDS), np.uint64)
-    for b in range(BANDS):
+    n_bands, n_rows = cut
+    bands = np.empty((len(begins), n_bands), np.uint64)
+    for b in range(n_bands):
         key = np.full(len(begins), b + 1, np.uint64)
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + both[b * ROWS + r])
+        for r in range(n_rows):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + both[b * n_rows + r])
         bands[:, b] = key
     return d1, d2, bands
 
@@ -94,7 +98,7 @@ def _runs(column: pa.Array, most: int) -> Iterator[pa.Array]:
         lo = hi
 
 
-def signature(text: Column) -> Column:
+def signature(text: Column, cut: tuple[int, int] = (BANDS, ROWS)) -> Column:
     """struct(d1, d2, n, bands) of a text; n is the size of its set, bands are null if it is 0."""
 
     @F.arrow_udf(_SIGNATURE)
@@ -107,10 +111,10 @@ def signature(text: Column) -> Column:
                 n = np.diff(at)
                 some = np.flatnonzero(n)
                 d = np.zeros((2, len(part)), np.uint64)
-                keys = np.zeros((0, BANDS), np.uint64)
+                keys = np.zeros((0, cut[0]), np.uint64)
                 if len(some):
-                    d[0, some], d[1, some], keys = signatures(values, np.concatenate([at[some], at[-1:]]))
-                ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
+                    d[0, some], d[1, some], keys = signatures(values, np.concatenate([at[some], at[-1:]]), cut)
+                ends = np.concatenate([[0], np.cumsum((n > 0) * cut[0])]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()), mask=pa.array(n == 0))
                 parts.append(pa.StructArray.from_arrays([pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.array(n), bands], fields=list(kind)))
             yield pa.concat_arrays(parts)
@@ -205,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows that repeat a doc_id are one document in the links. An empty table gives no rows.
     Other columns, whatever their names, are ignored.
     """
-    sig = stored(docs.select("doc_id", signature(F.col("text")).alias("s")).select("doc_id", "s.*"), "minhash-signatures")
+    sig = stored(docs.select("doc_id", signature(F.col("text"), (BANDS, ROWS) if percent >= PERCENT else WIDE).alias("s")).select("doc_id", "s.*"), "minhash-signatures")
     named = sig.where("n > 0 and doc_id is not null")
     kinds = stored(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "minhash-kinds")
     entries = kinds.select("rep", "n", F.explode("bands").alias("key"))

@@ -10,6 +10,8 @@ from agrolith.llm.shared import documents, sized, small_batches, stored
 
 #: Tokens kept by the mixing stage, of all that reach it; each document is read once at most.
 MIX_PERCENT = 80
+#: Five-word Jaccard similarity, in percent, from which two documents are near copies; 85 is the contract of op7 alone.
+NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, keeps the row with the smallest doc_id."""
     small_batches(spark)
-    return minhash_dedup.deduplicate(docs)
+    return minhash_dedup.deduplicate(docs, NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,3 +34,12 @@ def test_stages_keep_what_a_plain_version_keeps(spark, sf, documents):
     assert ids[4] <= ids[3] and 0.6 * sum(n.values()) < sum(n[i] for i in ids[4]) <= 0.8 * sum(n.values())
     assert ids[5] == ids[4] and all(r.round_trip for r in kept[5].select("round_trip").collect())
     assert hashlib.sha256(documents[min(ids[5])].encode()).hexdigest()
+
+
+def test_near_stage_links_from_80_percent_on(spark):
+    a = [f"w{k}" for k in range(104)]
+    b = [*a[:94], *(f"x{k}" for k in range(10))]  # 90 of 110 shingles are shared: 0.82
+    c = [*a[:91], *(f"y{k}" for k in range(13))]  # 87 of 113: 0.77
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs.where("doc_id <> 3"), "").collect()) == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs.where("doc_id <> 2"), "").collect()) == [1, 3]
