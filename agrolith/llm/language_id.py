@@ -4,7 +4,9 @@ For each language a suffix automaton is built of labelled text. A text is parsed
 into the longest phrases that occur in that text; phrases times log2(labelled characters)
 over the characters parsed estimate the cross entropy, and the least estimate wins.
 
-The automata become dense transition tables. Texts are cut into segments of SEGMENT
+The automata become transition tables: dense ones over the letters of the language's own
+sample, the smallest first until DENSE cells are taken, and sorted edges for the rest. All
+letters of all samples count. Texts are cut into segments of SEGMENT
 characters, each parsed from a new phrase on, so that all segments of a batch and all
 languages advance together, one table lookup a character. Whole texts are parsed.
 
@@ -32,6 +34,8 @@ SAMPLE_CHARS = 24_000
 ALL_CHARS = 1_000_000
 SEGMENT = 256
 BATCH_CHARS = 1 << 18
+#: Cells of all dense tables, four bytes each.
+DENSE = 1 << 25
 UNKNOWN = "und"
 
 
@@ -86,30 +90,42 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
         joined = {k: " ".join(v).lower() for k, v in samples.items()}
-        letters = sorted({c for t in joined.values() for c in t if c.isalpha()})[:250]
+        letters = sorted({c for t in joined.values() for c in t if c.isalpha()})
         self.symbol = {c: i + 3 for i, c in enumerate(letters)}
         self.width = len(letters) + 3
-        rows, self.starts, self.bits = [], [], []
+        autos = {k: SuffixAutomaton([self.symbol.get(c, 0) for c in joined[k]]) for k in self.languages}
+        own = {k: np.array(sorted(m for m in a.moves[0] if m > 2), np.int64) for k, a in autos.items()}
+        cells = {k: (len(a.moves) + 1) * (len(own[k]) + 3) for k, a in autos.items()}
+        rows, self.dense, self.starts, self.local, self.edges = [], [], [], [], {}
+        self.bits = [math.log2(max(2, len(joined[k]))) for k in self.languages]
         base = 0
-        for k in self.languages:
-            symbols = [self.symbol.get(c, 1 if c.isalpha() else 0) for c in joined[k]]
-            auto = SuffixAutomaton(symbols)
-            n = len(auto.moves)
-            dead = base + n  # a phrase of one unseen letter ends here
-            at_root = np.full(self.width, ~(dead * self.width), np.int64)
+        for k in sorted(self.languages, key=lambda k: (cells[k], k)):
+            auto, n = autos[k], len(autos[k].moves)  # state n: a phrase of one unseen letter ends here
+            if base + cells[k] > DENSE:
+                found = sorted((state * self.width + c, to) for state, moves in enumerate(auto.moves) for c, to in moves.items())
+                root = np.full(self.width, n, np.int32)
+                root[list(auto.moves[0])] = list(auto.moves[0].values())
+                self.edges[self.languages.index(k)] = (np.array([e for e, _ in found], np.int64), np.array([t for _, t in found], np.int32), root, n)
+                continue
+            local = np.ones(self.width, np.int32)
+            local[[0, 2]] = 0, 2
+            local[own[k]] = np.arange(3, len(own[k]) + 3)
+            width = len(own[k]) + 3
+            at_root = np.full(width, ~(base + n * width), np.int64)
             for c, to in auto.moves[0].items():
-                at_root[c] = ~((base + to) * self.width)
+                at_root[local[c]] = ~(base + to * width)
             table = np.tile(at_root, (n + 1, 1))
             for state, moves in enumerate(auto.moves):
                 for c, to in moves.items():
-                    table[state, c] = (base + to) * self.width
-            table[:, 1] = ~(dead * self.width)
-            table[:, 2] = (base + np.arange(n + 1)) * self.width
-            rows.append(table)
-            self.starts.append(dead * self.width)  # from there each symbol opens a phrase
-            self.bits.append(math.log2(max(2, len(symbols))))
-            base += n + 1
-        self.table = np.concatenate(rows).astype(np.int32).ravel() if rows else np.zeros(0, np.int32)
+                    table[state, local[c]] = base + to * width
+            table[:, 2] = base + np.arange(n + 1) * width
+            rows.append(table.astype(np.int32).ravel())
+            self.dense.append(self.languages.index(k))
+            self.starts.append(base + n * width)  # from there each symbol opens a phrase
+            self.local.append(local)
+            base += cells[k]
+        self.table = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.local = np.stack(self.local) if rows else np.zeros((0, self.width), np.int32)
         self._of: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
@@ -117,7 +133,7 @@ class CrossParser:
 
     def _symbols(self) -> np.ndarray:
         if self._of is None:
-            self._of = _letters().astype(np.uint8)
+            self._of = _letters().astype(np.uint16 if self.width <= 1 << 16 else np.int32)
             for c, i in self.symbol.items():
                 for v in {c, c.upper(), c.title()}:
                     if len(v) == 1:
@@ -141,21 +157,37 @@ class CrossParser:
             column = np.arange(SEGMENT, dtype=np.int64)[:, None]
             block = symbols[np.minimum(s[None, :] + column, len(symbols) - 1)]
             block[column >= n[None, :]] = 2
-            state = np.repeat(np.array(self.starts, np.int32), len(s)).reshape(len(self.starts), -1)
+            state = np.repeat(np.array(self.starts, np.int32), len(s)).reshape(len(self.starts), len(s))
             count = np.zeros(state.shape, np.int32)
             active = np.searchsorted(-n, -np.arange(SEGMENT), "left")  # texts longer than the column
             for i in range(SEGMENT):
                 m = active[i]
                 if not m:
                     break
-                to = self.table.take(state[:, :m] + block[i, :m])
+                to = self.table.take(state[:, :m] + self.local.take(block[i, :m], axis=1)) if self.dense else state[:, :m]
                 broke = to >> 31
                 count[:, :m] -= broke
                 state[:, :m] = to ^ broke
-            for k in range(len(self.starts)):
-                out[k] += np.bincount(owner[lo : lo + step][order], count[k], len(length)).astype(np.int64)
+            for k, n_phrases in [*zip(self.dense, count, strict=True), *((k, self._by_edges(k, block, active)) for k in self.edges)]:
+                out[k] += np.bincount(owner[lo : lo + step][order], n_phrases, len(length)).astype(np.int64)
         return out
 
+    def _by_edges(self, k: int, block: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Phrases of each column of ``block`` in a language without a dense table."""
+        keys, ends, root, start = self.edges[k]
+        state, count = np.full(block.shape[1], start, np.int64), np.zeros(block.shape[1], np.int32)
+        for i in range(SEGMENT):
+            m = active[i]
+            if not m:
+                break
+            symbol = block[i, :m].astype(np.int64)
+            key = state[:m] * self.width + symbol
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            goes = keys[at] == key
+            count[:m] += ~goes
+            state[:m] = np.where(goes, ends[at], root[symbol])
+        return count
+
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         raw, byte_at = text_bytes(column)
         begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])

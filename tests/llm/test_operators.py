@@ -297,3 +297,20 @@ def test_lm_scores_do_not_depend_on_the_windows_of_the_filter(monkeypatch, spark
     whole = scores()
     monkeypatch.setattr(lm_score, "MOST_BITS", 1 << 18)
     assert scores() == whole
+
+
+def test_language_of_texts_in_scripts_of_many_letters(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    hangul, han = [chr(0xAC00 + i) for i in range(900)], [chr(0x4E00 + i) for i in range(1500)]
+    common = {"ko": [" ".join("".join(rng.choice(hangul, 3)) for _ in range(30)) for _ in range(20)], "zh": ["".join(rng.choice(han, 4)) for _ in range(400)], "en": ["the cat sat on the mat"], "de": ["der hund liegt auf dem tisch"]}
+    texts = [*common["ko"][:5], *["".join(common["zh"][i : i + 9]) for i in range(5)], "the cat sat", "der hund liegt"]
+    found = []
+    for cells in (language_id.DENSE, 2000, 0):
+        monkeypatch.setattr(language_id, "DENSE", cells)
+        model = language_id.CrossParser(common)
+        names, score = model.predict(pa.array(texts))
+        assert names == ["ko"] * 5 + ["zh"] * 5 + ["en", "de"]
+        found.append(score.tolist())
+    assert found[0] == found[1] == found[2]
