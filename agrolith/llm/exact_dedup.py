@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm.shared import documents, keep_ids, scratch, sized, stored
+from agrolith.llm.shared import ROW, documents, keep_ids, one_of_each, scratch, sized, stored, with_rows
 
 #: Disk-backed state; change logs instead of whole snapshots, and no disk set aside for small stores.
 STATE = {
@@ -117,6 +117,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     return keep_ids(docs, found)
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each text: that with the largest doc_id, however ids repeat or are null."""
+    keyed = with_rows(docs)
+    found = classes(keyed.select(F.col(ROW).alias("doc_id"), "text")).where("group_size > 1")
+    return one_of_each(keyed, stored(found.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("label")), "dedup-groups"), largest=True)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     rows = classes(documents(spark, sf_dir))
     return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrolith.llm.kernels import give_back, grams, mix, text_bytes, word_hashes
-from agrolith.llm.shared import components, discard, documents, keep_ids, sized, stored
+from agrolith.llm.shared import ROW, components, discard, documents, keep_ids, one_of_each, sized, stored, with_rows
 
 SHINGLE = 5
 PERMUTATIONS, BANDS, ROWS = 60, 24, 5
@@ -265,6 +265,15 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return keep_ids(docs, dropped)
 
 
+def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id, however ids repeat or are null."""
+    keyed = with_rows(docs)
+    found = near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), percent)
+    found = stored(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("label")), "minhash-found")
+    several = stored(found.where(F.col(ROW) != F.col("label")).select("label").distinct(), "minhash-several")
+    return one_of_each(keyed, stored(found.join(sized(several), "label", "left_semi").select(ROW, "label"), "minhash-groups"), largest=False)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     rows = near_duplicates(documents(spark, sf_dir))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

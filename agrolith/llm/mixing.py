@@ -84,16 +84,18 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], pe
     return leaves.join(level.select(*LEVELS, F.col("granted").alias("budget")), list(LEVELS))
 
 
-def mix(docs: DataFrame, *, domain: str = DOMAIN_OF, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, domain: str = DOMAIN_OF, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, row: str | None = None) -> DataFrame:
     """Rows (doc_id, domain, lang, source, tokens, epoch), one for each time a document is read.
 
     percent: tokens wanted, of all tokens. Null texts and empty ones have no tokens and come
     with the prefix they fall into; null lang is the language ``und``, null source the source
     ``unknown``, a null doc_id hashes as the empty text. Repeated rows count each; ties of the
     order go by doc_id, then tokens. An empty table gives no rows. Other columns are ignored.
+    row: a column that tells rows apart; it comes with the result and breaks the ties left.
     """
+    own = [row] if row else []
     base = stored(
-        docs.select("doc_id", F.expr(domain).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), words_in(F.col("text")).alias("tokens")), "mix-rows"
+        docs.select("doc_id", F.expr(domain).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), words_in(F.col("text")).alias("tokens"), *own), "mix-rows"
     )
     leaves = stored(base.groupBy(*LEVELS).agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("n")), "mix-leaves")
     plan = leaf_budgets(leaves, weights, percent, epochs)
@@ -113,12 +115,12 @@ def mix(docs: DataFrame, *, domain: str = DOMAIN_OF, weights: Mapping[str, Mappi
     sums = rows.groupBy(*LEVELS, "range", "rest").agg(F.sum("tokens").alias("t")).withColumn("upto", F.sum("t").over(per_leaf))
     ends = stored(sums.where("upto > rest").groupBy(*LEVELS).agg(F.min("range").alias("last"), F.min_by(F.col("rest") - F.col("upto") + F.col("t"), "range").alias("room")), "mix-ends")
     cut = rows.join(sized(ends, 100_000), list(LEVELS), "left")
-    columns = ["doc_id", *LEVELS, "tokens", "whole"]
+    columns = ["doc_id", *LEVELS, "tokens", "whole", *own]
     sure = cut.withColumn("more", F.col("last").isNull() | (F.col("range") < F.col("last"))).where("more or (whole > 0 and range > last)").select(*columns, "more")
-    order = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "tokens", *own).rowsBetween(Window.unboundedPreceding, 0)
     edge = cut.where("range = last").withColumn("more", F.sum("tokens").over(order) <= F.col("room")).where("more or whole > 0").select(*columns, "more")
     taken = sure.union(edge).withColumn("reads", F.col("whole") + F.col("more").cast("long")).where("reads > 0")
-    return taken.select("doc_id", *LEVELS, "tokens", F.explode(F.sequence(F.lit(1), F.least("reads", F.lit(epochs)).cast("int"))).alias("epoch"))
+    return taken.select("doc_id", *LEVELS, "tokens", F.explode(F.sequence(F.lit(1), F.least("reads", F.lit(epochs)).cast("int"))).alias("epoch"), *own)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The column that ``with_rows`` adds.
+ROW = "__row"
 #: Rows of (key, few numbers) that may be broadcast: at most about 30 MB in an executor.
 BROADCAST_ROWS = 400_000
 _own_folder: dict[str, str] = {}
@@ -82,6 +85,38 @@ def keep_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFr
     return docs.join(sized(gone), docs[key] == F.col("__gone"), "left_anti")
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ROW that numbers its rows, the same each time it is read.
+
+    A plain read of Parquet files has the file's place and the row's place in it as number;
+    anything else is written to the shared folder with its numbers once.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__index"))
+            paths = sorted(r[0] for r in placed.select("__path").distinct().collect())
+        except AnalysisException:  # files of another format
+            pass
+        else:
+            files = docs.sparkSession.createDataFrame([(i << 40, p) for i, p in enumerate(paths)], "__file long, __path string")
+            return placed.join(F.broadcast(files), "__path").select(*docs.columns, (F.col("__file") + F.col("__index")).alias(ROW))
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def one_of_each(keyed: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
+    """``keyed``, made by ``with_rows``, with just one row of each group, and without ROW.
+
+    groups: a stored table (ROW, label) of rows in groups of two or more. The row with the
+    largest or smallest doc_id stays, one with a null doc_id only if no other has any; ties
+    go by ROW the same way.
+    """
+    members = stored(keyed.select(ROW, "doc_id").join(sized(groups), ROW), "rows-grouped")
+    best = F.max(F.struct("doc_id", ROW)) if largest else F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    kept = stored(members.groupBy("label").agg(best.alias("best")).select(F.col(f"best.{ROW}").alias(ROW)), "rows-kept")
+    dropped = stored(members.join(sized(kept), ROW, "left_anti").select(ROW), "rows-dropped")
+    return keep_ids(keyed, dropped, ROW).drop(ROW)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component).
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.llm import exact_dedup, language_id, minhash_dedup, mixing, sentencepiece_codec
-from agrolith.llm.shared import documents, sized, small_batches, stored
+from agrolith.llm.shared import ROW, documents, sized, small_batches, stored, with_rows
 
 #: Tokens kept by the mixing stage, of all that reach it; each document is read once at most.
 MIX_PERCENT = 80
@@ -23,19 +23,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keeps the row with the largest doc_id."""
-    return exact_dedup.deduplicate(docs)
+    return exact_dedup.distinct_texts(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, keeps the row with the smallest doc_id."""
     small_batches(spark)
-    return minhash_dedup.deduplicate(docs, NEAR_PERCENT)
+    return minhash_dedup.distinct_documents(docs, NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the budgets of their domain, language and source reach in one epoch."""
-    chosen = stored(mixing.mix(docs, percent=MIX_PERCENT, epochs=1).select(F.col("doc_id").alias("__chosen")).distinct(), "pipeline-mix")
-    return docs.join(sized(chosen), docs.doc_id == F.col("__chosen"), "left_semi")
+    keyed = with_rows(docs)
+    chosen = stored(mixing.mix(keyed, percent=MIX_PERCENT, epochs=1, row=ROW).select(F.col(ROW).alias("__chosen")), "pipeline-mix")
+    return keyed.join(sized(chosen), keyed[ROW] == F.col("__chosen"), "left_semi").drop(ROW)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,23 @@ def test_near_stage_links_from_80_percent_on(spark):
     docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs.where("doc_id <> 3"), "").collect()) == [1]
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs.where("doc_id <> 2"), "").collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("in_files", [True, False])
+def test_stages_decide_on_rows(monkeypatch, spark, tmp_path, in_files):
+    table = [(1, "one text of some words"), (1, "one text of some words"), (None, "no id but a copy"), (None, "no id but a copy"), (5, "a text that no other row has"), (5, "ten words that two rows have"), (6, "ten words that two rows have"), (None, "alone and without an id")]
+    docs = spark.createDataFrame([(*r, "en", "a") for r in table], "doc_id long, text string, lang string, source string")
+    if in_files:
+        docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def kept(stage):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        return sorted(((r.doc_id or 0, r.text) for r in out.collect()))
+
+    once = [(0, "alone and without an id"), (0, "no id but a copy"), (1, "one text of some words"), (5, "a text that no other row has")]
+    assert kept(corpus_pipeline.exact) == [*once, (6, "ten words that two rows have")]
+    assert kept(corpus_pipeline.near) == [*once, (5, "ten words that two rows have")]
+    monkeypatch.setattr(corpus_pipeline, "MIX_PERCENT", 100)
+    assert kept(corpus_pipeline.mix) == sorted((i or 0, t) for i, t in table)
