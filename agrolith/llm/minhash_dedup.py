@@ -4,23 +4,27 @@ Each permutation gives two signature values, the least and the greatest hash of
 that PERMUTATIONS hash evaluations make a signature of twice that length. BANDS bands of
 ROWS values each become bucket keys; a pair with a similarity of 0.85 shares no bucket with
 a chance under 1e-6. Lower thresholds take WIDE bands: 30 of 4, which a pair of 0.80 misses with a
-chance under 1e-6.
+chance under 1e-6. One byte of each signature value makes the document's sketch: two sketches
+agree in about as many places as the sets are similar, and a pair at the threshold agrees in
+fewer than ``least_matches`` of them with a chance under 1e-7. Whole sets are made, shipped and
+compared only for pairs that pass that.
 
 1. Documents with equal sets form a class at once; its least doc_id stands for it.
-2. In each bucket, all are compared with the bucket's least doc_id, on whole sets. The links
-   found give components.
-3. Buckets that still hold two components or more are compared within, but for pairs that a
-   component has joined already: their members are dealt into tiles of about TILE, tiles of
-   one large component aren't paired with each other, and a pair met in several buckets
-   counts in the first. So no pair that shares a bucket is left unchecked unless it is
-   linked by others, and a large group of near copies costs one comparison a member.
-
-No pairs within a group are written out but those with the bucket's first; sets are made
-only for documents that share a bucket.
+2. In each bucket, all are compared with the bucket's least doc_id. The links found give
+   components; a document linked with several buckets' first ones adds one edge of its own.
+3. Buckets whose others still lie in two components or more are compared within, but for
+   pairs that a component has joined already: their members are dealt into tiles of about
+   TILE members and TILE_SHINGLES shingles, tiles of one large component aren't paired with
+   each other, and a pair met in several buckets counts in the first. Sketches show which
+   members of two tiles may be linked across components; the sets of just these are compared,
+   and edges are returned that join their components as the links do, one less than the
+   components joined at most. So no pair that shares a bucket is left unchecked unless it is
+   linked by others, and no pairs within a group are written out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +42,13 @@ PERMUTATIONS, BANDS, ROWS = 60, 24, 5
 WIDE = (30, 4)
 PERCENT = 85
 TILE = 64
+#: Shingles of a tile, eight bytes each; a document with more has a tile of its own, or shares it with few.
+TILE_SHINGLES = 1 << 18
+SKETCH = 2 * PERMUTATIONS
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_SIGNATURE = "struct<d1: bigint, d2: bigint, n: bigint, bands: array<bigint>>"
+_SIGNATURE = "struct<d1: bigint, d2: bigint, n: bigint, bands: array<bigint>, sketch: binary>"
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +73,18 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum(n)
 
 
-def signatures(values: np.ndarray, at: np.ndarray, cut: tuple[int, int] = (BANDS, ROWS)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of non-empty sets: two digests of the set and its band keys."""
+def least_matches(percent: int) -> int:
+    """Sketches of sets with this similarity agree in fewer places than this with a chance under 1e-7."""
+    p, chance, k = percent / 100, 0.0, 0
+    while True:
+        chance += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if chance > 1e-7:
+            return k
+        k += 1
+
+
+def signatures(values: np.ndarray, at: np.ndarray, cut: tuple[int, int] = (BANDS, ROWS)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of non-empty sets: two digests of the set, its band keys and its sketch."""
     begins = at[:-1]
     m = mix(values)
     d1 = np.add.reduceat(m, begins)
@@ -86,7 +103,7 @@ def signatures(values: np.ndarray, at: np.ndarray, cut: tuple[int, int] = (BANDS
         for r in range(n_rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + both[b * n_rows + r])
         bands[:, b] = key
-    return d1, d2, bands
+    return d1, d2, bands, (both.T >> np.uint64(8)).astype(np.uint8)
 
 
 def _runs(column: pa.Array, most: int) -> Iterator[pa.Array]:
@@ -99,11 +116,11 @@ def _runs(column: pa.Array, most: int) -> Iterator[pa.Array]:
 
 
 def signature(text: Column, cut: tuple[int, int] = (BANDS, ROWS)) -> Column:
-    """struct(d1, d2, n, bands) of a text; n is the size of its set, bands are null if it is 0."""
+    """struct(d1, d2, n, bands, sketch) of a text; n is the size of its set, bands and sketch are null if it is 0."""
 
     @F.arrow_udf(_SIGNATURE)
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+        kind = pa.struct([("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
         for column in batches:
             parts = [pa.array([], kind)]
             for part in _runs(column, 512 << 10):
@@ -111,12 +128,14 @@ def signature(text: Column, cut: tuple[int, int] = (BANDS, ROWS)) -> Column:
                 n = np.diff(at)
                 some = np.flatnonzero(n)
                 d = np.zeros((2, len(part)), np.uint64)
-                keys = np.zeros((0, cut[0]), np.uint64)
+                keys, sketch = np.zeros((0, cut[0]), np.uint64), np.zeros((0, SKETCH), np.uint8)
                 if len(some):
-                    d[0, some], d[1, some], keys = signatures(values, np.concatenate([at[some], at[-1:]]), cut)
+                    d[0, some], d[1, some], keys, sketch = signatures(values, np.concatenate([at[some], at[-1:]]), cut)
                 ends = np.concatenate([[0], np.cumsum((n > 0) * cut[0])]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()), mask=pa.array(n == 0))
-                parts.append(pa.StructArray.from_arrays([pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.array(n), bands], fields=list(kind)))
+                rows = np.full(len(part), None, object)
+                rows[some] = [x.tobytes() for x in sketch]
+                parts.append(pa.StructArray.from_arrays([pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.array(n), bands, pa.array(rows, pa.binary())], fields=list(kind)))
             yield pa.concat_arrays(parts)
         give_back()
 
@@ -143,6 +162,27 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[i] == x)) if len(y) else 0
 
 
+def _similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are similar enough, as a matrix; all shingles that two have in common are counted."""
+    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    several = times > 1
+    place = np.cumsum(several) - 1
+    keep = several[inverse]
+    owner, inverse = owner[keep], place[inverse[keep]]
+    order = np.argsort(inverse, kind="stable")
+    owner, inverse = owner[order], inverse[order]
+    both = np.zeros((len(sets), len(sets)))
+    step = 4096
+    for lo in range(0, int(several.sum()), step):
+        a, b = np.searchsorted(inverse, [lo, lo + step])
+        has = np.zeros((len(sets), step), np.float32)
+        has[owner[a:b], inverse[a:b] - lo] = 1
+        both += has @ has.T
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+
+
 def _linked(percent: int):
     @F.arrow_udf("boolean")
     def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -158,42 +198,81 @@ def _linked(percent: int):
     return linked
 
 
-def _tile_links(percent: int):
-    """Links between two tiles: arrays of struct(rep, comp, bands, shingles) and the bucket's band key."""
+def _matrix(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), SKETCH)
 
-    @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
-    def links(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+def _may_link(percent: int):
+    """Whether two sketches agree often enough."""
+    least = least_matches(percent)
+
+    @F.arrow_udf("boolean")
+    def may_link(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array((_matrix(a.to_pylist()) == _matrix(b.to_pylist())).sum(axis=1) >= least, pa.bool_())
+
+    return may_link
+
+
+def _tile_candidates(percent: int):
+    """The members of two tiles (of one, if the other is null) that may be linked with one of another component.
+
+    Tiles are arrays of struct(rep, comp, n, bands, sketch); pairs that share an earlier band are left to that.
+    """
+    least = least_matches(percent)
+
+    @F.arrow_udf("array<struct<rep: bigint, comp: bigint>>")
+    def candidates(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("rep", pa.int64()), ("comp", pa.int64())]))
         for keys, lefts, rights in batches:
             out = []
             for key, left, right in zip(keys, lefts, rights, strict=True):
-                found: list[dict] = []
                 x = left.as_py()
                 y = right.as_py() if right.is_valid else x
-                k = key.as_py()
-                bx, by = np.array([r["bands"] for r in x]), np.array([r["bands"] for r in y])
-                cx, cy = np.array([r["comp"] for r in x]), np.array([r["comp"] for r in y])
-                sx, sy = ([np.frombuffer(r["shingles"], np.uint64) for r in z] for z in (x, y))
-                both = np.zeros((len(x), len(y)), np.int64)
-                vocabulary, inverse = np.unique(np.concatenate(sx + sy), return_inverse=True)
-                step = 16384
-                owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in sx + sy])
-                for lo in range(0, len(vocabulary), step):
-                    inside = (inverse >= lo) & (inverse < lo + step)
-                    has = np.zeros((len(x) + len(y), step), np.float32)
-                    has[owner[inside], inverse[inside] - lo] = 1
-                    both += np.rint(has[: len(x)] @ has[len(x) :].T).astype(np.int64)
-                total = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - both
-                hit = (100 * both >= percent * total) & (cx[:, None] != cy[None, :])
-                for i, j in zip(*np.nonzero(hit), strict=True):
-                    same = np.flatnonzero(bx[i] == by[j])
-                    if len(same) and bx[i][same[0]] == k and (right.is_valid or x[i]["rep"] < y[j]["rep"]):
-                        found.append({"a": x[i]["rep"], "b": y[j]["rep"]})
-                out.append(found)
+                (cx, nx, bx), (cy, ny, by) = (tuple(np.array([r[c] for r in z]) for c in ("comp", "n", "bands")) for z in (x, y))
+                sx, sy = (_matrix([r["sketch"] for r in z]) for z in (x, y))
+                hits = set()
+                for i in range(len(x)):
+                    fits = (cy != cx[i]) & (np.minimum(ny, nx[i]) * 100 >= np.maximum(ny, nx[i]) * percent)
+                    if not right.is_valid:
+                        fits[: i + 1] = False
+                    j = np.flatnonzero(fits)
+                    j = j[(sy[j] == sx[i]).sum(axis=1) >= least]
+                    if len(j):
+                        same = by[j] == bx[i]
+                        j = j[bx[i][same.argmax(axis=1)] == key.as_py()]
+                    if len(j):
+                        hits.update([(x[i]["rep"], x[i]["comp"]), *((y[k]["rep"], y[k]["comp"]) for k in j)])
+                out.append([{"rep": r, "comp": c} for r, c in sorted(hits)])
             yield pa.array(out, kind)
         give_back()
 
-    return links
+    return candidates
+
+
+def _joined(percent: int):
+    """Edges between components: of members, an array of struct(rep, comp, shingles), all are compared across components."""
+
+    @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        for column in batches:
+            for row in column:
+                members = row.as_py()
+                comps = np.array([m["comp"] for m in members])
+                hit = _similar([np.frombuffer(m["shingles"], np.uint64) for m in members], percent) & (comps[:, None] != comps[None, :])
+                label = {c: c for c in comps.tolist()}
+                found = []
+                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(hit))), strict=True):
+                    a, b = int(comps[i]), int(comps[j])
+                    if label[a] != label[b]:
+                        found.append({"a": a, "b": b})
+                        old, new = label[a], label[b]
+                        label = {c: new if v == old else v for c, v in label.items()}
+                yield pa.array([found], kind)
+        give_back()
+
+    return joined
 
 
 def _close(n: str, m: str, percent: int) -> Column:
@@ -211,52 +290,86 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     sig = stored(docs.select("doc_id", signature(F.col("text"), (BANDS, ROWS) if percent >= PERCENT else WIDE).alias("s")).select("doc_id", "s.*"), "minhash-signatures")
     named = sig.where("n > 0 and doc_id is not null")
-    kinds = stored(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "minhash-kinds")
-    entries = kinds.select("rep", "n", F.explode("bands").alias("key"))
-    multi = stored(entries.groupBy("key").agg(F.min("rep").alias("first"), F.min_by("n", "rep").alias("first_n"), F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-buckets")
-    members = stored(entries.join(sized(multi, 200_000), "key"), "minhash-members")
-    pairs = members.where("rep <> first").where(_close("n", "first_n", percent)).select("first", "rep").distinct()
-    wanted = stored(members.select("rep").distinct(), "minhash-compared")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(sized(wanted), "rep", "left_semi")
-    made = stored(texts.select("rep", set_bytes("text").alias("shingles")), "minhash-sets")
-    sets = made.where("length(shingles) > 0")  # after the write: a filter beside it would make each set twice, in a second worker
-
-    a, b = sets.select(F.col("rep").alias("first"), F.col("shingles").alias("x")), sets.select("rep", F.col("shingles").alias("y"))
-    links = pairs.join(b, "rep").join(a, "first").where(_linked(percent)("x", "y")).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    comps = components(links, "minhash-components")
-
-    left = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    kinds = stored(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-kinds")
+    ids = stored(sig.select("doc_id", "d1", "d2", "n"), "minhash-ids")
+    discard(sig)
+    entries = kinds.select("rep", F.explode("bands").alias("key"))
+    multi = stored(entries.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-buckets")
+    members = stored(entries.join(sized(multi), "key").where("rep <> first"), "minhash-members")
+    discard(multi)
+
+    about = kinds.select("rep", "n", "sketch")
+    of_first = about.toDF("first", "first_n", "first_sketch")
+    pairs = members.select("first", "rep").distinct().join(about, "rep").join(of_first, "first").where(_close("n", "first_n", percent))
+    pairs = stored(pairs.where(_may_link(percent)("sketch", "first_sketch")).select("first", "rep"), "minhash-pairs")
+    links = _confirmed(pairs, _sets(docs, pairs.select("rep").union(pairs.select("first"))), percent)
+    # one edge for each rep, and for each two firsts that it joins
+    firsts = links.groupBy("rep").agg(F.min("first").alias("least"), F.collect_set("first").alias("all"))
+    edges = firsts.select("least", F.explode(F.concat(F.array("rep"), "all")).alias("b")).select(F.col("least").alias("a"), "b")
+    comps = components(edges, "minhash-components")
+
+    left = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     open_keys = stored(left.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key"), "minhash-open")
     if not open_keys.isEmpty():
-        more = _within(left, open_keys, kinds, sets, percent)
-        links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        comps = components(links, "minhash-components")
-    discard(made, members)
+        joined = components(_within(docs, left, open_keys, kinds, percent), "minhash-joined").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        # a node that no link had reached stands for itself
+        alone = joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(comps, "node", "left_anti")
+        comps = stored(comps.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).union(alone), "minhash-components")
+    discard(members, open_keys)
 
     known = kinds.select("d1", "d2", "n", "rep", "copies").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = stored(known.where("copies > 1 or component is not null").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")), "minhash-known")
-    return sig.join(sized(known, 200_000), ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _within(left: DataFrame, open_keys: DataFrame, kinds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of the buckets ``open_keys``; see step 3 above."""
-    rows = left.join(sized(open_keys, 200_000), "key").select("key", "rep", "comp")
-    groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    small = groups.where(F.col("size") < TILE).groupBy("key").agg(F.sum("size").alias("small"))
-    large = F.col("size") >= TILE
-    many = F.ceil(F.when(large, F.col("size")).otherwise(F.col("small")) / TILE)
-    deal = F.when(large, F.xxhash64("rep")).otherwise(F.xxhash64("comp"))
-    dealt = rows.join(groups, ["key", "comp"]).join(small, "key", "left").select("key", "rep", "comp", F.when(large, F.col("comp")).alias("one"), F.pmod(deal, many).alias("part"))
-    dealt = stored(dealt.withColumn("tile", F.xxhash64("one", "part")), "minhash-tiles")
-    tiles = dealt.select("key", "tile", "one").distinct()
+    discard(kinds)
+    return ids.join(sized(known, 200_000), ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A stored table (rep, shingles) of the documents ``wanted`` (one column of ids, which may repeat)."""
+    reps = stored(wanted.toDF("wanted").distinct(), "minhash-wanted")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(sized(reps), F.col("rep") == F.col("wanted"), "left_semi")
+    made = stored(texts.select("rep", set_bytes("text").alias("shingles")), "minhash-sets")
+    out = made.where("length(shingles) > 0")  # after the write: a filter beside it would make each set twice, in a second worker
+    out._scratch_path = made._scratch_path
+    return out
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (first, rep) of ``pairs`` whose whole sets are similar enough, stored."""
+    a, b = sets.select(F.col("rep").alias("first"), F.col("shingles").alias("x")), sets.select("rep", F.col("shingles").alias("y"))
+    links = stored(pairs.join(b, "rep").join(a, "first").where(_linked(percent)("x", "y")).select("first", "rep"), "minhash-links")
+    discard(sets)
+    return links
+
+
+def _within(docs: DataFrame, left: DataFrame, open_keys: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between components of the buckets ``open_keys`` that have linked members; see step 3 above."""
+    rows = left.join(sized(open_keys), "key").join(kinds.select("rep", "n", "bands", "sketch"), "rep")
+    rows = stored(rows.select("key", "rep", "comp", "n", "bands", "sketch"), "minhash-rows")
+    groups = rows.groupBy("key", "comp").agg(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES).alias("size"))
+    large = F.col("size") >= 1
+    groups = stored(groups.withColumn("one", F.when(large, F.col("comp"))), "minhash-groups")
+    small = groups.where("one is null").groupBy("key").agg(F.sum("size").alias("small"))
+    many = F.ceil(F.when(F.col("one").isNotNull(), F.col("size")).otherwise(F.col("small")))
+    deal = F.when(F.col("one").isNotNull(), F.xxhash64("rep")).otherwise(F.xxhash64("comp"))
+    dealt = rows.join(groups, ["key", "comp"]).join(small, "key", "left")
+    dealt = dealt.select("key", F.xxhash64("one", F.pmod(deal, many)).alias("tile"), "one", F.struct("rep", "comp", "n", "bands", "sketch").alias("row"))
+    dealt = dealt.repartition("key", "tile")  # a hot bucket's tiles go to many tasks
+    blocks = stored(dealt.groupBy("key", "tile").agg(F.first("one").alias("one"), F.collect_list("row").alias("rows")), "minhash-blocks")
+    discard(rows, groups)
+    tiles = blocks.select("key", "tile", "one")
     other = tiles.select("key", F.col("tile").alias("tile2"), F.col("one").alias("one2"))
-    paired = tiles.join(other, "key").where("tile < tile2 or (tile = tile2 and one is null)").where("one is null or one2 is null or one <> one2").select("key", "tile", "tile2")
-    full = dealt.join(kinds.select("rep", "bands"), "rep").join(sets, "rep")
-    blocks = stored(full.groupBy("key", "tile").agg(F.collect_list(F.struct("rep", "comp", "bands", "shingles")).alias("rows")), "minhash-blocks")
-    first, second = blocks, blocks.select("key", F.col("tile").alias("tile2"), F.col("rows").alias("rows2"))
-    met = paired.join(first, ["key", "tile"]).join(second, ["key", "tile2"])
-    found = met.select(F.explode(_tile_links(percent)("key", "rows", F.when(F.col("tile") != F.col("tile2"), F.col("rows2")))).alias("l"))
-    return found.select("l.a", "l.b")
+    paired = tiles.join(other, "key").where("tile < tile2").where("one is null or one2 is null or one <> one2").select("key", "tile", "tile2")
+    second = blocks.select("key", F.col("tile").alias("tile2"), F.col("rows").alias("rows2"))
+    across = paired.join(blocks.select("key", "tile", "rows"), ["key", "tile"]).join(second, ["key", "tile2"]).select("key", "tile", "tile2", "rows", "rows2")
+    inside = blocks.where("one is null").select("key", "tile", F.col("tile").alias("tile2"), "rows", F.lit(None).cast(second.schema["rows2"].dataType).alias("rows2"))
+    found = inside.union(across).select("key", "tile", "tile2", F.explode(_tile_candidates(percent)("key", "rows", "rows2")).alias("m")).select("key", "tile", "tile2", "m.rep", "m.comp")
+    found = stored(found, "minhash-candidates")
+    discard(blocks)
+    sets = _sets(docs, found.select("rep"))
+    met = found.join(sets, "rep").groupBy("key", "tile", "tile2").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("members"))
+    edges = stored(met.select(F.explode(_joined(percent)("members")).alias("e")).select("e.a", "e.b").distinct(), "minhash-edges")
+    discard(found, sets)
+    return edges
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
