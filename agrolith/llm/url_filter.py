@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from agrolith.llm.shared import sized, stored
 
-LONGEST_HOST = 253
+#: Beyond the number of labels that a host can have.
+HOST_RANK = 1 << 28
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 ENTRY = "list string, kind string, key string, action string, dated date"
@@ -38,21 +39,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.select("list", "kind", "key", "action", F.col("dated").alias("since"), after.alias("until")).where("action <> 'remove'")
 
 
-def keys(url: Column) -> Column:
-    """Array of struct(kind, key, rank) that a URL is looked up by; empty without a host."""
+def keys(url: Column, most: int) -> Column:
+    """Array of struct(kind, key, rank) that a URL is looked up by, with the domains of up to ``most`` labels; empty without a host."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), (F.size(labels) - i + 1).alias("rank")))
-    own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("key"), F.lit(1000).alias("rank")), F.struct(F.lit("url").alias("kind"), F.concat(host, F.lower(F.regexp_extract(url, PATH, 1))).alias("key"), F.lit(2000).alias("rank")))
-    return F.when((host != "") & (F.length(host) <= LONGEST_HOST), F.concat(own, domains)).otherwise(F.slice(own, 1, 0))
+    n = F.size(labels)
+    domains = F.transform(F.sequence(F.greatest(F.lit(1), n - most + 1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("key"), (n - i + 1).alias("rank")))
+    own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("key"), F.lit(HOST_RANK).alias("rank")), F.struct(F.lit("url").alias("kind"), F.concat(host, F.lower(F.regexp_extract(url, PATH, 1))).alias("key"), F.lit(2 * HOST_RANK).alias("rank")))
+    return F.when(host != "", F.concat(own, domains)).otherwise(F.slice(own, 1, 0))
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Rows (page_id, url, fetched, blocked, list, kind, key, since), one for each capture (page_id, url, fetched).
 
     The last four are those of the deciding entry, null where none was active. A null or
-    unreadable url, a host beyond 253 characters, or a null date meets no entry and isn't
-    blocked. Of equal blocking entries the least (list, kind, key) is named. Repeated rows are judged
+    unreadable url or a null date meets no entry and isn't blocked; a host may have any length. Of equal blocking entries the least (list, kind, key) is named. Repeated rows are judged
     each; other columns are ignored; either table may be empty.
 
     The join is on the key, so that a host with a third of all captures is split by Spark at
@@ -61,7 +62,9 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     valid = stored(intervals(entries), "url-intervals")
     rows = stored(captures.select("page_id", "url", F.col("fetched").cast("date").alias("fetched")).withColumn("row", F.monotonically_increasing_id()), "url-captures")
-    asked = rows.where("fetched is not null").select("row", "fetched", F.explode(keys(F.col("url"))).alias("k")).select("row", "fetched", "k.*")
+    # no capture need ask for a domain of more labels than any entry has
+    most = valid.where("kind = 'domain'").agg(F.coalesce(F.max(F.size(F.split("key", r"\."))), F.lit(1))).first()[0]
+    asked = rows.where("fetched is not null").select("row", "fetched", F.explode(keys(F.col("url"), most)).alias("k")).select("row", "fetched", "k.*")
     active = asked.join(sized(valid, 100_000), ["kind", "key"]).where("fetched >= since and (until is null or fetched < until)")
     # the greatest of (rank, blocks), then the least name: one number orders the first two
     order = F.col("rank") * 2 + (F.col("action") == "block").cast("int")
