@@ -9,8 +9,10 @@ encoder's result if and only if no pair would merge across its border. The arcs
 
 A giant document is cut into chunks of ``chunk`` characters, wherever these fall. A boundary
 state is the piece that covers or ends at the cut. Each chunk yields its transfer matrix
-from states at its start to states at its end, independently of the others; the products of
-these matrices, which are associative, give each chunk's true states; each chunk is then
+from states at its start to states at its end, independently of the others. The products of
+these matrices are associative: runs of FAN chunks are combined in parallel, then runs of FAN
+such runs, until FAN at most are left of each document. Their states follow from the
+document's ends, and are handed down level by level to each chunk, which is then
 backtraced independently. No piece goes on over a space after a non-space, so within a chunk
 the text between its first and last such place has one path, and the library encodes it; the
 matrix has rank one there. A document of one chunk has one start state and one end state.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from agrolith.llm.kernels import give_back
 from agrolith.llm.shared import documents, sized, stored
 
 CHUNK = 32_768
+#: Chunks, or runs of them, whose matrices one task combines.
+FAN = 64
 ROWS = 256
 ENCODED = "struct<ids: array<int>, ids_crc32: bigint, round_trip: boolean>"
 SPACES = " ▁"
@@ -168,13 +173,18 @@ def product(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return [list(x) for x in dict.fromkeys((r[0], r[1], q[2], q[3]) for r in a for q in by.get((r[2], r[3]), ()))]
 
 
-def chain(matrices: list[list[list[int]]]) -> list[list[int]]:
-    """The states before and after each chunk on the one path from the document's start to its end."""
+def chain(matrices: list[list[list[int]]], ends: list[int] | None = None) -> list[list[int]]:
+    """The states before and after each of a run of chunks on its one path.
+
+    ends: the states before and after the run; without them it is a whole document.
+    """
+    if ends is not None:
+        matrices = [*matrices[:-1], [r for r in matrices[-1] if r[2:] == ends[2:]]]
     after = [matrices[-1]]
     for m in matrices[-2::-1]:
         after.append(product(m, after[-1]))
     after.reverse()
-    out, state = [], (0, 0)
+    out, state = [], (0, 0) if ends is None else (ends[0], ends[1])
     for i, m in enumerate(matrices):
         good = {(r[0], r[1]) for r in after[i + 1]} if i + 1 < len(matrices) else None
         step = next(r for r in m if (r[0], r[1]) == state and (good is None or (r[2], r[3]) in good))
@@ -183,6 +193,13 @@ def chain(matrices: list[list[list[int]]]) -> list[list[int]]:
     return out
 
 
+def cut(text: str, chunk: int, around: int) -> Iterator[tuple[int, str, int, int, bool, bool]]:
+    """Chunks (k, part, lo, hi, first, last) of a text; part holds the chunk, at lo to hi, and what is ``around`` it."""
+    for k, at in enumerate(range(0, len(text), chunk)):
+        begin, end = max(0, at - around), min(len(text), at + chunk)
+        yield k, text[begin : min(len(text), end + around)], at - begin, end - begin, at == 0, end == len(text)
+
+
 def _encoded(sp, texts: list[str], ids: list[list[int]], verify: bool) -> pa.Array:
     none = [None] * len(ids)
     crcs = [crc(np.array(x, "<i4")) for x in ids] if verify else none
@@ -250,22 +267,43 @@ def _checks(spark: SparkSession, proto: bytes):
     return check
 
 
-def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int) -> DataFrame:
+def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int, fan: int) -> DataFrame:
     """Rows (giant, ids) of a stored table with the columns giant and ``text``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(proto)
     around = codec(proto).longest
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text is read once from its beginning to its end."""
+        names = ["giant", "k", "part", "lo", "hi", "first", "last"]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+        for batch in batches:
+            for giant, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
+                for row in cut(value.as_py(), chunk, around):
+                    rows.append((giant, *row))
+                    if len(rows) == 64:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        give_back()
+
     @F.arrow_udf("string")
     def transfer(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         c = codec(shared.value)
         for rows in _few(batches):
             yield pa.array([json.dumps(c.transfer(*row)) for row in rows], pa.string())
 
-    @F.arrow_udf("array<array<int>>")
-    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("string")
+    def combine(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array([chain([json.loads(m) for m in row]) for row in column.to_pylist()], pa.list_(pa.list_(pa.int32())))
+            yield pa.array([json.dumps(reduce(product, map(json.loads, row))) for row in column.to_pylist()], pa.string())
+
+    @F.arrow_udf("array<array<int>>")
+    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for matrices, ends in batches:
+            yield pa.array([chain([json.loads(m) for m in row], e) for row, e in zip(matrices.to_pylist(), ends.to_pylist(), strict=True)], pa.list_(pa.list_(pa.int32())))
 
     @F.arrow_udf("array<int>")
     def backtrace(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -274,23 +312,26 @@ def _giants(docs: DataFrame, text: str, proto: bytes, chunk: int) -> DataFrame:
             yield pa.array([c.backtrace(text_, lo, hi, (lo + path[0], lo + path[1]), (hi + path[2], hi + path[3])) for text_, lo, hi, path in rows], pa.list_(pa.int32()))
         give_back()
 
-    n = F.length(text)
-    cut = docs.select("giant", text, F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("k"))
-    at = F.col("k") * chunk
-    begin = F.greatest(F.lit(0), at - around)
-    size = F.least(n - begin, at - begin + chunk + around)
-    pieces = stored(
-        cut.select("giant", "k", F.substring(F.col(text), begin + 1, size).alias("part"), (at - begin).alias("lo"), F.least(at - begin + chunk, n - begin).alias("hi"), (at == 0).alias("first"), (at + chunk >= n).alias("last")).repartition(F.col("giant"), F.col("k")),
-        "pieces-chunks",
-    )
-    moved = pieces.select("giant", "k", transfer("part", "lo", "hi", "first", "last").alias("m"))
-    paths = moved.groupBy("giant").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("all"))
-    states = stored(paths.select("giant", F.posexplode(scan("all")).alias("k", "path")), "pieces-states")
+    made = docs.select("giant", text).mapInArrow(chunks, "giant long, k int, part string, lo int, hi int, first boolean, last boolean")
+    pieces = stored(made.repartition(F.col("giant"), F.col("k")), "pieces-chunks")
+    levels = [stored(pieces.select("giant", "k", transfer("part", "lo", "hi", "first", "last").alias("m")), "pieces-matrices")]
+    most = levels[0].agg(F.max("k")).first()[0]
+    above = F.floor(F.col("k") / fan).cast("int")
+    runs = lambda level: level.groupBy("giant", above.alias("run")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("all"))  # noqa: E731  fan matrices at most
+    while most >= fan:
+        levels.append(stored(runs(levels[-1]).select("giant", F.col("run").alias("k"), combine("all").alias("m")), "pieces-matrices"))
+        most //= fan
+    states = None
+    for level in levels[::-1]:
+        run = runs(level)
+        ends = run.withColumn("ends", F.lit(None).cast("array<int>")) if states is None else run.join(states.select("giant", F.col("k").alias("run"), F.col("path").alias("ends")), ["giant", "run"])
+        found = ends.select("giant", "run", F.posexplode(scan("all", "ends")).alias("i", "path"))
+        states = stored(found.select("giant", (F.col("run") * fan + F.col("i")).cast("int").alias("k"), "path"), "pieces-states")
     done = pieces.join(sized(states), ["giant", "k"]).select("giant", "k", backtrace("part", "lo", "hi", "path").alias("ids"))
     return done.groupBy("giant").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, columns: list[str] | None = None, text: str = "text", proto: bytes | None = None, chunk: int = CHUNK, verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, columns: list[str] | None = None, text: str = "text", proto: bytes | None = None, chunk: int = CHUNK, fan: int = FAN, verify: bool = False) -> DataFrame:
     """The ``columns`` of each row (doc_id by default) with ``ids``, its text's piece ids.
 
     Null and empty texts have no ids. The ids are those of the library for the whole text,
@@ -306,7 +347,7 @@ def encode(docs: DataFrame, columns: list[str] | None = None, text: str = "text"
     giants = stored(docs.where(F.length(text) > chunk).select(*keep, F.concat(F.lit(" "), F.col(text)).alias("__text"), F.monotonically_increasing_id().alias("__giant")), "pieces-giants")
     if giants.isEmpty():
         return short
-    ids = _giants(giants.select(F.col("__giant").alias("giant"), "__text"), "__text", proto, chunk)
+    ids = _giants(giants.select(F.col("__giant").alias("giant"), "__text"), "__text", proto, chunk, fan)
     whole = giants.join(ids.withColumnRenamed("giant", "__giant"), "__giant")
     if verify:
         whole = whole.withColumn("__e", _checks(docs.sparkSession, proto)("__text", "ids")).select("*", "__e.ids_crc32", "__e.round_trip")
