@@ -7,11 +7,14 @@ over the characters parsed estimate the cross entropy, and the least estimate wi
 The automata become transition tables: dense ones over the letters of the language's own
 sample, the smallest first until DENSE cells are taken, and sorted edges for the rest. All
 letters of all samples count. Texts are cut into segments of SEGMENT
-characters, each parsed from a new phrase on, so that all segments of a batch and all
-languages advance together, one table lookup a character. Whole texts are parsed.
+characters, so that all segments of a batch and all languages advance together, one table
+lookup a character; where a phrase goes on from one segment to the next is put right
+afterwards, so that the phrases are those of the whole text, however long.
 
 Fitting uses a bounded sample: of each language SAMPLE_DOCS documents at most, dealt by hash
-of doc_id, and SAMPLE_CHARS characters of them in all.
+of doc_id, and SAMPLE_CHARS characters of them in all, ALL_CHARS over the number of languages
+(2,000 at least) where that is less. A document gives one stretch of an eighth of these (1,000 characters
+at least), which begins at a place in its whole text that the hash of its id picks.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ SAMPLE_DOCS = 32
 SAMPLE_CHARS = 24_000
 #: Characters sampled of all languages together; with many languages each gets fewer.
 ALL_CHARS = 1_000_000
-SEGMENT = 256
-BATCH_CHARS = 1 << 18
+SEGMENT = 512
+BATCH_CHARS = 1 << 19
 #: Cells of all dense tables, four bytes each.
 DENSE = 1 << 25
 UNKNOWN = "und"
@@ -149,44 +152,84 @@ class CrossParser:
         start = at[owner] + nth * SEGMENT
         left = np.minimum(SEGMENT, at[owner + 1] - start)
         out = np.zeros((len(self.languages), len(length)), np.int64)
+        last = np.zeros(len(self.languages), np.int64)  # states at the end of the batch before
         step = max(1, BATCH_CHARS // SEGMENT)
         for lo in range(0, len(owner), step):
             s, n = start[lo : lo + step], left[lo : lo + step]
             order = np.argsort(-n, kind="stable")
-            s, n = s[order], n[order]
             column = np.arange(SEGMENT, dtype=np.int64)[:, None]
-            block = symbols[np.minimum(s[None, :] + column, len(symbols) - 1)]
-            block[column >= n[None, :]] = 2
-            state = np.repeat(np.array(self.starts, np.int32), len(s)).reshape(len(self.starts), len(s))
-            count = np.zeros(state.shape, np.int32)
-            active = np.searchsorted(-n, -np.arange(SEGMENT), "left")  # texts longer than the column
-            for i in range(SEGMENT):
-                m = active[i]
-                if not m:
-                    break
-                to = self.table.take(state[:, :m] + self.local.take(block[i, :m], axis=1)) if self.dense else state[:, :m]
-                broke = to >> 31
-                count[:, :m] -= broke
-                state[:, :m] = to ^ broke
-            for k, n_phrases in [*zip(self.dense, count, strict=True), *((k, self._by_edges(k, block, active)) for k in self.edges)]:
-                out[k] += np.bincount(owner[lo : lo + step][order], n_phrases, len(length)).astype(np.int64)
+            block = symbols[np.minimum(s[order][None, :] + column, len(symbols) - 1)]
+            block[column >= n[order][None, :]] = 2
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            before = np.concatenate([[len(order)], place[:-1]])  # where the segment before each stands; that of the last batch comes at the end
+            before = np.where(nth[lo : lo + step] > 0, before, -1)[order]
+            n = n[order]
+            active = np.searchsorted(-n, -np.arange(SEGMENT), "left")  # segments longer than the column
+            state = np.repeat(np.array(self.starts, np.int32), len(n)).reshape(len(self.starts), len(n))
+            opened = np.zeros((len(self.languages), SEGMENT, len(n)), bool)
+            if self.dense:
+                for i, m in enumerate(active.tolist()):
+                    to = self.table.take(state[:, :m] + self.local.take(block[i, :m], axis=1))
+                    broke = to >> 31
+                    opened[self.dense, i, :m] = broke
+                    state[:, :m] = to ^ broke
+            ends = dict(zip(self.dense, state.astype(np.int64), strict=True)) | {k: self._by_edges(k, block, active, opened[k]) for k in self.edges}
+            for k, end in ends.items():
+                count, end = self._carried(k, block, n, opened[k], np.append(end, last[k]), before)
+                last[k] = end[place[-1]]
+                out[k] += np.bincount(owner[lo : lo + step][order], count, len(length)).astype(np.int64)
         return out
 
-    def _by_edges(self, k: int, block: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases of each column of ``block`` in a language without a dense table."""
-        keys, ends, root, start = self.edges[k]
-        state, count = np.full(block.shape[1], start, np.int64), np.zeros(block.shape[1], np.int32)
-        for i in range(SEGMENT):
-            m = active[i]
-            if not m:
-                break
-            symbol = block[i, :m].astype(np.int64)
-            key = state[:m] * self.width + symbol
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            goes = keys[at] == key
-            count[:m] += ~goes
-            state[:m] = np.where(goes, ends[at], root[symbol])
-        return count
+    def _step(self, k: int, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after these symbols, and where the symbol opened a phrase."""
+        if k not in self.edges:
+            to = self.table.take(state + self.local[self.dense.index(k)].take(symbol))
+            return np.where(to < 0, ~to, to), to < 0
+        keys, ends, root, _ = self.edges[k]
+        key = state * self.width + symbol
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        goes = keys[at] == key
+        return np.where(goes, ends[at], root[symbol]).astype(np.int64), ~goes
+
+    def _by_edges(self, k: int, block: np.ndarray, active: np.ndarray, opened: np.ndarray) -> np.ndarray:
+        """The states at the ends of the columns of ``block`` in a language without a dense table; notes where phrases open."""
+        state = np.full(block.shape[1], self.edges[k][3], np.int64)
+        for i, m in enumerate(active.tolist()):
+            state[:m], opened[i, :m] = self._step(k, state[:m], block[i, :m].astype(np.int64))
+        return state
+
+    def _carried(self, k: int, block: np.ndarray, n: np.ndarray, opened: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each segment and the states at their ends when phrases go on from one segment to the next.
+
+        Each segment has been parsed from a new phrase on. It is parsed again from the state
+        in which the one before it ends, up to the first place where both parses open a
+        phrase, as they agree from there. A segment without such a place ends in another
+        state, with which the one after it is parsed again.
+        """
+        upto = np.cumsum(opened, axis=0, dtype=np.int32)
+        fresh, count = ends.copy(), upto[-1].astype(np.int64)
+        total = count.copy()
+        todo = np.flatnonzero(before >= 0)
+        while len(todo):
+            state, found = ends[before[todo]], np.zeros(len(todo), np.int64)
+            live = np.arange(len(todo))
+            for i in range(SEGMENT):
+                live = live[n[todo[live]] > i]
+                if not len(live):
+                    break
+                where = todo[live]
+                state[live], broke = self._step(k, state[live], block[i, where].astype(np.int64))
+                found[live] += broke
+                met = broke & opened[i, where]
+                done, where = live[met], where[met]
+                found[done] += total[where] - upto[i, where]
+                state[done] = fresh[where]
+                live = live[~met]
+            changed = todo[state != ends[todo]]
+            count[todo], ends[todo] = found, state
+            todo = np.flatnonzero(np.isin(before, changed))
+        return count, ends
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         raw, byte_at = text_bytes(column)
@@ -222,17 +265,19 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     ids = chosen.collect()
     if not ids:
         return CrossParser({})
-    wanted = chosen.select(F.col("doc_id").alias("id"))
-    texts = docs.join(F.broadcast(wanted), docs.doc_id == wanted.id, "left_semi").groupBy("doc_id", "lang").agg(F.max(F.substring("text", 1, sample_chars)).alias("text")).collect()
+    budget = min(sample_chars, max(2000, ALL_CHARS // len({r.lang for r in ids})))
+    most = max(1000, budget // 8)
+    wanted = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.lit(1), F.length("text") - most + 1)).cast("int") + 1
+    met = docs.select("doc_id", "lang", "text").join(F.broadcast(wanted), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")), "left_semi")
+    texts = met.groupBy("doc_id", "lang").agg(F.max(F.substring("text", begin, F.lit(most))).alias("text")).collect()
     found = {(r.lang, r.doc_id): r.text or "" for r in texts}
-    n = len({r.lang for r in ids})
-    budget = min(sample_chars, max(2000, ALL_CHARS // n))
     samples: dict[str, list[str]] = {}
     for r in sorted(ids, key=lambda r: (r.turn, r.doc_id)):
         part = samples.setdefault(r.lang, [])
         room = budget - sum(map(len, part))
         if room > 0 and (text := found.get((r.lang, r.doc_id))):
-            part.append(text[: min(room, max(1000, budget // 8))])
+            part.append(text[:room])
     return CrossParser({k: v for k, v in samples.items() if v})
 
 
@@ -253,7 +298,7 @@ def predicted(docs: DataFrame, model: CrossParser, text: str = "text") -> Column
             yield pa.concat_arrays(parts)
         give_back()
 
-    return parse(F.col(text))
+    return parse.asNondeterministic()(F.col(text))  # so that a filter on it doesn't run it twice
 
 
 def identify(docs: DataFrame, model: CrossParser | None = None) -> DataFrame:
