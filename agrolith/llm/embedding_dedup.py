@@ -1,22 +1,26 @@
 """Near-duplicate embeddings by PCA-ordered tiled comparison.
 
 Unit vectors are rotated to the axes of their covariance, largest variance first. Distinct
-vectors are cut into blocks along the first axis, and pairs of blocks are compared, one task
-a pair, tile by tile: the products of the leading STEP axes are added up first, and a pair goes on to
-the next axes only while its sum, plus the product of the two rests' norms, can reach the
-threshold. What is left after the last axis is decided by the cosine of the given vectors in
-double precision. Two blocks whose first coordinates are further apart than any pair above
-the threshold can be are never paired.
+vectors are cut into slabs along the first axis and the slabs into blocks along the second,
+all of about BLOCK_ROWS vectors. Pairs of blocks are compared, one task a pair, tile by tile: the products
+of the leading STEP axes are added up first, and a pair goes on to the next axes only while
+its sum, plus the product of the two rests' norms, can reach the threshold. What is left
+after the last axis is decided by the cosine of the given vectors in double precision. Two
+blocks are never paired whose boxes over the BOX leading axes are further apart than any
+pair above the threshold can be; the table of blocks is joined with itself by cells of the
+first axis to find the others, so that nothing about blocks passes the driver.
 
 A task returns for each of its vectors the number linked, and one edge to the least vector
 it is joined with there; pairs themselves are not written out. Equal vectors are one vector
-with a weight. Work is that of all pairs of blocks that may hold a link, as the method has
-it, with most of it in the leading axes.
+with a weight. Vectors of each length that occurs are compared with those of that length.
+Work is that of all pairs of blocks that may hold a link, as the method has it, with most
+of it in the leading axes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ THRESHOLD = 0.95
 BLOCK_ROWS = 4096
 TILE = 1024
 STEP = 8
+#: Leading axes over which blocks have boxes.
+BOX = 8
 #: Beyond rounding of the partial sums; only pairs this near or nearer are decided exactly.
 SLACK = 1e-9
 
@@ -40,7 +46,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def principal_axes(vectors: DataFrame, width: int) -> np.ndarray:
-    """Axes of the second moments of the unit vectors, as columns; all rows count.
+    """Of vectors of this length: axes of the second moments of the unit vectors, as columns; all rows count.
 
     Tasks return one width x width matrix each, which are summed by a tree of tasks.
     """
@@ -108,77 +114,101 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """Rows (vec_id, n_links, component_id), one for each row of ``vectors`` (vec_id, embedding).
 
     Vectors that are null, empty or zero, or hold null or non-finite components, are linked
-    with nothing, and so are those of another length than most. Repeated rows are vectors of
+    with nothing, others with those of their own length. Repeated rows are vectors of
     their own. A null vec_id has links but never names a component. Other columns are
     ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     sound = rows.where(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-    lengths = sound.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    width = lengths["d"]
-    sound = sound.where(F.size("embedding") == width)
     kinds = stored(sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("kind", F.monotonically_increasing_id()), "vectors-kinds")
-    axes = spark.sparkContext.broadcast(principal_axes(kinds, width))
+    widths = [r.d for r in kinds.select(F.size("embedding").alias("d")).distinct().collect()]
+    if not widths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    tables = [_links(kinds.where(F.size("embedding") == d).select("kind", "copies", "embedding"), d, threshold) for d in sorted(widths)]
+    found = reduce(DataFrame.union, tables)
+    joined = components(found.select(F.col("kind").alias("a"), F.col("root").alias("b")), "vectors-components")
+    totals = found.groupBy("kind").agg(F.sum("links").alias("links"))
+    about = kinds.select("kind", "embedding", "rep", "copies").join(totals, "kind", "left").join(joined.select(F.col("node").alias("kind"), "component"), "kind", "left")
+    about = stored(about.withColumn("component", F.coalesce("component", "kind")), "vectors-about")
+    least = about.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = about.where("copies > 1 or links > 0").join(least, "component").select("embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    linked = stored(linked.withColumnRenamed("embedding", "same"), "vectors-linked")
+    discard(kinds, about, *tables)
+    out = rows.join(sized(linked, 50_000), F.col("embedding") == F.col("same"), "left")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+
+
+def _blocks(turned: DataFrame, n: int) -> DataFrame:
+    """``turned`` (kind, lead, ...) with the number of each row's block: slabs by the first axis, cut by the second."""
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    slabs = max(1, round(blocks**0.5))
+    each = -(-blocks // slabs)
+    first, second = F.element_at("lead", 1), F.element_at("lead", F.least(F.lit(2), F.size("lead")))
+    where = lambda x, cuts: F.size(F.filter(cuts, lambda c: c < x))
+    cuts = turned.agg(F.percentile_approx(first, [i / slabs for i in range(1, slabs)], 20 * slabs)).first()[0] if slabs > 1 else []  # the root of the number of blocks
+    slabbed = turned.withColumn("slab", where(first, F.array(*[F.lit(c) for c in cuts])) if slabs > 1 else F.lit(0))
+    inner = slabbed.groupBy("slab").agg(F.percentile_approx(second, [i / each for i in range(1, each)] or [0.5], 20 * each).alias("cuts"))
+    inner = stored(inner, "vectors-cuts")  # a row a slab
+    return slabbed.join(sized(inner, 1000), "slab").withColumn("block", F.col("slab") * F.lit(each).cast("long") + (where(second, F.col("cuts")) if each > 1 else F.lit(0))).drop("cuts", "slab")
+
+
+def _near(blocked: DataFrame, box: int, reach: float) -> DataFrame:
+    """Pairs (block, pair, side) of blocks whose boxes are within ``reach``; both sides of a pair are rows."""
+    ends = [f(F.element_at("lead", i)).alias(f"{name}{i}") for i in range(1, box + 1) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    boxes = stored(blocked.groupBy("block").agg(*ends), "vectors-boxes")
+    cells = F.sequence(F.floor(F.col("lo1") / reach).cast("int"), F.floor(F.col("hi1") / reach).cast("int"))
+    a = boxes.select("*", F.explode(cells).alias("cell"))
+    b = boxes.select(*[F.col(c).alias(f"{c}_") for c in boxes.columns], F.explode(F.sequence(F.floor(F.col("lo1") / reach).cast("int") - 1, F.floor(F.col("hi1") / reach).cast("int") + 1)).alias("cell"))
+    gap = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(f"hi{i}_"), F.col(f"lo{i}_") - F.col(f"hi{i}")), 2) for i in range(1, box + 1))
+    pairs = a.join(b, "cell").where(F.col("block") <= F.col("block_")).where(gap <= reach**2).select("block", "block_").distinct()
+    numbered = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "vectors-pairs")
+    return stored(numbered.select("block", "pair", F.lit(0).alias("side")).union(numbered.where("block <> block_").select("block_", "pair", F.lit(1))), "vectors-near")
+
+
+def _links(kinds: DataFrame, width: int, threshold: float) -> DataFrame:
+    """A stored table (kind, links, root) of the vectors of one length that are linked, for each pair of blocks where they are."""
+    axes = kinds.sparkSession.sparkContext.broadcast(principal_axes(kinds, width))
+    box = min(BOX, width)
 
     @F.arrow_udf("array<double>")
-    def rotate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def lead(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             x = _matrix(column)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            y = x @ axes.value
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(y.ravel()))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * box), pa.array((x @ axes.value[:, :box]).ravel()))
 
-    turned = stored(kinds.select("kind", "copies", "embedding", rotate("embedding").alias("turned")), "vectors-turned")
-    n = turned.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    edges = turned.select(F.percentile_approx(F.element_at("turned", 1), F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 20 * blocks)).first()[0] if blocks > 1 else []
-    edges = sorted(set(edges))
-    lead = F.element_at("turned", 1)
-    block = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda s, e: s + (lead > e).cast("int")) if edges else F.lit(0)
+    turned = stored(kinds.withColumn("lead", lead("embedding")), "vectors-turned")
+    blocked = stored(_blocks(turned, turned.count()), "vectors-blocks")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    bounds = [float("-inf"), *edges, float("inf")]
-    near = [[j for j in range(i, len(bounds) - 1) if j == i or bounds[j] - bounds[i + 1] <= reach] for i in range(len(bounds) - 1)]
-    pairs_of = [[i * len(near) + j for i in range(len(near)) for j in near[i] if b in (i, j)] for b in range(len(near))]
-    table = F.array(*[F.array(*[F.lit(p) for p in row]) for row in pairs_of])
-    dealt = turned.withColumn("block", block.cast("int")).withColumn("pair", F.explode(F.element_at(table, F.col("block") + 1)))
+    near = _near(blocked.select("block", "lead"), box, reach)
+    dealt = blocked.select("kind", "copies", "embedding", "block").join(sized(near, 100_000), "block")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        pair = group["pair"][0].as_py()
-        i, j = divmod(pair, len(near))
-        where = group["block"].to_numpy()
-        y, raw = (_matrix(group[c].combine_chunks() if group[c].num_chunks != 1 else group[c].chunk(0)) for c in ("turned", "embedding"))
-        a, b = np.flatnonzero(where == i), np.flatnonzero(where == j)
-        p, q = candidates(y[a], y[b], threshold, i == j)
-        p, q = a[p], b[q]
+        raw = _matrix(group["embedding"].combine_chunks() if group["embedding"].num_chunks != 1 else group["embedding"].chunk(0))
         norm = np.linalg.norm(raw, axis=1)
+        y = (raw / norm[:, None]) @ axes.value
+        side = group["side"].to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not len(b)
+        p, q = candidates(y[a], y[a] if same else y[b], threshold, same)
+        p, q = a[p], a[q] if same else b[q]
         hit = np.zeros(len(p), bool)
         for lo in range(0, len(p), 1 << 16):
             s, t = p[lo : lo + (1 << 16)], q[lo : lo + (1 << 16)]
             hit[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", raw[s], raw[t]) / (norm[s] * norm[t]) >= threshold
         p, q = p[hit], q[hit]
         copies = group["copies"].to_numpy()
-        links = np.bincount(p, copies[q], len(where)) + np.bincount(q, copies[p], len(where))
-        root = roots(len(where), p, q)
+        links = np.bincount(p, copies[q], len(raw)) + np.bincount(q, copies[p], len(raw))
+        root = roots(len(raw), p, q)
         has = np.flatnonzero(links > 0)
         kind = group["kind"].to_numpy()
         return pa.table({"kind": pa.array(kind[has]), "links": pa.array(links[has].astype(np.int64)), "root": pa.array(kind[root[has]])})
 
-    found = stored(dealt.select("kind", "copies", "embedding", "turned", "block", "pair").groupBy("pair").applyInArrow(compare, "kind long, links long, root long"), "vectors-links")
-    joined = components(found.select(F.col("kind").alias("a"), F.col("root").alias("b")), "vectors-components")
-    totals = found.groupBy("kind").agg(F.sum("links").alias("links"))
-    about = kinds.select("kind", "embedding", "rep", "copies").join(totals, "kind", "left").join(joined.select(F.col("node").alias("kind"), "component"), "kind", "left")
-    about = stored(about.withColumn("component", F.coalesce("component", "kind")), "vectors-about")
-    least = about.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = about.where("copies > 1 or links > 0").join(least, "component").select("embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    linked = stored(linked.withColumnRenamed("embedding", "same"), "vectors-linked")
-    out = rows.join(sized(linked, 50_000), F.col("embedding") == F.col("same"), "left")
-    discard(turned, found)
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    found = stored(dealt.select("kind", "copies", "embedding", "pair", "side").groupBy("pair").applyInArrow(compare, "kind long, links long, root long"), "vectors-links")
+    discard(turned, blocked)
+    return found
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
