@@ -1,11 +1,12 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Unigrams and bigrams are hashed to BUCKETS. Two bag models with add-one smoothing are
-counted, of the target documents and of all; the mean over a text's n-grams of
-log(target / raw) is its log weight per n-gram, so that long texts aren't favoured or punished for their
-length. SHARPNESS times that, plus Gumbel noise by hash of (seed, doc_id), is its key, and the
-documents with the k largest keys are the sample. The k-th key is found by histograms that
-narrow down on it; nothing is sorted but the rows that share its last, narrow bin.
+counted, of the target documents and of all. The sum over a text's n-grams of
+log(target / raw) is its log importance weight. That over the temperature, plus Gumbel noise by hash of
+(seed, doc_id), is its key, and the documents with the k largest keys are a sample without
+replacement in proportion to the weights (at temperature 1; a higher one evens them out). The k-th key is
+found by histograms that narrow down on it, and among rows that share it by those of their
+ids; nothing is sorted but the rows of one narrow bin.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.llm.kernels import grams, text_bytes, word_hashes
-from agrolith.llm.shared import documents, sized, stored
+from agrolith.llm.shared import documents, free_name, sized, stored
 
 BUCKETS = 1 << 15
 SHARE = 0.85
-SHARPNESS = 20.0
+TEMPERATURE = 1.0
 SEED = 11
 BINS = 1024
+#: Rows that may be sorted by one task.
+FEW = 20_000
 #: Log weight of texts without words: they come last.
-NO_WORDS = -1e6
+NO_WORDS = -1e12
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,33 +88,47 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 f, at = features(column.slice(lo, hi - lo))
                 some = np.flatnonzero(np.diff(at))
                 if len(some):
-                    out[lo + some] = np.add.reduceat(shared.value[f], at[:-1][some]) / np.diff(at)[some]
+                    out[lo + some] = np.add.reduceat(shared.value[f], at[:-1][some])
             yield pa.array(out)
 
     return docs.select("doc_id", weigh(F.coalesce("text", F.lit(""))).alias("log_weight"))
 
 
 def largest(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> DataFrame:
-    """The k rows of a stored table with the largest keys, ties by the least ``tie``, without a global sort."""
+    """The k rows of a stored table with the largest keys, without a global sort.
+
+    Of equal keys those with the least ``tie``, a number, come first, null ones before them.
+    Rows that are equal in both are alike.
+    """
+    by = free_name(rows, "by")
+    out, inside, rest = _narrowed(rows.withColumn(by, F.col(key)), by, k)
+    if rest and not inside.limit(FEW + 1).count() <= FEW:  # all of them share one key
+        above, inside, rest = _narrowed(inside.withColumn(by, F.coalesce(-F.col(tie).cast("double"), F.lit(2.0**64))), by, rest)
+        out = out.unionByName(above)
+    if rest:
+        out = out.unionByName(inside.orderBy(F.desc(key), F.col(tie).asc_nulls_first()).limit(rest))
+    return out.drop(by)
+
+
+def _narrowed(rows: DataFrame, column: str, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows that are sure to be among the k with the largest ``column``, those that may be, and how many of these are."""
     lo, hi, above = float("-inf"), float("inf"), 0
+    by = F.col(column)
     while True:
-        inside = rows.where((F.col(key) >= lo) & (F.col(key) <= hi))
-        low, high, n = inside.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-        if n <= 20_000 or low == high:
-            break
+        inside = rows.where((by >= lo) & (by <= hi))
+        low, high, n = inside.agg(F.min(by), F.max(by), F.count(F.lit(1))).first()
+        if n <= FEW or low == high:
+            return rows.where(by > hi), inside, max(0, k - above)
         width = (high - low) / BINS
-        bins = inside.groupBy(F.least(F.lit(BINS - 1), F.floor((F.col(key) - low) / width)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy(F.desc("bin")).collect()
+        bins = inside.groupBy(F.least(F.lit(BINS - 1), F.floor((by - low) / width)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi")).orderBy(F.desc("bin")).collect()
         for b in bins:
             if above + b["n"] >= k:
                 break
             above += b["n"]
         lo, hi = b["lo"], b["hi"]
-    sure = rows.where(F.col(key) > hi)
-    rest = max(0, k - above)
-    return sure.unionByName(inside.orderBy(F.desc(key), F.col(tie).asc_nulls_first()).limit(rest)) if rest else sure
 
 
-def resample(docs: DataFrame, targets: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, targets: DataFrame, share: float = SHARE, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """Rows (doc_id, log_weight, key) of the sampled documents: ``share`` of all rows, rounded.
 
     targets: rows with the doc_id of documents to take as the target; repeated and null ids
@@ -124,7 +141,7 @@ def resample(docs: DataFrame, targets: DataFrame, share: float = SHARE, seed: in
     marked = rows.join(sized(wanted), F.col("doc_id") == F.col("goal"), "left").select(F.coalesce("text", F.lit("")).alias("text"), F.col("goal").isNotNull().alias("is_target"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + F.lit(0.5)) / F.lit(2.0**53)
     noise = -F.log(-F.log(u))
-    keyed = stored(weights(rows, log_ratio(marked)).withColumn("key", F.col("log_weight") * SHARPNESS + noise), "quality-keys")
+    keyed = stored(weights(rows, log_ratio(marked)).withColumn("key", F.col("log_weight") / temperature + noise), "quality-keys")
     return largest(keyed, round(share * keyed.count()))
 
 
