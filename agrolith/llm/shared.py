@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share.
 
-    That folder is ``spark.checkpoint.dir``. Only where it is unset (a local session)
-    a temporary folder of this machine takes its place.
+    That folder is ``spark.checkpoint.dir``. Where it is unset, a temporary folder of this
+    machine takes its place in a local session; a cluster's executors would not share one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folder:
             _own_folder[app] = tempfile.mkdtemp(prefix="agrolith-")
