@@ -15,32 +15,36 @@ NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: null texts and texts without a letter."""
+    """Tells each document's language from its text, which takes the place of the given ``lang``.
+
+    Drops documents in which none can be told: null texts, texts without a letter, and all if
+    no row has a lang and an id to learn from. Repeated rows and null ids stay, as do other columns.
+    """
     small_batches(spark)
-    model = language_id.fit(docs)
-    return docs.where(language_id.predicted(docs, model)["lang_pred"] != language_id.UNKNOWN)
+    found = docs.withColumn("lang", language_id.predicted(docs, language_id.fit(docs))["lang_pred"])
+    return found.where(F.col("lang") != language_id.UNKNOWN)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the row with the largest doc_id."""
+    """Of equal texts, null counting as empty, keeps one row: that with the largest doc_id, a null one last."""
     return exact_dedup.distinct_texts(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, keeps the row with the smallest doc_id."""
+    """Of each group of near copies, keeps one row: that with the smallest doc_id, a null one last. Texts without words stay."""
     small_batches(spark)
     return minhash_dedup.distinct_documents(docs, NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the budgets of their domain, language and source reach in one epoch."""
+    """Keeps the rows that the budgets of their domain, language and source reach in one epoch; null lang and source are leaves of their own."""
     keyed = with_rows(docs)
     chosen = stored(mixing.mix(keyed, percent=MIX_PERCENT, epochs=1, row=ROW).select(F.col(ROW).alias("__chosen")), "pipeline-mix")
     return keyed.join(sized(chosen), keyed[ROW] == F.col("__chosen"), "left_semi").drop(ROW)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the piece ids of each text, their crc32, and whether decoding them gives the text; the text itself goes."""
+    """Adds the piece ids of each text, their crc32, and whether decoding them gives the text; the text itself goes. Null and empty texts have none."""
     small_batches(spark)
     return sentencepiece_codec.encode(docs, ["doc_id", "lang", "source", "n_chars"], verify=True)
 
