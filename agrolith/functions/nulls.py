@@ -51,3 +51,9 @@ def categories(x: Column, edges: list[float], right: bool = False) -> Column:
     for e in edges:
         out = out + (x > e if right else x >= e).cast("int")
     return F.when(x.isNotNull(), out)
+
+
+def finite(x: Column) -> Column:
+    """The value, or NULL where it is NaN or infinite: payloads hold neither."""
+    v = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    return F.when(F.abs(v) != F.lit(float("inf")), v)

@@ -94,3 +94,8 @@ def degree_days(tmax: Column, tmin: Column, base: float) -> Column:
 def octant(x: Column, y: Column) -> Column:
     """Compass octant 1 to 8 of the point (x, y); NULL at the origin."""
     return F.when((x != 0) | (y != 0), F.floor(F.pmod(F.degrees(F.atan2(y, x)) + 180, F.lit(360.0)) / 45).cast("int") + 1)
+
+
+def stress_degrees(tmax: Column, above: float) -> Column:
+    """Degrees of the maximum above a threshold."""
+    return clip(tmax - above, 0)

@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: list[str]) -> DataFrame:
     """For each row of ``left`` the latest row of ``right`` of the same key at or before its time.
 
-    The right side becomes validity intervals, one window over itself, and meets the left by
-    key and range: the left is neither sorted with it nor gathered by key, so that a hot key
-    is split at run time. Right rows that share key and time: the greatest struct of columns.
+    Both sides become one table, sorted by key and time, in which the last right row is carried
+    forward: work is that of a sort, however many rows a key has on both sides. Right rows that share key and time: the greatest struct of columns.
     """
     last = right.groupBy(*on, time).agg(F.max(F.struct(*columns)).alias("__v"))
-    w = Window.partitionBy(*on).orderBy(time)
-    spans = last.select(*[F.col(c).alias(f"__{c}") for c in on], F.col(time).alias("__from"), F.lead(time).over(w).alias("__to"), "__v")
-    match = (F.col(time) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(time) < F.col("__to")))
+    given = F.struct(*[F.col(c) for c in left.columns]).alias("__left")
+    rows = left.select(*on, time, F.lit(1).alias("__side"), given, F.lit(None).cast(f"struct<at: {right.schema[time].dataType.simpleString()}, v: {last.schema['__v'].dataType.simpleString()}>").alias("__right"))
+    both = rows.unionByName(last.select(*on, time, F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), F.struct(F.col(time).alias("at"), F.col("__v").alias("v")).alias("__right")))
+    w = Window.partitionBy(*on).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__right", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
+    known = F.col(time).isNotNull()
     for c in on:
-        match = match & (F.col(c) == F.col(f"__{c}"))
-    out = left.join(spans, match, "left")
-    return out.select(*left.columns, F.col("__from").alias("as_of"), *[F.col(f"__v.{c}").alias(c) for c in columns])
+        known = known & F.col(c).isNotNull()
+    at = F.when(known, F.col("__right"))
+    return found.select(*[F.col(f"__left.{c}").alias(c) for c in left.columns], at["at"].alias("as_of"), *[at["v"][c].alias(c) for c in columns])
 
 
 def previous_month(left: DataFrame, right: DataFrame, date: str, month: str, keys: list[str]) -> DataFrame:
@@ -28,6 +30,12 @@ def previous_month(left: DataFrame, right: DataFrame, date: str, month: str, key
     return left.withColumn("__month", F.add_months(F.trunc(date, "MM"), -1)).join(right.withColumnRenamed(month, "__month"), [*keys, "__month"], "left").drop("__month")
 
 
+def year_before(df: DataFrame, keys: list[str], year: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the value of the same keys a year before."""
+    last = df.select(*keys, (F.col(year) + 1).alias(year), F.col(value).alias(name))
+    return df.join(last, [*keys, year], "left")
+
+
 def box_overlap(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes (id, x0, x1, y0, y1) that overlap, and each pair's share of all overlap of ``a``'s box.
 
@@ -73,18 +81,21 @@ def normalised(name: Column) -> Column:
 
 
 def fuzzy_names(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
-    """Match (id, state, name) to (key, state, name): equal names first, then those of the same state that
-    share enough words.
+    """Match (id, state, name) to (key, state, name): equal names of the state first, then those of the state that
+    share enough words, then an equal name that just one key of all states has.
 
     Likeness is the number of shared words over the smaller number of words, at least
-    ``least``; the greatest wins, then the least key. Candidates share a word, so that the join is one of equality.
+    ``least``; the greatest wins, then the least key. Candidates share a word, so that the join
+    is one of equality. Names without letters match nothing.
     """
     words = lambda c: F.array_distinct(F.split(c, " "))
-    a = left.select("id", F.col("state"), normalised(F.col("name")).alias("n"))
-    b = right.select("key", F.col("state"), normalised(F.col("name")).alias("m"))
+    a = left.select("id", F.col("state"), normalised(F.col("name")).alias("n")).where("n <> ''")
+    b = right.select("key", F.col("state"), normalised(F.col("name")).alias("m")).where("m <> ''")
     exact = a.join(b, (a.state == b.state) & (a.n == b.m)).groupBy("id").agg(F.min("key").alias("key")).select("id", "key", F.lit(1.0).alias("likeness"))
     rest = a.join(exact, "id", "left_anti")
     shared = rest.select("id", "state", "n", F.explode(words(F.col("n"))).alias("w")).join(b.select("key", "state", "m", F.explode(words(F.col("m"))).alias("w")), ["state", "w"])
     scored = shared.groupBy("id", "key", "n", "m").agg(F.count(F.lit(1)).alias("k")).withColumn("likeness", F.col("k") / F.least(F.size(words(F.col("n"))), F.size(words(F.col("m")))))
-    best = scored.where(F.col("likeness") >= least).groupBy("id").agg(F.max_by(F.struct("key", "likeness"), F.struct("likeness", -F.col("key"))).alias("b"))
-    return exact.union(best.select("id", "b.key", "b.likeness"))
+    best = scored.where(F.col("likeness") >= least).groupBy("id").agg(F.max_by(F.struct("key", "likeness"), F.struct("likeness", -F.col("key"))).alias("b")).select("id", "b.key", "b.likeness")
+    unique = b.groupBy("m").agg(F.min("key").alias("key"), F.countDistinct("key").alias("k")).where("k = 1")
+    left_over = rest.join(best, "id", "left_anti").join(unique, F.col("n") == F.col("m")).select("id", "key", F.lit(1.0).alias("likeness"))
+    return exact.union(best).union(left_over)

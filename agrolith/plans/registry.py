@@ -33,7 +33,7 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from agrolith.plans import climate, domain, more, streams, surface  # noqa: F401
+    from agrolith.plans import climate, domain, inventory, more, panel, streams, surface, texts  # noqa: F401
 
 
 load()

@@ -75,13 +75,6 @@ def s22(spark, d):
     return g.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("state", "district")) - 1).alias("district_id"), "state", "district", "area", "is_flagged")
 
 
-@query("d05_month_to_date", f"{with_(DAILY)}, u AS (SELECT district_id, CAST(year(date) AS INT) AS year, sum(rain_mm) AS rain, avg(tmax_c) AS tmax FROM daily WHERE month(date) = 7 AND day(date) <= 20 GROUP BY ALL), n AS (SELECT district_id, avg(rain) AS rn, avg(tmax) AS tn FROM u WHERE year BETWEEN 1995 AND 1998 GROUP BY 1) SELECT district_id, year, round(rain, 4) AS rain_to_date, round(CASE WHEN rn >= 5 THEN (rain - rn) / rn * 100 END, 4) AS departure, round(tmax - tn, 4) AS tmax_anom, 1 AS is_month_to_date FROM u LEFT JOIN n USING (district_id)")
-def d05(spark, d):
-    u = A.daily(spark, d).where((F.month("date") == 7) & (F.dayofmonth("date") <= 20)).groupBy("district_id", F.year("date").alias("year")).agg(F.sum("rain_mm").alias("rain"), F.avg("tmax_c").alias("tmax"))
-    n = u.where(F.col("year").between(*BASE)).groupBy("district_id").agg(F.avg("rain").alias("rn"), F.avg("tmax").alias("tn"))
-    return u.join(F.broadcast(n), "district_id", "left").select("district_id", "year", r4(F.col("rain"), "rain_to_date"), r4(percent_departure(F.col("rain"), F.col("rn")), "departure"), r4(F.col("tmax") - F.col("tn"), "tmax_anom"), F.lit(1).alias("is_month_to_date"))
-
-
 @query("d11_monthly_sown_area", f"WITH {COUNTERS}, m AS (SELECT brand, year(week) AS y, month(week) AS m, max(area) AS top FROM counter WHERE quarter(week) <= 2 GROUP BY ALL), c AS (SELECT *, max(top) OVER (PARTITION BY brand, y ORDER BY m) AS peak FROM m) SELECT brand, CAST(y AS INT) AS year, CAST(m AS INT) AS month, peak, greatest(0, coalesce(peak - lag(peak) OVER (PARTITION BY brand, y ORDER BY m), peak)) AS sown FROM c")
 def d11(spark, d):
     m = counters(spark, d).where(F.quarter("week") <= 2).groupBy("brand", F.year("week").alias("year"), F.month("week").alias("month")).agg(F.max("area").alias("top"))

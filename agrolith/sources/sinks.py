@@ -35,3 +35,9 @@ def sentinel(x: Column, value: float = -9999.0) -> Column:
 
 def text_series(df: DataFrame, path: str, date: str, value: str) -> None:
     df.select(F.concat_ws(",", F.col(date).cast("string"), F.format_string("%.3f", sentinel(F.col(value)))).alias("value")).write.mode("overwrite").text(path)
+
+
+def masters(panel: DataFrame, path: str, keys: list[str], columns: dict[str, list[str]]) -> None:
+    """One table a variable below ``path``: the keys and those of its columns that the panel has."""
+    for name, wanted in columns.items():
+        panel.select(*keys, *[c for c in wanted if c in panel.columns]).write.mode("overwrite").parquet(f"{path}/{name}")
