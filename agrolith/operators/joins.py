@@ -56,6 +56,37 @@ def box_overlap(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return pairs.join(total, "a_id").select("a_id", "b_id", "overlap", (F.col("overlap") / F.col("__t")).alias("weight"))
 
 
+def nearest_cell(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """Rows (id, cell, far): for each of ``points`` (id, x, y) the nearest of ``cells`` (cell, x, y), ties by the least cell.
+
+    Both are dealt to squares of ``size``. A point meets the cells of the squares around it, which is a join of
+    equality; it is done when the nearest of them is no further than the squares looked at reach, and
+    looks twice as far otherwise. Points without any cell go on until the squares cover all cells.
+    """
+    square = lambda c: F.floor(F.col(c) / size)
+    there = cells.select("cell", F.col("x").alias("u"), F.col("y").alias("v"), square("x").alias("cx"), square("y").alias("cy"))
+    bounds = there.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    left, out, reach = points.where("x is not null and y is not null"), None, 1
+    if bounds[0] is None:
+        return points.select("id", F.lit(None).cast(cells.schema["cell"].dataType).alias("cell"), F.lit(None).cast("double").alias("far")).limit(0)
+    while True:
+        steps = F.sequence(F.lit(-reach), F.lit(reach))
+        asked = left.select("*", square("x").alias("bx"), square("y").alias("by")).select("*", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
+        asked = asked.where((F.col("bx") + F.col("dx")).between(bounds[0], bounds[1]) & (F.col("by") + F.col("dy")).between(bounds[2], bounds[3]))
+        met = asked.join(there, (F.col("bx") + F.col("dx") == F.col("cx")) & (F.col("by") + F.col("dy") == F.col("cy")))
+        far = F.sqrt(F.pow(F.col("x") - F.col("u"), 2) + F.pow(F.col("y") - F.col("v"), 2))
+        best = met.groupBy("id").agg(F.min(F.struct(far.alias("far"), "cell")).alias("m")).select("id", "m.cell", "m.far")
+        edges = left.agg(F.min(square("x")), F.max(square("x")), F.min(square("y")), F.max(square("y"))).first()
+        if edges[0] is None:
+            return out if out is not None else best
+        covers = reach >= max(bounds[1] - edges[0], edges[1] - bounds[0], bounds[3] - edges[2], edges[3] - bounds[2])
+        done = best if covers else best.where(F.col("far") <= reach * size)
+        out = done if out is None else out.union(done)
+        if covers:
+            return out
+        left, reach = left.join(done.select("id"), "id", "left_anti"), 2 * reach
+
+
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     c = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(lon1 - lon2))

@@ -46,7 +46,7 @@ def trailing_run(df: DataFrame, condition: Column, keys: list[str], order: str)
     """Per group, how many rows at its end fulfil the condition without a break: (keys, run)."""
     marked = df.withColumn("__c", F.coalesce(condition, F.lit(False)))
     broken = marked.groupBy(*keys).agg(F.max(F.when(~F.col("__c"), F.col(order))).alias("__break"))
-    return marked.join(F.broadcast(broken), keys).groupBy(*keys).agg(F.sum((F.col("__break").isNull() | (F.col(order) > F.col("__break"))).cast("int")).cast("long").alias("run"))
+    return marked.join(broken, keys).groupBy(*keys).agg(F.sum((F.col("__break").isNull() | (F.col(order) > F.col("__break"))).cast("int")).cast("long").alias("run"))
 
 
 def percent_rank_average(x: str, keys: list[str]) -> Column:

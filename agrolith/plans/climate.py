@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agrolith.functions.nulls import categories, clip, percent_departure, ratio_of_sums, sum_at_least, weighted_mean
 from agrolith.operators import normals as N
 from agrolith.operators import windows as W
+from agrolith.operators.quantiles import exact_quantiles
 from agrolith.plans.registry import query
 from agrolith.plans.sql import DAILY, INDEX, MONTHLY, REGISTRY, day, with_
 from agrolith.sources import adapters as A
@@ -60,7 +61,7 @@ def a05(spark, d):
 
 @query("a07_weighted_mean", f"{with_(DAILY, MONTHLY, REGISTRY)} SELECT state, {day('month')} AS month, round(sum(CASE WHEN tmax_c IS NOT NULL AND area > 0 THEN tmax_c * area END) / nullif(sum(CASE WHEN tmax_c IS NOT NULL AND area > 0 THEN area END), 0), 4) AS tmax_c FROM monthly JOIN registry USING (district_id) GROUP BY 1, month")
 def a07(spark, d):
-    m = monthly(spark, d).join(F.broadcast(A.registry(spark, d)), "district_id")
+    m = monthly(spark, d).join(A.registry(spark, d), "district_id")
     return m.groupBy("state", "month").agg(r4(weighted_mean(F.col("tmax_c"), F.col("area")), "tmax_c")).select("state", txt("month"), "tmax_c")
 
 
@@ -69,14 +70,14 @@ NORMAL = "normal AS (SELECT district_id, CAST(month(month) AS INT) AS m, avg(rai
 
 @query("a08_ratio_of_sums", f"{with_(DAILY, MONTHLY, REGISTRY, NORMAL)} SELECT coalesce(state, '(all)') AS scope, {day('month')} AS month, round(100.0 * (sum(CASE WHEN rain_mm IS NOT NULL AND normal_mm IS NOT NULL THEN rain_mm * area END) - sum(CASE WHEN rain_mm IS NOT NULL AND normal_mm IS NOT NULL THEN normal_mm * area END)) / nullif(sum(CASE WHEN rain_mm IS NOT NULL AND normal_mm IS NOT NULL THEN normal_mm * area END), 0), 4) AS departure FROM monthly JOIN registry USING (district_id) LEFT JOIN normal ON normal.district_id = monthly.district_id AND m = month(month) GROUP BY GROUPING SETS ((state, month), (month))")
 def a08(spark, d):
-    m = N.with_normal(monthly(spark, d), ["rain_mm"], BASE).join(F.broadcast(A.registry(spark, d)), "district_id")
+    m = N.with_normal(monthly(spark, d), ["rain_mm"], BASE).join(A.registry(spark, d), "district_id")
     cube = m.groupingSets([[F.col("state"), F.col("month")], [F.col("month")]], "state", "month").agg(r4(ratio_of_sums(F.col("rain_mm"), F.col("rain_mm_normal"), F.col("area")), "departure"))
     return cube.select(F.coalesce("state", F.lit("(all)")).alias("scope"), txt("month"), "departure")
 
 
 @query("a09_layer_cube", f"{with_(DAILY, MONTHLY, REGISTRY)}, l AS (UNPIVOT (SELECT district_id, month, rain_mm, tmax_c, tmin_c FROM monthly) ON rain_mm, tmax_c, tmin_c INTO NAME layer VALUE v) SELECT layer, {day('month')} AS month, coalesce(state, '(all)') AS scope, round(sum(v * area) / nullif(sum(CASE WHEN v IS NOT NULL THEN area END), 0), 4) AS value FROM l JOIN registry USING (district_id) GROUP BY GROUPING SETS ((layer, month), (layer, month, state))")
 def a09(spark, d):
-    long = monthly(spark, d).unpivot(["district_id", "month"], ["rain_mm", "tmax_c", "tmin_c"], "layer", "v").where("v is not null").join(F.broadcast(A.registry(spark, d)), "district_id")
+    long = monthly(spark, d).unpivot(["district_id", "month"], ["rain_mm", "tmax_c", "tmin_c"], "layer", "v").where("v is not null").join(A.registry(spark, d), "district_id")
     cube = long.groupingSets([[F.col("layer"), F.col("month")], [F.col("layer"), F.col("month"), F.col("state")]], "layer", "month", "state").agg(r4(weighted_mean(F.col("v"), F.col("area")), "value"))
     return cube.select("layer", txt("month"), F.coalesce("state", F.lit("(all)")).alias("scope"), "value")
 
@@ -126,7 +127,7 @@ def a16(spark, d):
 
 @query("a17_a18_text_extremes_and_counts", "SELECT n_name, min(c_mktsegment) AS first_segment, max(c_mktsegment) AS last_segment, CAST(count(*) FILTER (c_acctbal < 0) AS BIGINT) AS overdrawn FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def a17(spark, d):
-    c = A.table(spark, d, "customer").join(F.broadcast(A.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = A.table(spark, d, "customer").join(A.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy("n_name").agg(F.min("c_mktsegment").alias("first_segment"), F.max("c_mktsegment").alias("last_segment"), F.count_if(F.col("c_acctbal") < 0).alias("overdrawn"))
 
 
@@ -134,7 +135,7 @@ def a17(spark, d):
 def a19(spark, d):
     m = monthly(spark, d)
     ly = m.select("district_id", F.add_months("month", 12).alias("month"), F.col("rain_mm").alias("ly"))
-    y = m.join(ly, ["district_id", "month"], "left").join(F.broadcast(A.registry(spark, d)), "district_id")
+    y = m.join(ly, ["district_id", "month"], "left").join(A.registry(spark, d), "district_id")
     ok = (F.col("ly") > 0) & F.col("rain_mm").isNotNull()
     s = lambda c: F.sum(F.when(ok, F.col(c)))
     g = y.groupBy("state", "month").agg(r4(F.lit(100.0) * s("area") / F.sum("area"), "basis_pct"), F.when(s("area") >= F.lit(0.5) * F.sum("area"), F.round(F.lit(100.0) * (s("rain_mm") / s("ly") - 1), 4)).alias("yoy_pct"))
@@ -163,12 +164,13 @@ def a22(spark, d):
 @query("a23_quantiles", f"SELECT l_shipdate_year, {', '.join(f'round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {q}), 4) AS p{int(q * 100)}' for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))} FROM (SELECT *, CAST(year(l_shipdate) AS INT) AS l_shipdate_year FROM lineitem) GROUP BY 1")
 def a23(spark, d):
     items = A.table(spark, d, "lineitem").withColumn("l_shipdate_year", F.year("l_shipdate"))
-    return items.groupBy("l_shipdate_year").agg(*[r4(F.percentile("l_extendedprice", q), f"p{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)])
+    wanted = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+    return exact_quantiles(items, ["l_shipdate_year"], "l_extendedprice", wanted).select("l_shipdate_year", *[r4(F.col("q")[i], f"p{int(q * 100)}") for i, q in enumerate(wanted)])
 
 
 @query("a24_median_fill", f"{with_(DAILY, MONTHLY, REGISTRY)} SELECT district_id, {day('month')} AS month, round(coalesce(rain_mm, quantile_cont(rain_mm, 0.5) OVER (PARTITION BY state, month)), 4) AS filled FROM monthly JOIN registry USING (district_id)")
 def a24(spark, d):
-    m = monthly(spark, d).join(F.broadcast(A.registry(spark, d)), "district_id")
+    m = monthly(spark, d).join(A.registry(spark, d), "district_id")
     medians = m.groupBy("state", "month").agg(F.percentile("rain_mm", 0.5).alias("median"))
     return m.join(medians, ["state", "month"]).select("district_id", txt("month"), r4(F.coalesce("rain_mm", "median"), "filled"))
 
@@ -301,7 +303,7 @@ def w17(spark, d):
 
 @query("w18_w20_group_mean_and_share", f"{with_(DAILY, MONTHLY, REGISTRY)} SELECT district_id, {day('month')} AS month, round(rain_mm / avg(rain_mm) OVER (PARTITION BY state, month), 6) AS over_state, round(rain_mm / sum(rain_mm) OVER (PARTITION BY month), 6) AS share FROM monthly JOIN registry USING (district_id)")
 def w18(spark, d):
-    m = monthly(spark, d).join(F.broadcast(A.registry(spark, d)), "district_id")
+    m = monthly(spark, d).join(A.registry(spark, d), "district_id")
     x = F.col("rain_mm")
     return m.select("district_id", txt("month"), F.round(x / F.avg(x).over(Window.partitionBy("state", "month")), 6).alias("over_state"), F.round(x / F.sum(x).over(Window.partitionBy("month")), 6).alias("share"))
 
@@ -309,18 +311,19 @@ def w18(spark, d):
 @query("w22_decile_bins", "WITH e AS (SELECT quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM lineitem) SELECT CAST(len([x for x in q if l_extendedprice >= x]) AS INT) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(l_quantity), 4) AS mean FROM lineitem, e GROUP BY 1 HAVING count(*) >= 100")
 def w22(spark, d):
     items = A.table(spark, d, "lineitem")
-    edges = items.agg(F.percentile("l_extendedprice", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q"))
-    at = items.crossJoin(F.broadcast(edges)).select(F.size(F.filter("q", lambda x: F.col("l_extendedprice") >= x)).alias("bin"), "l_quantity")
+    edges = exact_quantiles(items, [], "l_extendedprice", [i / 10 for i in range(1, 10)]).first()  # nine numbers
+    q = F.array(*[F.lit(e) for e in (edges.q if edges else [])])
+    at = items.select(F.size(F.filter(q, lambda x: F.col("l_extendedprice") >= x)).alias("bin"), "l_quantity")
     return at.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r4(F.avg("l_quantity"), "mean")).where("n >= 100")
 
 
 @query("w24_wet_and_extreme_days", f"{with_(DAILY)}, p AS (SELECT district_id, quantile_cont(rain_mm, 0.95) AS p95 FROM daily WHERE rain_mm > 1 GROUP BY 1) SELECT d.district_id, {day()} AS date, CAST(sum(CAST(coalesce(rain_mm > 1, false) AS INT)) OVER w AS BIGINT) AS wet30, CAST(sum(CAST(coalesce(rain_mm > p95, false) AS INT)) OVER w AS BIGINT) AS extreme30 FROM daily d LEFT JOIN p USING (district_id) WINDOW w AS (PARTITION BY d.district_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
 def w24(spark, d):
     x = A.daily(spark, d)
-    p95 = x.where("rain_mm > 1").groupBy("district_id").agg(F.percentile("rain_mm", 0.95).alias("p95"))
+    p95 = exact_quantiles(x.where("rain_mm > 1"), ["district_id"], "rain_mm", [0.95]).select("district_id", F.col("q")[0].alias("p95"))
     w = W.series().rowsBetween(-29, 0)
     count = lambda c, n: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(w).alias(n)
-    return x.join(F.broadcast(p95), "district_id", "left").select("district_id", txt(), count(F.col("rain_mm") > 1, "wet30"), count(F.col("rain_mm") > F.col("p95"), "extreme30"))
+    return x.join(p95, "district_id", "left").select("district_id", txt(), count(F.col("rain_mm") > 1, "wet30"), count(F.col("rain_mm") > F.col("p95"), "extreme30"))
 
 
 @query("w25_interior_holes", "WITH o AS (SELECT DISTINCT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders), b AS (SELECT o_custkey, min(m) AS a, max(m) AS z FROM o GROUP BY 1) SELECT b.o_custkey, CAST(datediff('month', a, z) + 1 - count(*) AS BIGINT) AS holes FROM b JOIN o USING (o_custkey) GROUP BY b.o_custkey, a, z")

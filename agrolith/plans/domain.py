@@ -110,7 +110,7 @@ def crop_panel(spark, d: str) -> DataFrame:
     m = N.with_normal(monthly(spark, d), ["rain_mm"], BASE)
     mm = F.month("month")
     ref = m.where(F.year("month").between(*BASE)).groupBy("district_id", mm.alias("mm")).agg(F.avg("tmin_c").alias("soil_ref"), F.stddev_samp("tmin_c").alias("soil_sd"))
-    m = m.withColumn("mm", mm).join(ref, ["district_id", "mm"], "left").join(F.broadcast(A.registry(spark, d)), "district_id")
+    m = m.withColumn("mm", mm).join(ref, ["district_id", "mm"], "left").join(A.registry(spark, d), "district_id")
     return m.select("district_id", "month", "tmax_c", "tmin_c", clip(F.col("rain_mm") / (F.col("tmax_c") * 8), 0, 1.5).alias("mai"), percent_departure(F.col("rain_mm"), F.col("rain_mm_normal")).alias("departure"), clip(F.col("area") / 100, 0, 1).alias("irrig"), F.col("tmin_c").alias("soil"), "soil_ref", "soil_sd")
 
 
@@ -148,7 +148,7 @@ def d14(spark, d):
     s = s.where((F.col("doy") % 5 == 0) & (F.year("date") >= 1996))
     s = joins.previous_month(s, monthly(spark, d).select("district_id", "month", "tmax_c"), "date", "month", ["district_id"])
     index = A.national_index(spark, d).select(F.make_date("year", "month", F.lit(1)).alias("month"), "idx")
-    s = joins.previous_month(s, F.broadcast(index), "date", "month", [])
+    s = joins.previous_month(s, index, "date", "month", [])
     return s.select("district_id", txt(), F.round("ant_7", 3).alias("ant_7"), F.round("ant_30", 3).alias("ant_30"), F.round(percent_departure(F.col("ant_30"), F.col("norm_30")), 3).alias("dep_30"), r6(F.sin(2 * F.pi() * F.col("doy") / 365.25), "doy_sin"), r4(F.col("tmax_c"), "tmax_prev"), F.col("idx").alias("idx_prev"), F.round("y", 3).alias("next_7"), F.round(percent_departure(F.col("y"), F.col("yn")), 3).alias("target"))
 
 
@@ -194,8 +194,8 @@ def j12(spark, d):
 @query("j14_allocation", f"{with_(REGISTRY)} SELECT district_id, round(t / n, 4) AS allocated FROM registry JOIN (SELECT state, count(*) AS n FROM registry GROUP BY 1) USING (state) JOIN (SELECT r_name AS state, sum(s_acctbal) AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1) USING (state)")
 def j14(spark, d):
     r = A.registry(spark, d)
-    totals = A.table(spark, d, "supplier").join(F.broadcast(r), F.col("s_nationkey") == F.col("district_id")).groupBy("state").agg(F.sum("s_acctbal").alias("t"))
-    return r.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("state"))).join(F.broadcast(totals), "state").select("district_id", r4(F.col("t") / F.col("n"), "allocated"))
+    totals = A.table(spark, d, "supplier").join(r, F.col("s_nationkey") == F.col("district_id")).groupBy("state").agg(F.sum("s_acctbal").alias("t"))
+    return r.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("state"))).join(totals, "state").select("district_id", r4(F.col("t") / F.col("n"), "allocated"))
 
 
 def _boxes(spark, d: str, name: str, key: str, size: str) -> DataFrame:
@@ -222,14 +222,14 @@ def j18(spark, d):
 NAME = "trim(regexp_replace(regexp_replace(upper({}), '[^A-Z]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query("j19_fuzzy_names", f"""WITH a AS (SELECT p_partkey AS id, p_brand AS state, {NAME.format("p_name || ' ' || p_type")} AS n FROM part), b AS (SELECT p_partkey AS key, p_brand AS state, {NAME.format('p_type')} AS m FROM part WHERE p_partkey % 40 = 0),
+@query("j19_fuzzy_names", f"""WITH a AS (SELECT p_partkey AS id, p_brand AS state, {NAME.format("p_name || ' ' || p_type")} AS n FROM part), b AS (SELECT min(p_partkey) AS key, p_brand AS state, {NAME.format('p_type')} AS m FROM part GROUP BY p_brand, p_type),
 e AS (SELECT id, min(key) AS key, 1.0e0 AS likeness FROM a JOIN b ON a.state = b.state AND n = m GROUP BY 1),
 s AS (SELECT id, key, len(list_intersect(list_distinct(string_split(n, ' ')), list_distinct(string_split(m, ' ')))) * 1.0e0 / least(len(list_distinct(string_split(n, ' '))), len(list_distinct(string_split(m, ' ')))) AS likeness FROM a JOIN b ON a.state = b.state WHERE id NOT IN (SELECT id FROM e)),
-f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY likeness DESC, key) AS r FROM s WHERE likeness >= 0.5) SELECT id, key, round(likeness, 6) AS likeness FROM e UNION ALL SELECT id, key, round(likeness, 6) FROM f WHERE r = 1""")
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY likeness DESC, key) AS r FROM s WHERE likeness >= 0.5) SELECT id, key, round(likeness, 6) AS likeness FROM e UNION ALL SELECT id, key, round(likeness, 6) FROM f WHERE r = 1 UNION ALL SELECT a.id, u.key, 1.0e0 FROM a JOIN (SELECT m, min(key) AS key FROM b GROUP BY m HAVING count(DISTINCT key) = 1) u ON n = m WHERE a.id NOT IN (SELECT id FROM e) AND a.id NOT IN (SELECT id FROM f)""")
 def j19(spark, d):
     p = A.table(spark, d, "part")
     left = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("state"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    right = p.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("state"), F.col("p_type").alias("name"))
+    right = p.groupBy(F.col("p_brand").alias("state"), F.col("p_type").alias("name")).agg(F.min("p_partkey").alias("key"))
     return joins.fuzzy_names(left, right).select("id", "key", r6(F.col("likeness"), "likeness"))
 
 
@@ -253,16 +253,16 @@ def u02(spark, d):
     return A.table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("u07_keep_last", "WITH x AS (SELECT event_type, user_id, value, 0 AS fresh, event_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_type, user_id, value, 1, event_id FROM events WHERE event_id % 5 = 0) SELECT event_type, user_id, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY fresh DESC, event_id DESC) AS r FROM x) WHERE r = 1")
+@query("u07_keep_last", "WITH x AS (SELECT event_type, user_id, value, 0 AS fresh, event_id FROM events UNION ALL SELECT event_type, user_id, value, 1, event_id FROM events WHERE value > 50) SELECT event_type, user_id, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY fresh DESC, event_id DESC) AS r FROM x) WHERE r = 1")
 def u07(spark, d):
     e = A.table(spark, d, "events")
-    x = e.where("event_id % 3 = 0").withColumn("fresh", F.lit(0)).union(e.where("event_id % 5 = 0").withColumn("fresh", F.lit(1)))
+    x = e.withColumn("fresh", F.lit(0)).union(e.where("value > 50").withColumn("fresh", F.lit(1)))
     return x.groupBy("event_type", "user_id").agg(F.max_by("value", F.struct("fresh", "event_id")).alias("value")).select("event_type", "user_id", r4(F.col("value"), "value"))
 
 
 @query("t03_q05_most_affected", f"{with_(DAILY, MONTHLY, REGISTRY)} SELECT {day('month')} AS month, CAST(rank AS INT) AS rank, district, round(rain_mm, 4) AS rain_mm FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY rain_mm, district_id) AS rank FROM monthly JOIN registry USING (district_id) WHERE rain_mm IS NOT NULL) WHERE rank <= 12")
 def t03(spark, d):
-    m = monthly(spark, d).where("rain_mm is not null").join(F.broadcast(A.registry(spark, d)), "district_id")
+    m = monthly(spark, d).where("rain_mm is not null").join(A.registry(spark, d), "district_id")
     return m.withColumn("rank", F.row_number().over(Window.partitionBy("month").orderBy("rain_mm", "district_id"))).where("rank <= 12").select(txt("month"), "rank", "district", r4(F.col("rain_mm"), "rain_mm"))
 
 
@@ -275,7 +275,7 @@ def t07(spark, d):
 
 @query("q07_search_and_sort", "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name || ' ' || c_mktsegment), 'build') ORDER BY c_acctbal NULLS LAST, c_custkey LIMIT 400")
 def q07(spark, d):
-    c = A.table(spark, d, "customer").join(F.broadcast(A.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = A.table(spark, d, "customer").join(A.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     hit = F.lower(F.concat_ws(" ", "n_name", "c_mktsegment")).contains("build")
     return c.where(hit).orderBy(F.col("c_acctbal").asc_nulls_last(), "c_custkey").limit(400).select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrolith.functions.nulls import categories, clip, weighted_mean
+from agrolith.operators import joins
 from agrolith.operators import normals as N
 from agrolith.operators import windows as W
 from agrolith.operators.joins import nearest
@@ -28,7 +29,7 @@ def grid(spark, d: str) -> tuple[DataFrame, DataFrame]:
 @query("a06_masked_spatial_mean", f"WITH {CELLS} SELECT district_id, year, round(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 4) AS mean, round(coalesce(sum(CASE WHEN v IS NOT NULL THEN w END), 0) / sum(w), 6) AS coverage FROM cells JOIN grid USING (cell) GROUP BY 1, 2")
 def a06(spark, d):
     weights, values = grid(spark, d)
-    g = values.join(F.broadcast(weights), "cell").groupBy("district_id", "year")
+    g = values.join(weights, "cell").groupBy("district_id", "year")
     valid = F.when(F.col("v").isNotNull(), F.col("w"))
     return g.agg(r4(weighted_mean(F.col("v"), F.col("w")), "mean"), r6(F.coalesce(F.sum(valid), F.lit(0.0)) / F.sum("w"), "coverage"))
 
@@ -114,16 +115,15 @@ def w19(spark, d):
 @query("j17_nearest_cell", "SELECT id, cell FROM (SELECT a.s_suppkey AS id, b.n_nationkey AS cell, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY power(a.s_suppkey * 7 % 100 - b.n_nationkey * 4, 2) + power(a.s_suppkey * 13 % 90 - b.n_nationkey * 3, 2), b.n_nationkey) AS r FROM supplier a, nation b) WHERE r = 1")
 def j17(spark, d):
     a = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 100).alias("x"), (F.col("s_suppkey") * 13 % 90).alias("y"))
-    b = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("cell"), (F.col("n_nationkey") * 4).alias("u"), (F.col("n_nationkey") * 3).alias("v"))
-    far = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))
-    return a.join(F.broadcast(b)).groupBy("id").agg(F.min(F.struct(far.alias("far"), "cell")).alias("m")).select("id", "m.cell")
+    b = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("cell"), (F.col("n_nationkey") * 4).alias("x"), (F.col("n_nationkey") * 3).alias("y"))
+    return joins.nearest_cell(a, b, 10.0).select("id", "cell")
 
 
-@query("f13_freshness", "SELECT event_type, strftime(max(ts), '%Y-%m-%d') AS edge, CASE WHEN datediff('day', CAST(max(ts) AS DATE), DATE '2024-02-05') <= 5 THEN 'CURRENT' WHEN datediff('day', CAST(max(ts) AS DATE), DATE '2024-02-05') <= 13 THEN 'DUE' ELSE 'STALE' END AS status FROM events WHERE event_id % 97 = 0 GROUP BY 1")
+@query("f13_freshness", "SELECT event_type, strftime(max(ts), '%Y-%m-%d') AS edge, CASE WHEN datediff('day', CAST(max(ts) AS DATE), DATE '2024-02-05') <= 5 THEN 'CURRENT' WHEN datediff('day', CAST(max(ts) AS DATE), DATE '2024-02-05') <= 13 THEN 'DUE' ELSE 'STALE' END AS status FROM events GROUP BY 1")
 def f13(spark, d):
     age = F.datediff(F.lit("2024-02-05").cast("date"), F.max("ts").cast("date"))
     status = F.when(age <= 5, "CURRENT").when(age <= 2 * 5 + 3, "DUE").otherwise("STALE")
-    return A.table(spark, d, "events").where("event_id % 97 = 0").groupBy("event_type").agg(F.max("ts").cast("date").cast("string").alias("edge"), status.alias("status"))
+    return A.table(spark, d, "events").groupBy("event_type").agg(F.max("ts").cast("date").cast("string").alias("edge"), status.alias("status"))
 
 
 @query("f16_kelvin_before_mean", "SELECT l_suppkey, round(avg(CASE WHEN v > 100 THEN v - 273.15e0 ELSE v END), 4) AS c FROM (SELECT l_suppkey, l_quantity + CASE WHEN l_linenumber % 2 = 0 THEN 273.15e0 ELSE 0 END AS v FROM lineitem) GROUP BY 1")

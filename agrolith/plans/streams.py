@@ -16,13 +16,13 @@ def r3(c: str):
 
 @query("st05_full_days", "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2 HAVING count(*) >= 4")
 def st05(spark, d):
-    out = R.drain(S.full_days(R.events(spark, d), 4), "full-days", "complete")
+    out = R.drain(S.full_days(R.events(spark, d), 4), "full-days", "update", ["day", "event_type"])
     return out.select(F.col("day").cast("string").alias("day"), "event_type", "n", r3("total"))
 
 
 @query("st06_sliding_sums", "WITH k AS (SELECT event_type, value, CAST(CAST(ts AS DATE) - CAST(i AS INT) AS DATE) AS since FROM events, range(0, 7) r(i)) SELECT strftime(since, '%Y-%m-%d') AS since, strftime(CAST(since + 7 AS DATE), '%Y-%m-%d') AS until, event_type, round(sum(value), 3) AS total FROM k GROUP BY ALL")
 def st06(spark, d):
-    out = R.drain(S.sliding_sums(R.events(spark, d)), "sliding", "complete")
+    out = R.drain(S.sliding_sums(R.events(spark, d)), "sliding", "update", ["since", "event_type"])
     return out.select(F.col("since").cast("string").alias("since"), F.col("until").cast("string").alias("until"), "event_type", r3("total"))
 
 
@@ -34,7 +34,7 @@ def st07(spark, d):
 
 @query("st09_layer_edges", "SELECT event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS edge FROM events GROUP BY 1")
 def st09(spark, d):
-    return R.drain(S.edges(R.events(spark, d)), "edges", "complete").select("event_type", F.date_format("edge", "yyyy-MM-dd HH:mm:ss").alias("edge"))
+    return R.drain(S.edges(R.events(spark, d)), "edges", "update", ["event_type"]).select("event_type", F.date_format("edge", "yyyy-MM-dd HH:mm:ss").alias("edge"))
 
 
 DRY = "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY 1, 2), x AS (SELECT *, coalesce(v > m, false) AS wet FROM d, (SELECT avg(v) AS m FROM d)), g AS (SELECT *, sum(CAST(wet AS INT)) OVER (PARTITION BY event_type ORDER BY day) AS k, day - CAST(row_number() OVER (PARTITION BY event_type ORDER BY day) AS INT) AS island FROM x) SELECT event_type, strftime(day, '%Y-%m-%d') AS day, CAST(count(*) FILTER (NOT wet) OVER (PARTITION BY event_type, k, island ORDER BY day) AS BIGINT) AS dry_days FROM g"
@@ -44,7 +44,7 @@ DRY = "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS v FR
 def st08(spark, d):
     days = A.table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
     path = R.shared_path(spark, "dry-input")
-    days.coalesce(1).sortWithinPartitions("day").write.parquet(path)
+    days.repartitionByRange("day").sortWithinPartitions("day").write.parquet(path)
     stored = spark.read.parquet(path)
     wet = stored.agg(F.avg("value")).first()[0]
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -64,9 +64,10 @@ def st02(spark, d):
     return changes.groupBy("event_type", "user_id").agg(F.max("event_id").alias("event_id"))
 
 
-@query("st04_stream_static_persistence", "WITH i AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(max(event_id) AS BIGINT) AS v FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2) SELECT e.event_id, CAST(max(i.v) AS BIGINT) AS v FROM events e LEFT JOIN i ON i.event_type = e.event_type AND i.day = CAST(e.ts AS DATE) - 1 GROUP BY 1")
+@query("st04_stream_static_persistence", "WITH i AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(max(event_id) AS BIGINT) AS v FROM events WHERE value > 90 GROUP BY 1, 2) SELECT e.event_id, CAST(arg_max(i.v, i.day) AS BIGINT) AS v FROM events e LEFT JOIN i ON i.event_type = e.event_type AND i.day BETWEEN CAST(e.ts AS DATE) - 3 AND CAST(e.ts AS DATE) - 1 GROUP BY 1")
 def st04(spark, d):
     e = A.table(spark, d, "events")
-    index = e.where("event_id % 4 = 0").groupBy("event_type", F.date_add(F.to_date("ts"), 1).alias("day")).agg(F.max("event_id").alias("v"))
+    days = e.where("value > 90").groupBy("event_type", F.to_date("ts").alias("seen")).agg(F.max("event_id").alias("v"))
+    index = S.persisted(days, ["event_type"], "seen", "v", 3)
     stream = R.events(spark, d).withColumn("day", F.to_date("ts"))
     return R.drain(stream.join(index, ["event_type", "day"], "left").select("event_id", "v"), "static", "append")

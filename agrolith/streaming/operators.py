@@ -37,6 +37,13 @@ def edges(stream: DataFrame) -> DataFrame:
     return timed(stream).groupBy("event_type").agg(F.max("ts").alias("edge"))
 
 
+def persisted(index: DataFrame, keys: list[str], day: str, value: str, most: int) -> DataFrame:
+    """A late index as each day may use it: the last value at most ``most`` days old and from an earlier day. Rows (keys, day, value)."""
+    ahead = index.select(*keys, day, value, F.explode(F.sequence(F.lit(1), F.lit(most))).alias("__age"))
+    usable = ahead.groupBy(*keys, F.date_add(day, F.col("__age")).alias("day"))
+    return usable.agg(F.max_by(value, day).alias(value))
+
+
 class DrySpell(StatefulProcessor):
     """Counts a key's days in a row at or under a threshold; a day above it ends the run."""
 

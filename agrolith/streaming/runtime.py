@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a local folder only where that is unset."""
+    """A fresh path under spark.checkpoint.dir; where that is unset, a local folder, in a local session alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="agrolith-stream-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -27,11 +31,12 @@ def events(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFr
     return reader.parquet(f"{sf_dir}/events.parque[t]")
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Process all input there is and return what was written.
 
     append writes rows once; complete and update replace the part of their batch, so that a
-    batch which is run again after a failure leaves one copy.
+    batch which is run again after a failure leaves one copy. keys: of rows with the same ones, which
+    update writes each time they change, only the last counts.
     """
     spark = stream.sparkSession
     path = shared_path(spark, name)
@@ -44,4 +49,7 @@ def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     if mode == "complete":
         last = out.agg({"batch": "max"}).first()[0]
         out = out.where(f"batch = {last}")
+    if keys:
+        rest = [c for c in out.columns if c not in (*keys, "batch")]
+        return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*")
     return out.drop("batch")
