@@ -221,9 +221,9 @@ def _tile_candidates(percent: int):
     """
     least = least_matches(percent)
 
-    @F.arrow_udf("array<struct<rep: bigint, comp: bigint>>")
+    @F.arrow_udf("array<struct<rep: bigint, comp: bigint, right: boolean>>")
     def candidates(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("rep", pa.int64()), ("comp", pa.int64())]))
+        kind = pa.list_(pa.struct([("rep", pa.int64()), ("comp", pa.int64()), ("right", pa.bool_())]))
         for keys, lefts, rights in batches:
             out = []
             for key, left, right in zip(keys, lefts, rights, strict=True):
@@ -242,8 +242,8 @@ def _tile_candidates(percent: int):
                         same = by[j] == bx[i]
                         j = j[bx[i][same.argmax(axis=1)] == key.as_py()]
                     if len(j):
-                        hits.update([(x[i]["rep"], x[i]["comp"]), *((y[k]["rep"], y[k]["comp"]) for k in j)])
-                out.append([{"rep": r, "comp": c} for r, c in sorted(hits)])
+                        hits.update([(x[i]["rep"], x[i]["comp"], False), *((y[k]["rep"], y[k]["comp"], right.is_valid) for k in j)])
+                out.append([{"rep": r, "comp": c, "right": b} for r, c, b in sorted(hits)])
             yield pa.array(out, kind)
         give_back()
 
@@ -251,14 +251,14 @@ def _tile_candidates(percent: int):
 
 
 def _joined(percent: int):
-    """Edges between components: of members, an array of struct(rep, comp, shingles), all are compared across components."""
+    """Edges between components: of members, one or two arrays of struct(rep, comp, shingles), all are compared across components."""
 
     @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
-    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def joined(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        for column in batches:
-            for row in column:
-                members = row.as_py()
+        for lefts, rights in batches:
+            for left, right in zip(lefts, rights, strict=True):
+                members = [*left.as_py(), *(right.as_py() or [])]
                 comps = np.array([m["comp"] for m in members])
                 hit = _similar([np.frombuffer(m["shingles"], np.uint64) for m in members], percent) & (comps[:, None] != comps[None, :])
                 label = {c: c for c in comps.tolist()}
@@ -362,13 +362,19 @@ def _within(docs: DataFrame, left: DataFrame, open_keys: DataFrame, kinds: DataF
     second = blocks.select("key", F.col("tile").alias("tile2"), F.col("rows").alias("rows2"))
     across = paired.join(blocks.select("key", "tile", "rows"), ["key", "tile"]).join(second, ["key", "tile2"]).select("key", "tile", "tile2", "rows", "rows2")
     inside = blocks.where("one is null").select("key", "tile", F.col("tile").alias("tile2"), "rows", F.lit(None).cast(second.schema["rows2"].dataType).alias("rows2"))
-    found = inside.union(across).select("key", "tile", "tile2", F.explode(_tile_candidates(percent)("key", "rows", "rows2")).alias("m")).select("key", "tile", "tile2", "m.rep", "m.comp")
+    found = inside.union(across).select("key", "tile", "tile2", F.explode(_tile_candidates(percent)("key", "rows", "rows2")).alias("m")).select("key", "tile", "tile2", "m.*")
     found = stored(found, "minhash-candidates")
     discard(blocks)
     sets = _sets(docs, found.select("rep"))
-    met = found.join(sets, "rep").groupBy("key", "tile", "tile2").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("members"))
-    edges = stored(met.select(F.explode(_joined(percent)("members")).alias("e")).select("e.a", "e.b").distinct(), "minhash-edges")
-    discard(found, sets)
+    need = found.select("key", F.when(F.col("right"), F.col("tile2")).otherwise(F.col("tile")).alias("tile"), "rep", "comp").distinct()
+    need = need.join(sets, "rep").select("key", "tile", F.struct("rep", "comp", "shingles").alias("row")).repartition("key", "tile")
+    rows = stored(need.groupBy("key", "tile").agg(F.collect_list("row").alias("rows")), "minhash-compared")
+    discard(sets)
+    pairs = found.select("key", "tile", "tile2").distinct()
+    second = rows.select("key", F.col("tile").alias("tile2"), F.col("rows").alias("rows2"))
+    met = pairs.join(rows, ["key", "tile"]).join(second, ["key", "tile2"]).select("rows", F.when(F.col("tile") != F.col("tile2"), F.col("rows2")).alias("rows2"))
+    edges = stored(met.select(F.explode(_joined(percent)("rows", "rows2")).alias("e")).select("e.a", "e.b").distinct(), "minhash-edges")
+    discard(found, rows)
     return edges
 
 
