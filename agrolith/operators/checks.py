@@ -49,3 +49,25 @@ def against_official(ours: DataFrame, official: DataFrame, keys: list[str], valu
     pct = F.try_divide(100 * d, F.col("official"))
     verdict = F.when(F.col("ours").isNull(), "ours missing").when(F.col("official").isNull(), "official missing").when(F.abs(pct) <= matches, "matches").when(F.abs(pct) <= close, "close").otherwise("DIVERGES")
     return both.select(*keys, "ours", "official", d.alias("difference"), pct.alias("percent"), verdict.alias("verdict"))
+
+
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """How many rows break each rule (name, violations), in one pass over the table; a rule that is NULL isn't broken."""
+    one = df.agg(*[F.struct(F.lit(n).alias("name"), F.count_if(c).alias("violations")).alias(f"c{i}") for i, (n, c) in enumerate(rules.items())])
+    return one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(rules))])).alias("s")).select("s.*")
+
+
+def audit(df: DataFrame, keys: list[str], columns: list[str], train: Column, ranges: dict[str, tuple[float, float]], target: str) -> DataFrame:
+    """Rows (section, name, value) on a training table, in one pass and one for the keys: rows, repeated keys, the share of missing
+    values, distinct values up to rounding (1 is a constant column), values out of range, the shift of the mean from
+    training to test rows in standard deviations, and the correlation with the target."""
+    x = lambda c: F.col(c)
+    found = [("rows", "all", F.count(F.lit(1)).cast("double")), ("rows", "train", F.count_if(train).cast("double"))]
+    for c in columns:
+        shift = F.try_divide(F.avg(F.when(~train, x(c))) - F.avg(F.when(train, x(c))), F.stddev_samp(x(c)))
+        found += [("missing", c, F.avg(x(c).isNull().cast("double"))), ("spread", c, F.max(x(c)) - F.min(x(c))), ("shift", c, shift), ("correlation", c, F.corr(c, target))]
+    found += [("range", c, F.count_if((x(c) < lo) | (x(c) > hi)).cast("double")) for c, (lo, hi) in ranges.items()]
+    one = df.agg(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), v.alias("value")).alias(f"c{i}") for i, (s, n, v) in enumerate(found)])
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.sum(F.col("__n") - 1).cast("double").alias("value"))
+    rows = one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(found))])).alias("s")).select("s.*")
+    return rows.union(repeated.select(F.lit("keys"), F.lit("repeated"), F.coalesce("value", F.lit(0.0))))

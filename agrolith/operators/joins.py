@@ -56,6 +56,23 @@ def box_overlap(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return pairs.join(total, "a_id").select("a_id", "b_id", "overlap", (F.col("overlap") / F.col("__t")).alias("weight"))
 
 
+def in_polygons(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """Rows (id, polygon): the least polygon that each of ``points`` (id, x, y) lies in; points in none are left out.
+
+    edges: polygon, x1, y1, x2, y2, the sides of closed rings, holes too. Polygons are dealt to the
+    squares of ``size`` that their boxes touch, so that the join is one of equality; a point
+    lies inside if a ray to the right crosses an odd number of sides.
+    """
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    boxes = edges.groupBy("polygon").agg(F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y9"))
+    squares = boxes.select("*", span("x0", "x9").alias("cx")).select("*", span("y0", "y9").alias("cy"))
+    at = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    near = at.join(squares, ["cx", "cy"]).where("x between x0 and x9 and y between y0 and y9").select("id", "x", "y", "polygon")
+    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    odd = near.join(edges, "polygon").groupBy("id", "polygon").agg((F.count_if(crosses) % 2).alias("odd"))
+    return odd.where("odd = 1").groupBy("id").agg(F.min("polygon").alias("polygon"))
+
+
 def nearest_cell(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """Rows (id, cell, far): for each of ``points`` (id, x, y) the nearest of ``cells`` (cell, x, y), ties by the least cell.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,3 +27,13 @@ def served(prediction: Column, slope: Column, observed_days: Column, normal: Col
     30 days have no observation or the normal isn't above ``floor``."""
     value = clip(prediction * clip(F.lit(0.5) + F.lit(0.5) * slope, 0.3, 2), -100, 1000)
     return F.when((observed_days > 0) & (normal > floor), value)
+
+
+def fingerprint(columns: list[str]) -> str:
+    """Of a model's feature list: another list, or another order, is another model."""
+    return hashlib.md5("\n".join(columns).encode()).hexdigest()
+
+
+def to_train(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Those of ``wanted`` (learner, target, fingerprint) that the catalogue has no model of: a run that broke off goes on there."""
+    return wanted.join(catalogue.select("learner", "target", "fingerprint").distinct(), ["learner", "target", "fingerprint"], "left_anti")

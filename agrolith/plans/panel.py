@@ -201,3 +201,67 @@ def s20(spark, d):
 def s23(spark, d):
     n = A.table(spark, d, "nation").join(A.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
     return checks.legacy_registry(n, ["r_name", "n_name"], F.col("r_name") == "ASIA")
+
+
+RULES = [
+    ("departure_null_below_floor", "rain_normal < 5 AND rain_dep IS NOT NULL"), ("departure_at_least_minus_100", "rain_dep < -100"), ("rain_not_negative", "rain_mm < 0"), ("normal_not_negative", "rain_normal < 0"),
+    ("tmax_not_below_tmin", "tmax_c < tmin_c"), ("mean_between_extremes", "tmean_c < tmin_c OR tmean_c > tmax_c"), ("days_within_month", "days > day(last_day(month))"), ("rain_needs_days", "days = 0 AND rain_mm IS NOT NULL"),
+    ("evaporation_not_negative", "pet_mm < 0"), ("actual_below_potential", "aet_mm > pet_mm + 1e-9"), ("actual_below_rain", "aet_mm > rain_mm"), ("adequacy_in_bounds", "mai < 0 OR mai > 1.5"),
+    ("adequacy_needs_both", "mai IS NOT NULL AND (aet_mm IS NULL OR pet_mm IS NULL)"), ("anomaly_needs_value", "tmax_anom IS NOT NULL AND tmax_c IS NULL"), ("warm_phase_index", "phase = 'Warm' AND idx < 0.5"), ("cold_phase_index", "phase = 'Cold' AND idx > -0.5"),
+    ("phase_without_index", "phase IS NOT NULL AND idx IS NULL"), ("month_starts_on_first", "day(month) <> 1"), ("state_known", "state IS NULL"), ("area_not_negative", "area < 0"),
+]
+
+
+@query("d23_panel_definitions", with_(*ALL) + " " + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(count(*) FILTER ({c}) AS BIGINT) AS violations FROM panel" for n, c in RULES))
+def d23(spark, d):
+    return checks.violations(master(spark, d), {n: F.expr(c) for n, c in RULES})
+
+
+AUDITED = ["rain_mm", "tmax_c", "tmin_c"]
+_AUDIT = " UNION ALL ".join(
+    [f"SELECT 'missing' AS section, '{c}' AS name, round(avg(CAST({c} IS NULL AS INT)), 6) AS value FROM monthly UNION ALL SELECT 'spread', '{c}', round(max({c}) - min({c}), 6) FROM monthly UNION ALL SELECT 'correlation', '{c}', round(corr({c}, days), 6) FROM monthly UNION ALL SELECT 'shift', '{c}', round((avg({c}) FILTER (year(month) > 1999) - avg({c}) FILTER (year(month) <= 1999)) / nullif(stddev_samp({c}), 0), 6) FROM monthly" for c in AUDITED]
+    + ["SELECT 'rows', 'all', count(*) FROM monthly", "SELECT 'rows', 'train', count(*) FILTER (year(month) <= 1999) FROM monthly", "SELECT 'range', 'tmax_c', count(*) FILTER (tmax_c < 10 OR tmax_c > 49) FROM monthly", "SELECT 'keys', 'repeated', 0"]
+)
+
+
+@query("d19_audit_sections", f"{with_(DAILY, MONTHLY)} SELECT section, name, CAST(value AS DOUBLE) AS value FROM ({_AUDIT})")
+def d19(spark, d):
+    x = checks.audit(monthly(spark, d), P.KEYS, AUDITED, F.year("month") <= 1999, {"tmax_c": (10, 49)}, "days")
+    return x.select("section", "name", r6(F.col("value"), "value"))
+
+
+@query("x09_served_departures", f"{with_(*ALL)}, s AS (SELECT district_id AS k, least(greatest(coalesce(regr_slope(tmax_c, tmin_c), 1), -2), 4) AS b FROM panel GROUP BY 1) SELECT district_id, {day('month')} AS month, round(CASE WHEN days > 0 AND rain_normal > 0 AND rain_dep IS NOT NULL THEN least(greatest(rain_dep * least(greatest(0.5e0 + 0.5e0 * b, 0.3e0), 2), -100), 1000) END, 5) AS shown FROM panel JOIN s ON k = district_id")
+def x09(spark, d):
+    from agrolith.functions.nulls import clip
+    from agrolith.operators import models
+
+    p = master(spark, d)
+    slopes = p.groupBy("district_id").agg(clip(F.coalesce(F.regr_slope("tmax_c", "tmin_c"), F.lit(1.0)), -2, 4).alias("b"))
+    c = F.col
+    return p.join(slopes, "district_id").select("district_id", txt("month"), F.round(models.served(c("rain_dep"), c("b"), c("days"), c("rain_normal")), 5).alias("shown"))
+
+
+@query("k13_models_to_train", "SELECT learner, target FROM (VALUES ('forest'), ('trees'), ('linear')) l(learner), (VALUES ('raw'), ('huber')) t(target) WHERE NOT (learner = 'forest') AND NOT (learner = 'trees' AND target = 'huber')")
+def k13(spark, d):
+    from agrolith.operators import models
+
+    now, before = models.fingerprint(["rain_mm", "tmax_c"]), models.fingerprint(["tmax_c", "rain_mm"])
+    wanted = spark.createDataFrame([(a, b, now) for a in ("forest", "trees", "linear") for b in ("raw", "huber")], "learner string, target string, fingerprint string")
+    catalogue = spark.createDataFrame([("forest", "raw", now), ("forest", "huber", now), ("trees", "huber", now), ("linear", "raw", before)], "learner string, target string, fingerprint string")
+    return models.to_train(wanted, catalogue).select("learner", "target")
+
+
+SHAPES = "WITH sq AS (SELECT n_nationkey AS polygon, n_nationkey * 7 % 90 * 1.0e0 AS x, n_nationkey * 11 % 80 * 1.0e0 AS y FROM nation), pt AS (SELECT s_suppkey AS id, s_suppkey * 7 % 100 + 0.5e0 AS px, s_suppkey * 13 % 90 + 0.25e0 AS py FROM supplier)"
+
+
+@query("j15_points_in_polygons", f"{SHAPES} SELECT id, min(polygon) AS polygon FROM pt JOIN sq ON px > x AND py > y AND (px - x) + (py - y) < 20 GROUP BY 1")
+def j15(spark, d):
+    from agrolith.operators import joins
+
+    n = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("polygon"), (F.col("n_nationkey") * 7 % 90).cast("double").alias("x"), (F.col("n_nationkey") * 11 % 80).cast("double").alias("y"))
+    side = lambda *v: F.struct(*[(F.col(c) + k).alias(name) for name, (c, k) in zip(("x1", "y1", "x2", "y2"), v, strict=True)])
+    triangle = F.array(side(("x", 0), ("y", 0), ("x", 20), ("y", 0)), side(("x", 20), ("y", 0), ("x", 0), ("y", 20)), side(("x", 0), ("y", 20), ("x", 0), ("y", 0)))
+    edges = n.select("polygon", F.explode(triangle).alias("e")).select("polygon", "e.*")
+    k = F.col("s_suppkey")
+    points = A.table(spark, d, "supplier").select(k.alias("id"), (k * 7 % 100 + 0.5).alias("x"), (k * 13 % 90 + 0.25).alias("y"))
+    return joins.in_polygons(points, edges, 10.0)
