@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agrolith.llm.kernels import give_back, text_bytes
-from agrolith.llm.shared import documents, scratch
+from agrolith.llm.shared import documents, scratch, sized, stored
 
 END = 0
 CACHED = 600_000
@@ -213,7 +213,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_path"))
     files = rows.groupBy("file").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("held"))  # metadata columns only
     base = files.withColumn("base", F.coalesce(F.sum("held").over(Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(base.select("file", "base")), "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "ids")
+    base = stored(base.select("file", "base"), "token-files")  # a row a file
+    return rows.join(sized(base, 100_000), "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
