@@ -84,8 +84,8 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def keep_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the ids of ``dropped``, a stored table with the column ``key``."""
-    gone = dropped.select(F.col(key).alias("__gone"))
-    return docs.join(sized(gone), docs[key] == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    return docs.join(sized(dropped.select(F.col(key).alias(name))), docs[key] == F.col(name), "left_anti")
 
 
 def with_rows(docs: DataFrame) -> DataFrame:

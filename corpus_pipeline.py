@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.llm import exact_dedup, language_id, minhash_dedup, mixing, sentencepiece_codec
-from agrolith.llm.shared import ROW, documents, sized, small_batches, stored, with_rows
+from agrolith.llm.shared import ROW, discard, documents, free_name, sized, small_batches, stored, with_rows
 
 #: Tokens kept by the mixing stage, of all that reach it; each document is read once at most.
 MIX_PERCENT = 80
@@ -39,8 +39,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows that the budgets of their domain, language and source reach in one epoch; null lang and source are leaves of their own."""
     keyed = with_rows(docs)
-    chosen = stored(mixing.mix(keyed, percent=MIX_PERCENT, epochs=1, row=ROW).select(F.col(ROW).alias("__chosen")), "pipeline-mix")
-    return keyed.join(sized(chosen), keyed[ROW] == F.col("__chosen"), "left_semi").drop(ROW)
+    name = free_name(keyed, "chosen")
+    chosen = stored(mixing.mix(keyed, percent=MIX_PERCENT, epochs=1, row=ROW).select(F.col(ROW).alias(name)), "pipeline-mix")
+    return keyed.join(sized(chosen), keyed[ROW] == F.col(name), "left_semi").drop(ROW)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs, f"pipeline-{i + 1}")
+            discard(before)
     return docs
