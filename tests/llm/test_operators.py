@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables, and on odd ones."""
 
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,7 +44,7 @@ def test_url_filter_intervals_and_specificity(spark):
     urls = [("http://a.bad.com/q?x#y", "2024-01-09"), ("https://u:p@A.BAD.com.:80/q", "2024-01-10"), ("http://a.bad.com", "2024-01-31"), ("http://a.bad.com", "2024-02-01"), ("http://ok.bad.com/", "2024-01-15"), ("http://ok.bad.com/X?q", "2024-01-15"), (None, "2024-01-15"), ("not a url", "2024-01-15"), ("http://bad.com/", None), ("http://notbad.com/", "2024-01-15"), ("http://" + "a." * 200 + "bad.com/", "2024-01-15"), ("http://bad.com/", "2024-01-15"), ("http://bad.com/", "2024-01-15")]
     captures = spark.createDataFrame([(i if i != 9 else None, u, t, "k") for i, (u, t) in enumerate(urls)], "page_id long, url string, fetched string, key string")
     got = [r["blocked"] for r in sorted(rows(url_filter.judge(captures, entries)), key=lambda r: 9 if r["page_id"] is None else r["page_id"])]
-    assert got == [False, True, True, False, False, True, False, False, False, False, False, True, True]
+    assert got == [False, True, True, False, False, True, False, False, False, False, True, True, True]
     assert url_filter.judge(captures.limit(0), entries).count() == 0
     assert {r["blocked"] for r in rows(url_filter.judge(captures, entries.limit(0)))} == {False}
 
@@ -68,15 +69,21 @@ def test_exact_dedup_of_odd_rows_and_of_colliding_digests(spark, odd, nothing):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.select("doc_id").collect()) == [0, 2, 2, 4, 5, 6, 7, 8, 9, 10, 11]
 
 
-def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
-    first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    state = str(tmp_path / "state")
-    staged = str(tmp_path / "staged")
-    exact_dedup._staged(first, exact_dedup.sha256).write.parquet(staged)
-    schema = spark.read.parquet(staged).schema
-    assert exact_dedup.ledger(spark, staged, schema, state).where("n > 1").count() == 0
-    exact_dedup._staged(spark.createDataFrame([(3, "a")], "doc_id long, text string"), exact_dedup.sha256).write.mode("append").parquet(staged)
-    assert [(r["doc_id"], r["n"]) for r in rows(exact_dedup.ledger(spark, staged, schema, state).where("n > 1"))] == [(3, 2)]
+@pytest.mark.parametrize("in_files", [True, False])
+@pytest.mark.parametrize("collide", [True, False])
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path, in_files, collide):
+    digest = (lambda text: F.substring(text, 1, 1)) if collide else exact_dedup.sha256
+    runs = [[(1, "ab"), (2, "bb"), (5, "cc"), (6, "dd")], [(3, "ab"), (4, "ab"), (7, "bx"), (0, "cc")], [(8, "bb"), (9, "new"), (2, "cc"), (None, "dd")]]
+    past = []
+    for i, table in enumerate(runs):
+        docs = spark.createDataFrame(table, "doc_id long, text string")
+        if in_files:
+            docs.write.parquet(str(tmp_path / f"docs{i}"))
+            docs = spark.read.parquet(str(tmp_path / f"docs{i}"))
+        past += table
+        got = sorted((r["doc_id"] or -1, r["keep_id"], r["group_size"]) for r in rows(exact_dedup.classes(docs, str(tmp_path / "state"), digest)))
+        same = lambda t: [j for j, u in past if u == t]
+        assert got == sorted((j or -1, max(x for x in same(t) if x is not None), len(same(t))) for j, t in table)
 
 
 # 3 language-model score
@@ -96,19 +103,88 @@ def test_lm_base_score_counts_and_gain(spark, sf, documents):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-def test_lm_filter_finds_levels_and_odd_rows(odd, nothing):
+def _lm_model(parts, grams):
+    """A model in memory of {hash: count} of unigrams and of bigrams."""
+    table = []
+    for i in range(parts):
+        of = [np.array(sorted(h for h in g if int(lm_score.part_of(np.array([h], np.uint64), parts)[0]) == i), np.uint64) for g in grams]
+        n = [np.array([g[int(h)] for h in hs], np.int64) for hs, g in zip(of, grams)]
+        table.append({"part": i, "filter": lm_score.stretch(np.concatenate(of), np.concatenate(n)).tobytes(), "word": of[0].tobytes(), "times": n[0].astype("<i8").tobytes()})
+    false = np.mean([lm_score.false_share(np.frombuffer(r["filter"], np.uint64)) for r in table])
+    return lm_score.Model(table, parts), false
+
+
+def test_lm_filter_finds_counts_and_odd_rows(odd, nothing):
     rng = np.random.default_rng(1)
-    h = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
-    n = rng.integers(1, 300, len(h))
-    f = lm_score.Filter(lm_score.stretch(h, n, 4096, 0, 4096))
-    assert (f.level(h, 60) >= lm_score.levels(n)).all()
-    assert (f.level(h, 60) == lm_score.levels(n)).mean() > 0.97
-    assert (f.level(h + np.uint64(1), 60) > 0).mean() < 0.03
-    a, b = lm_score.unpack(lm_score.pack(h, n.astype(np.uint32)))
+    h = np.unique(rng.integers(0, 1 << 63, 60_000, dtype=np.uint64) * np.uint64(2))
+    n = np.maximum(1, (1 / rng.random(len(h))).astype(np.int64))
+    model, false = _lm_model(3, [{}, dict(zip(h.tolist(), n.tolist()))])
+    found, want = model.filter.probe(h), lm_score.places(h, n)
+    assert (found >= want).all() and (found == want).mean() > 0.995
+    assert abs(lm_score.GRID[found].sum() / n.sum() - 1) < 0.005
+    assert (lm_score.GRID[want] == n)[n < 60].all()
+    absent = (model.filter.probe(h + np.uint64(1)) > 0).mean()
+    assert absent < 0.002 and false < 0.002
+    a, b = lm_score.unpack(lm_score.pack(h, n))
     assert dict(zip(a.tolist(), b.tolist())) == dict(zip(h.tolist(), n.tolist()))
+    assert lm_score.spread(lm_score.squeeze(h[:0])).tolist() == [] and lm_score.spread(lm_score.squeeze(h[:1])).tolist() == h[:1].tolist()
     assert lm_score.score(odd).count() == ODD_ROWS and lm_score.score(nothing).count() == 0
 
 
+def _exact_lm(documents, held):
+    own, pair, n = Counter(), Counter(), 0
+    for i, t in documents.items():
+        if not held[i]:
+            ws = ["</s>", *words(t), "</s>"]
+            own.update(ws[1:])
+            pair.update(zip(ws[:-1], ws[1:]))
+            n += len(ws) - 1
+    return own, pair, n
+
+
+def test_lm_probabilities_of_a_context_add_up_to_one(documents):
+    own, pair, n = _exact_lm(documents, defaultdict(bool))
+    names = list(own)
+    h, _ = lm_score.word_hashes(__import__("pyarrow").array([w.decode() for w in names if w != "</s>"]))
+    code = dict(zip([w for w in names if w != "</s>"], h.tolist())) | {"</s>": int(lm_score.END)}
+    gram = lambda v, w: int(lm_score.bigrams(np.array([code[v], code[w]], np.uint64))[0])
+    ones = {int(lm_score.mix(np.array([code[w]], np.uint64))[0]): c for w, c in own.items()}
+    model, false = _lm_model(4, [ones, {gram(v, w): c for (v, w), c in pair.items()}])
+    all_ = np.array([code[w] for w in names], np.uint64)
+    count = lm_score.GRID[model.filter.probe(lm_score.mix(all_))]
+    ranked = [w for w, _ in own.most_common()]
+    for v in [*ranked[:20], *ranked[100:2000:190], *ranked[-5:]]:
+        before = np.full(len(all_), lm_score.GRID[model.filter.probe(lm_score.mix(np.array([code[v]], np.uint64)))][0])
+        both = np.empty(2 * len(all_), np.uint64)
+        both[0::2], both[1::2] = code[v], all_
+        found = lm_score.GRID[model.filter.probe(lm_score.bigrams(both)[0::2])]
+        p = 10 ** lm_score.log_probability(count, found, before, n, len(own), false)
+        unseen = 10 ** lm_score.log_probability(np.zeros(1), np.zeros(1), before[:1], n, len(own), false)[0]
+        assert p.sum() + unseen == pytest.approx(1, abs=0.01), v
+
+
+def test_lm_scores_are_near_those_of_exact_counts_on_each_path(monkeypatch, spark, odd, documents):
+    table = spark.createDataFrame([*documents.items()], "doc_id long, text string").unionByName(odd.select("doc_id", "text").where("doc_id < 0"))
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in documents}
+    own, pair, n = _exact_lm(documents, held)
+    mu, v = lm_score.MU, len(own)
+
+    def exact(text):
+        ws = ["</s>", *words(text), "</s>"]
+        base = {w: (own[w] + 0.5) / (n + 0.5 * (v + 1)) for w in ws}
+        return sum(math.log10((pair[a, b] + mu * base[b]) / (own[a] + mu)) for a, b in zip(ws[:-1], ws[1:]))
+
+    monkeypatch.setattr(lm_score, "PART_GRAMS", 1 << 14)
+    monkeypatch.setattr(lm_score, "PACKET", 3000)  # texts lie in several packets
+    found = []
+    for most in (lm_score.MOST_TOKENS, 0):
+        monkeypatch.setattr(lm_score, "MOST_TOKENS", most)
+        found.append({r["doc_id"]: (r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in rows(lm_score.score(table))})
+    assert found[0] == found[1]
+    off = [(found[0][i][3] - exact(t)) / found[0][i][0] for i, t in documents.items()]
+    assert np.abs(off).max() < 0.02 and abs(np.mean(off)) < 0.005
+
+
 # 4 SentencePiece
 
 
@@ -118,7 +194,7 @@ def test_scan_gives_the_librarys_ids(spark, odd, nothing, documents):
     sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec.model_bytes())
     more = ["aé漢 😀" * 700, " " * 3000, "a▁b  c\n\n" * 400, "internationalization" * 150, "x" * 3001]
     table = odd.select("doc_id", "text").union(spark.createDataFrame([*documents.items(), *((-i, t) for i, t in enumerate(more))], "doc_id long, text string"))
-    for r in rows(sentencepiece_codec.encode(table, ["doc_id", "text"], chunk=1000, verify=True)):
+    for r in rows(sentencepiece_codec.encode(table, ["doc_id", "text"], chunk=1000, fan=3, verify=True)):
         assert list(r["ids"]) == sp.encode(r["text"] or ""), r["text"][:50]
         assert r["round_trip"] == (sp.decode(list(r["ids"])) == (r["text"] or ""))
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<i4").tobytes())
@@ -134,6 +210,17 @@ def test_matrix_products_are_associative():
     assert sorted(p(p(p(m[0], m[1]), m[2]), m[3])) == sorted(p(m[0], p(m[1], p(m[2], m[3]))))
 
 
+def test_giants_are_cut_in_time_in_proportion_to_their_length():
+    took = []
+    for n in (1 << 22, 1 << 24):
+        text = "ab cd ef gh " * (n // 12)
+        began = time.process_time()
+        parts = [part[lo:hi] for _, part, lo, hi, _, _ in sentencepiece_codec.cut(text, 1000, 40)]
+        took.append(time.process_time() - began)
+        assert "".join(parts) == text
+    assert took[1] < 4 * 4 * took[0]
+
+
 # 5 language
 
 
@@ -143,21 +230,30 @@ def test_language_accuracy_on_held_out_rows(spark, sf):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
-def test_cross_parsing_counts_greedy_phrases():
-    model = language_id.CrossParser({"a": ["abcabx"], "b": ["zzz"]})
-
-    def phrases(text, sample):
-        n, i = 0, 0
-        while i < len(text):
-            j = i + 1
-            while j < len(text) and text[i : j + 1] in sample:
-                j += 1
-            n, i = n + 1, j
-        return n
-
-    for text in ("abcab", "cabxab", "zabzz", "qq", "abq", "x"):
-        symbols = np.array([model.symbol.get(c, 1) for c in text], np.uint8)
-        assert model.phrases(symbols, np.array([0, len(text)])).ravel().tolist() == [phrases(text, "abcabx"), phrases(text, "zzz")]
+def _phrases(text, sample):
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+@pytest.mark.parametrize("segment, batch", [(512, 1 << 19), (16, 64), (7, 21)])
+@pytest.mark.parametrize("cells", [language_id.DENSE, 0])
+def test_cross_parsing_counts_greedy_phrases(monkeypatch, segment, batch, cells):
+    for name, value in (("SEGMENT", segment), ("BATCH_CHARS", batch), ("DENSE", cells)):
+        monkeypatch.setattr(language_id, name, value)
+    rng = np.random.default_rng(4)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    a, b = draw("abcde ", 3000), draw("defgh ", 2000)
+    model = language_id.CrossParser({"a": [a], "b": [b]})
+    texts = ["x", "", a[100:2900], "abc" * 50 + a[20:900] + "zz" + a[1000:1500], draw("abcdefghz ", 900), a[:1300] + b[:900], "abcab"]
+    symbols = np.array([model.symbol.get(c, 0 if c == " " else 1) for t in texts for c in t], np.uint16)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert model.phrases(symbols, at).tolist() == [[_phrases(t, s) for t in texts] for s in (a, b)]
+    assert model.phrases(symbols, at)[0, 2] == 1  # one phrase, however long
 
 
 def test_language_of_odd_rows(odd, nothing):
@@ -195,6 +291,13 @@ def test_embedding_links_against_all_pairs(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_of_several_lengths_and_clashing_columns(spark):
+    table = [(1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.1]), (3, [1.0, 2.0, 3.0]), (4, [1.0] * 8), (5, [1.0] * 7 + [1.1]), (6, [-1.0] * 8), (7, [3.0]), (8, [4.0]), (9, [-1.0])]
+    docs = spark.createDataFrame(table, "vec_id long, embedding array<double>").selectExpr("*", "1 as kind", "2 as block", "3 as pair", "4 as lead", "5 as copies", "6 as rep", "7 as same")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(embedding_dedup.near_duplicates(docs))}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
 # 7 near duplicates
 
 
@@ -226,6 +329,50 @@ def test_near_duplicates_against_all_pairs(spark, odd, nothing):
     assert minhash_dedup.deduplicate(odd).columns == odd.columns
 
 
+def test_measured_recall_of_bands_and_sketches():
+    """Of 4,000 seeded pairs at each threshold; none that shares a band and fails the sketch, and next to none that shares no band."""
+    rng = np.random.default_rng(11)
+    for percent, cut in ((85, (minhash_dedup.BANDS, minhash_dedup.ROWS)), (80, minhash_dedup.WIDE)):
+        n, shared = 4000, 200
+        own = round(shared * (100 - percent) / (2 * percent))  # of each set, so that the pair is just at the threshold or beyond
+        sets = []
+        for _ in range(n):
+            h = rng.integers(0, 1 << 63, shared + 2 * own, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            sets += [h[: shared + own], np.concatenate([h[:shared], h[shared + own :]])]
+        assert 100 * shared >= percent * (shared + 2 * own) - percent
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        _, _, bands, sketch = minhash_dedup.signatures(np.concatenate(sets), at, cut)
+        met = (bands[0::2] == bands[1::2]).any(axis=1)
+        passed = (sketch[0::2] == sketch[1::2]).sum(axis=1) >= minhash_dedup.least_matches(percent)
+        assert met.mean() >= 0.999 and passed.all(), (percent, met.mean(), passed.mean())
+
+
+def test_near_duplicates_of_a_loose_group_write_few_edges(monkeypatch, spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(300)]
+    table = []
+    for i in range(260):
+        ws = list(base)
+        for p in rng.choice(300, int(rng.integers(0, 9)) if i >= 40 else 14, replace=False):
+            ws[p] = f"e{i}_{p}"
+        table.append((i, " ".join(ws)))
+    written = []
+    old = minhash_dedup.stored
+    monkeypatch.setattr(minhash_dedup, "TILE", 16)
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, name: written.append((name, t := old(df, name))) or t)
+    monkeypatch.setattr(minhash_dedup, "discard", lambda *_: None)
+    got = {r["doc_id"]: r["component_id"] for r in rows(minhash_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), 80))}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in table for w in [t.split()]}
+    label = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in range(30):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert got == label
+    edges = sum(t.count() for name, t in written if name == "minhash-edges")
+    assert len(links) > 5000 and edges < len(links) / 3 and edges <= len(sets) * minhash_dedup.WIDE[0]
+
+
 # 8 mixing
 
 
@@ -260,10 +407,31 @@ def test_largest_and_odd_rows(spark, odd, nothing):
     table = spark.range(50_000).select(F.col("id").alias("doc_id"), (F.col("id") % 97).cast("double").alias("key"))
     got = sorted((-r["key"], r["doc_id"]) for r in rows(quality.largest(table, 1234)))
     assert got == sorted((-float(i % 97), i) for i in range(50_000))[:1234]
+    same = table.withColumn("key", F.lit(1.0))
+    assert sorted(r["doc_id"] for r in rows(quality.largest(same, 30_123))) == list(range(30_123))
     assert len(rows(quality.resample(odd, odd.select("doc_id"), share=0.5))) == round(ODD_ROWS / 2)
     assert quality.resample(nothing, odd).count() == 0 and len(rows(quality.resample(odd, nothing, share=1.0))) == ODD_ROWS
 
 
+def test_resampling_by_the_weights_of_brute_force(spark, sf, documents):
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    n = np.ones((2, quality.BUCKETS))
+    of = {}
+    for i, t in documents.items():
+        h = lm_score.word_hashes(__import__("pyarrow").array([t]))[0]
+        of[i] = [*(h % np.uint64(quality.BUCKETS)).astype(int), *(quality.grams(h, 2) % np.uint64(quality.BUCKETS)).astype(int)]
+        np.add.at(n[0], of[i], 1)
+        if i in good:
+            np.add.at(n[1], of[i], 1)
+    p = np.log(n / n.sum(axis=1, keepdims=True))
+    got = rows(quality.op9(spark, sf))
+    want = {i: (p[1] - p[0])[f].sum() if len(f) else quality.NO_WORDS for i, f in of.items()}
+    assert all(r["log_weight"] == pytest.approx(want[r["doc_id"]], abs=1e-6) for r in got)
+    # a sample without replacement in proportion to the weights: the k largest of weight plus noise, whose ends are far below 40
+    kept = {r["doc_id"] for r in got}
+    assert min(want[i] for i in kept) > max(want[i] for i in want if i not in kept) - 40
+
+
 # 10 token ids
 
 
@@ -287,18 +455,6 @@ def test_token_files_hold_the_librarys_ids(spark, odd, nothing, documents, tmp_p
     assert token_orc.read(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_lm_scores_do_not_depend_on_the_windows_of_the_filter(monkeypatch, spark, odd, documents):
-    table = spark.createDataFrame([*documents.items()], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
-
-    def scores():
-        return sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in rows(lm_score.score(table)))
-
-    monkeypatch.setattr(lm_score, "PART_GRAMS", 1 << 14)
-    whole = scores()
-    monkeypatch.setattr(lm_score, "MOST_BITS", 1 << 18)
-    assert scores() == whole
-
-
 def test_language_of_texts_in_scripts_of_many_letters(monkeypatch):
     import pyarrow as pa
 
