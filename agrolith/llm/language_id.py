@@ -174,19 +174,22 @@ class CrossParser:
                     broke = to >> 31
                     opened[self.dense, i, :m] = broke
                     state[:, :m] = to ^ broke
-            ends = dict(zip(self.dense, state.astype(np.int64), strict=True)) | {k: self._by_edges(k, block, active, opened[k]) for k in self.edges}
-            for k, end in ends.items():
-                count, end = self._carried(k, block, n, opened[k], np.append(end, last[k]), before)
-                last[k] = end[place[-1]]
-                out[k] += np.bincount(owner[lo : lo + step][order], count, len(length)).astype(np.int64)
+            groups = [(self.dense, state.astype(np.int64))] if self.dense else []
+            groups += [([k], self._by_edges(k, block, active, opened[k])[None, :]) for k in self.edges]
+            for ks, end in groups:
+                seen = np.ascontiguousarray(opened[ks].transpose(1, 0, 2)).reshape(SEGMENT, -1)
+                count, end = self._carried(ks, block, n, seen, np.concatenate([end, last[ks, None]], axis=1), before)
+                last[ks] = end[:, place[-1]]
+                for k, c in zip(ks, count, strict=True):
+                    out[k] += np.bincount(owner[lo : lo + step][order], c, len(length)).astype(np.int64)
         return out
 
-    def _step(self, k: int, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states after these symbols, and where the symbol opened a phrase."""
-        if k not in self.edges:
-            to = self.table.take(state + self.local[self.dense.index(k)].take(symbol))
+    def _step(self, ks: list[int], row: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after these symbols in the languages ``ks[row]``, and where the symbol opened a phrase."""
+        if ks[0] not in self.edges:
+            to = self.table.take(state + self.local[row, symbol])
             return np.where(to < 0, ~to, to), to < 0
-        keys, ends, root, _ = self.edges[k]
+        keys, ends, root, _ = self.edges[ks[0]]
         key = state * self.width + symbol
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         goes = keys[at] == key
@@ -196,40 +199,48 @@ class CrossParser:
         """The states at the ends of the columns of ``block`` in a language without a dense table; notes where phrases open."""
         state = np.full(block.shape[1], self.edges[k][3], np.int64)
         for i, m in enumerate(active.tolist()):
-            state[:m], opened[i, :m] = self._step(k, state[:m], block[i, :m].astype(np.int64))
+            state[:m], opened[i, :m] = self._step([k], state[:m], state[:m], block[i, :m].astype(np.int64))
         return state
 
-    def _carried(self, k: int, block: np.ndarray, n: np.ndarray, opened: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each segment and the states at their ends when phrases go on from one segment to the next.
+    def _carried(self, ks: list[int], block: np.ndarray, n: np.ndarray, opened: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each segment and the states at their ends when phrases go on from one segment to the next, a row for each language of ``ks``.
 
         Each segment has been parsed from a new phrase on. It is parsed again from the state
         in which the one before it ends, up to the first place where both parses open a
         phrase, as they agree from there. A segment without such a place ends in another
-        state, with which the one after it is parsed again.
+        state, with which the one after it is parsed again. ends has one more column than
+        there are segments, for the state in which the batch before ended.
         """
-        upto = np.cumsum(opened, axis=0, dtype=np.int32)
-        fresh, count = ends.copy(), upto[-1].astype(np.int64)
-        total = count.copy()
-        todo = np.flatnonzero(before >= 0)
+        m = block.shape[1]
+        row, column = np.divmod(np.arange(len(ks) * m), m)
+        own = row * (m + 1) + column
+        source = np.where(before[column] >= 0, row * (m + 1) + before[column], -1)
+        total = np.add.reduce(opened.view(np.uint8), axis=0, dtype=np.uint16).astype(np.int64)
+        state_of, count = ends.ravel().copy(), total.copy()
+        fresh = state_of[own]
+        todo = np.flatnonzero(source >= 0)
         while len(todo):
-            state, found = ends[before[todo]], np.zeros(len(todo), np.int64)
-            live = np.arange(len(todo))
+            state, found = state_of[source[todo]], np.zeros(len(todo), np.int64)  # found: phrases more than in the first parse
+            live, shortest = np.arange(len(todo)), int(n[column[todo]].min())
             for i in range(SEGMENT):
-                live = live[n[todo[live]] > i]
+                where = todo[live]
+                if i >= shortest:
+                    live = live[n[column[where]] > i]
+                    where = todo[live]
                 if not len(live):
                     break
-                where = todo[live]
-                state[live], broke = self._step(k, state[live], block[i, where].astype(np.int64))
-                found[live] += broke
-                met = broke & opened[i, where]
-                done, where = live[met], where[met]
-                found[done] += total[where] - upto[i, where]
-                state[done] = fresh[where]
-                live = live[~met]
-            changed = todo[state != ends[todo]]
-            count[todo], ends[todo] = found, state
-            todo = np.flatnonzero(np.isin(before, changed))
-        return count, ends
+                now, broke = self._step(ks, row[where], state[live], block[i, column[where]].astype(np.int64))
+                state[live] = now
+                old = opened[i, where]
+                found[live] += broke.view(np.int8) - old.view(np.int8)
+                met = broke & old
+                if met.any():
+                    state[live[met]] = fresh[where[met]]
+                    live = live[~met]
+            changed = own[todo[state != state_of[own[todo]]]]
+            count[todo], state_of[own[todo]] = total[todo] + found, state
+            todo = np.flatnonzero(np.isin(source, changed))
+        return count.reshape(len(ks), m), state_of.reshape(len(ks), m + 1)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         raw, byte_at = text_bytes(column)
@@ -291,7 +302,7 @@ def predicted(docs: DataFrame, model: CrossParser, text: str = "text") -> Column
             parts, lo = [pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))], 0
             _, at = text_bytes(column)
             while lo < len(column):
-                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 4 * BATCH_CHARS, "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), "right")) - 1)
                 names, score = shared.value.predict(column.slice(lo, hi - lo))
                 parts.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang_pred", "score"]))
                 lo = hi
