@@ -107,9 +107,8 @@ def d12(spark, d):
 
 
 def crop_panel(spark, d: str) -> DataFrame:
-    m = N.with_normal(monthly(spark, d), ["rain_mm"], BASE)
-    mm = F.month("month")
-    ref = m.where(F.year("month").between(*BASE)).groupBy("district_id", mm.alias("mm")).agg(F.avg("tmin_c").alias("soil_ref"), F.stddev_samp("tmin_c").alias("soil_sd"))
+    m, mm = monthly(spark, d), F.month("month")
+    ref = m.where(F.year("month").between(*BASE)).groupBy("district_id", mm.alias("mm")).agg(F.avg("rain_mm").alias("rain_mm_normal"), F.avg("tmin_c").alias("soil_ref"), F.stddev_samp("tmin_c").alias("soil_sd"))
     m = m.withColumn("mm", mm).join(ref, ["district_id", "mm"], "left").join(A.registry(spark, d), "district_id")
     return m.select("district_id", "month", "tmax_c", "tmin_c", clip(F.col("rain_mm") / (F.col("tmax_c") * 8), 0, 1.5).alias("mai"), percent_departure(F.col("rain_mm"), F.col("rain_mm_normal")).alias("departure"), clip(F.col("area") / 100, 0, 1).alias("irrig"), F.col("tmin_c").alias("soil"), "soil_ref", "soil_sd")
 
