@@ -49,6 +49,14 @@ def test_url_filter_intervals_and_specificity(spark):
     assert {r["blocked"] for r in rows(url_filter.judge(captures, entries.limit(0)))} == {False}
 
 
+def test_url_filter_ties_and_clashing_columns(spark):
+    entries = spark.createDataFrame([("b", "host", "x.org", "block", "2024-01-01"), ("a", "host", "x.org", "block", "2024-01-01"), ("c", "host", "x.org", "allow", "2024-01-01"), ("a", "domain", "y.org", "allow", "2024-01-01"), ("a", "domain", "y.org", "block", "2024-01-01"), ("a", "host", "z.org", "block", "2024-01-01")], "list string, kind string, key string, action string, dated string").withColumn("dated", F.col("dated").cast("date")).withColumn("row", F.lit(7))
+    captures = spark.createDataFrame([(1, "http://x.org/", "2024-01-02"), (2, "http://y.org/", "2024-01-02"), (3, "http://z.org/", "2024-01-02"), (3, "http://z.org/", "2023-01-02")], "page_id long, url string, fetched string")
+    captures = captures.selectExpr("*", "1 as row", "'k' as kind", "2 as rank", "3 as key", "4 as list", "5 as since", "6 as best", "7 as until")
+    got = sorted((r["page_id"], r["blocked"], r["list"], r["key"]) for r in rows(url_filter.judge(captures, entries)))
+    assert got == [(1, True, "a", "x.org"), (2, False, "a", "y.org"), (3, False, None, None), (3, True, "a", "z.org")] or got == [(1, True, "a", "x.org"), (2, False, "a", "y.org"), (3, True, "a", "z.org"), (3, False, None, None)]
+
+
 # 2 exact dedup
 
 
@@ -109,7 +117,7 @@ def _lm_model(parts, grams):
     for i in range(parts):
         of = [np.array(sorted(h for h in g if int(lm_score.part_of(np.array([h], np.uint64), parts)[0]) == i), np.uint64) for g in grams]
         n = [np.array([g[int(h)] for h in hs], np.int64) for hs, g in zip(of, grams)]
-        table.append({"part": i, "filter": lm_score.stretch(np.concatenate(of), np.concatenate(n)).tobytes(), "word": of[0].tobytes(), "times": n[0].astype("<i8").tobytes()})
+        table.append({"part": i, "filter": lm_score.stretch(np.concatenate(of), np.concatenate(n)).tobytes(), "word": of[0].tobytes(), "size": 0, "times": n[0].astype("<i8").tobytes()})
     false = np.mean([lm_score.false_share(np.frombuffer(r["filter"], np.uint64)) for r in table])
     return lm_score.Model(table, parts), false
 
@@ -128,7 +136,25 @@ def test_lm_filter_finds_counts_and_odd_rows(odd, nothing):
     a, b = lm_score.unpack(lm_score.pack(h, n))
     assert dict(zip(a.tolist(), b.tolist())) == dict(zip(h.tolist(), n.tolist()))
     assert lm_score.spread(lm_score.squeeze(h[:0])).tolist() == [] and lm_score.spread(lm_score.squeeze(h[:1])).tolist() == h[:1].tolist()
-    assert lm_score.score(odd).count() == ODD_ROWS and lm_score.score(nothing).count() == 0
+    assert lm_score.score(nothing).count() == 0
+
+
+def test_lm_scores_of_odd_rows(monkeypatch, odd):
+    table = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    keep = [not (i is not None and zlib.crc32(str(i).encode()) % 5 == 1) for i, _ in table]
+    own, n = Counter(), 0
+    for (_, t), k in zip(table, keep):
+        if k:
+            own.update([*words(t), "</s>"])
+            n += len(words(t)) + 1
+    want = sorted((str(i), not k, len(words(t)) + 1, sum(w in own for w in [*words(t), "</s>"]), n, round(sum(math.log10((own[w] + 0.5) / (n + 0.5 * (len(own) + 1))) for w in [*words(t), "</s>"]), 5)) for (i, t), k in zip(table, keep))
+    for most in (lm_score.MOST_TOKENS, 0):
+        monkeypatch.setattr(lm_score, "MOST_TOKENS", most)
+        got = rows(lm_score.score(odd))
+        assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
+        assert all(r["score"] < 0 for r in got)
+    untrained = rows(lm_score.score(odd, F.lit(False)))
+    assert len(untrained) == ODD_ROWS and {(r["n_known"], r["train_tokens"]) for r in untrained} == {(0, 0)}
 
 
 def _exact_lm(documents, held):
@@ -145,16 +171,16 @@ def _exact_lm(documents, held):
 def test_lm_probabilities_of_a_context_add_up_to_one(documents):
     own, pair, n = _exact_lm(documents, defaultdict(bool))
     names = list(own)
-    h, _ = lm_score.word_hashes(__import__("pyarrow").array([w.decode() for w in names if w != "</s>"]))
+    h = lm_score.word_hashes(__import__("pyarrow").array([w.decode() for w in names if w != "</s>"]))[0] & ~np.uint64(0xFF)
     code = dict(zip([w for w in names if w != "</s>"], h.tolist())) | {"</s>": int(lm_score.END)}
     gram = lambda v, w: int(lm_score.bigrams(np.array([code[v], code[w]], np.uint64))[0])
-    ones = {int(lm_score.mix(np.array([code[w]], np.uint64))[0]): c for w, c in own.items()}
+    ones = {int(lm_score.unigrams(np.array([code[w]], np.uint64))[0]): c for w, c in own.items()}
     model, false = _lm_model(4, [ones, {gram(v, w): c for (v, w), c in pair.items()}])
     all_ = np.array([code[w] for w in names], np.uint64)
-    count = lm_score.GRID[model.filter.probe(lm_score.mix(all_))]
+    count = lm_score.GRID[model.filter.probe(lm_score.unigrams(all_))]
     ranked = [w for w, _ in own.most_common()]
     for v in [*ranked[:20], *ranked[100:2000:190], *ranked[-5:]]:
-        before = np.full(len(all_), lm_score.GRID[model.filter.probe(lm_score.mix(np.array([code[v]], np.uint64)))][0])
+        before = np.full(len(all_), lm_score.GRID[model.filter.probe(lm_score.unigrams(np.array([code[v]], np.uint64)))][0])
         both = np.empty(2 * len(all_), np.uint64)
         both[0::2], both[1::2] = code[v], all_
         found = lm_score.GRID[model.filter.probe(lm_score.bigrams(both)[0::2])]
@@ -199,6 +225,8 @@ def test_scan_gives_the_librarys_ids(spark, odd, nothing, documents):
         assert r["round_trip"] == (sp.decode(list(r["ids"])) == (r["text"] or ""))
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<i4").tobytes())
     assert sentencepiece_codec.encode(nothing).count() == 0
+    whole = {(r["doc_id"], r["source"], tuple(r["ids"])) for r in rows(sentencepiece_codec.encode(odd, ["doc_id", "source"], chunk=1000))}  # with clashing columns beside
+    assert whole == {(r.doc_id, r.source, tuple(sp.encode(r.text or ""))) for r in odd.collect()}
 
 
 def test_matrix_products_are_associative():
@@ -389,6 +417,9 @@ def test_mix_takes_prefixes_within_budgets(odd, nothing):
     assert sum(r["tokens"] for r in got) <= 0.6 * sum(len(words(t.text)) for t in odd.select("text").collect())
     assert {r["epoch"] for r in got} <= {1, 2}
     assert mixing.mix(nothing).count() == 0
+    key = lambda r: tuple(str(r[c]) for c in ("doc_id", "domain", "lang", "source", "tokens", "epoch"))
+    clashing = odd.selectExpr("*", "1 as domain", "2 as tokens", "3 as epoch", "4 as range", "5 as whole", "6 as budget")
+    assert sorted(map(key, rows(mixing.mix(clashing)))) == sorted(map(key, rows(mixing.mix(odd.select("doc_id", "text", "lang", "source")))))
     everything = rows(mixing.mix(odd, percent=1000, epochs=2))
     assert len([r for r in everything if r["tokens"]]) == 2 * len([t for t in odd.select("text").collect() if words(t.text)])
 
@@ -451,6 +482,9 @@ def test_token_files_hold_the_librarys_ids(spark, odd, nothing, documents, tmp_p
         assert (r["doc_id"], r["start"], list(r["ids"])) == (i if known else None, at, ids)
         at += len(ids)
     assert [list(r["ids"]) for r in rows(token_orc.lookup(spark, path, 110))] == [[*tool.encode(documents[10], add_special_tokens=False).ids, 0]]
+    token_orc.write(odd, str(tmp_path / "odd"))  # with clashing columns beside
+    found = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, len(r["ids"])) for r in rows(token_orc.read(spark, str(tmp_path / "odd")))))
+    assert found == sorted((r.doc_id is not None, r.doc_id or 0, 1 + len(tool.encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect())
     token_orc.write(nothing, str(tmp_path / "none"))
     assert token_orc.read(spark, str(tmp_path / "none")).count() == 0
 
