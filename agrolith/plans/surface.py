@@ -110,7 +110,7 @@ def q08(spark, d):
     return m.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rmse", "model"))).where("rank <= 3").select("model", "rank", "rmse")
 
 
-@query("k05_layer_payload")
+@query("k05_layer_payload", f"{with_(DAILY, MONTHLY)}, l AS (UNPIVOT (SELECT district_id, month, rain_mm, tmax_c, tmin_c FROM monthly WHERE month >= DATE '2000-01-01') ON rain_mm, tmax_c, tmin_c INTO NAME layer VALUE v), i AS (SELECT layer, month, string_agg('\"' || district_id || '\":' || CAST(round(v, 1) AS VARCHAR), ',' ORDER BY CAST(district_id AS VARCHAR)) AS m FROM l GROUP BY 1, 2) SELECT layer, '{{' || string_agg('\"' || {day('month')} || '\":{{' || m || '}}', ',' ORDER BY month) || '}}' AS json FROM i GROUP BY 1")
 def k05(spark, d):
     """One JSON object a layer, {month: {district: value}}; its form is tested with the sinks."""
     last = monthly(spark, d).where("month >= DATE'2000-01-01'")
