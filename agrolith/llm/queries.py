@@ -18,5 +18,6 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op6_embedding_dedup": embedding_dedup.ORACLE,
+    "op7_minhash_dedup": minhash_dedup.ORACLE,
     "op1_url_filter": url_filter.ORACLE,
 }
