@@ -71,3 +71,32 @@ def audit(df: DataFrame, keys: list[str], columns: list[str], train: Column, ran
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.sum(F.col("__n") - 1).cast("double").alias("value"))
     rows = one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(found))])).alias("s")).select("s.*")
     return rows.union(repeated.select(F.lit("keys"), F.lit("repeated"), F.coalesce("value", F.lit(0.0))))
+
+
+def product_checks(days: DataFrame, keys: list[str], date: str, value: str, bounds: tuple[float, float]) -> DataFrame:
+    """Per key: rows, distinct days, blank values, days missing between the first and the last, and values out of bounds."""
+    x, distinct = F.col(value), F.countDistinct(date)
+    return days.groupBy(*keys).agg(F.count(F.lit(1)).alias("days"), distinct.alias("distinct_days"), (F.count(F.lit(1)) - F.count(x)).alias("blanks"), (F.datediff(F.max(date), F.min(date)) + 1 - distinct).alias("gaps"), F.count_if((x < bounds[0]) | (x > bounds[1])).alias("out_of_range"))
+
+
+def compare_feeds(old: DataFrame, new: DataFrame, keys: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
+    """Of two deliveries of a feed: keys shared, added and lost, and shared values that were revised; one row. A new delivery that lost keys is to be refused."""
+    a = old.select(*keys, F.col(value).alias("__v"), F.lit(1).alias("__old"))
+    b = new.select(*keys, F.col(value).alias("__w"), F.lit(1).alias("__new"))
+    j, has = a.join(b, keys, "full"), lambda c: F.col(c).isNotNull()
+    return j.agg(F.count_if(has("__old") & has("__new")).alias("shared"), F.count_if(~has("__old")).alias("added"), F.count_if(~has("__new")).alias("lost"), F.count_if(F.abs(F.col("__v") - F.col("__w")) > tolerance).alias("revised"))
+
+
+def leakage(rows: DataFrame, keys: list[str], time: str, target: str, x: str, strong: float = 0.30, times: float = 1.5) -> DataFrame:
+    """Per key: correlation of the target with the feature's row before and after. A feature that tells the past better
+    than the future leaks: forward beyond ``strong`` and ``times`` the backward one."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    moved = rows.select(*keys, target, F.lag(x).over(w).alias("__b"), F.lead(x).over(w).alias("__f"))
+    b, f = F.corr(target, "__b"), F.corr(target, "__f")
+    return moved.groupBy(*keys).agg(b.alias("back"), f.alias("forward"), F.coalesce((F.abs(f) > strong) & (F.abs(f) > times * F.abs(b)), F.lit(False)).cast("int").alias("leaks"))
+
+
+def freshness(edge: Column, today: Column, lag_days: int) -> Column:
+    """CURRENT up to the source's usual lag, DUE up to twice that and three days, STALE beyond."""
+    age = F.datediff(today, edge)
+    return F.when(age <= lag_days, "CURRENT").when(age <= 2 * lag_days + 3, "DUE").when(age.isNotNull(), "STALE")

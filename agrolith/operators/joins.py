@@ -113,8 +113,10 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def nearest(points: DataFrame, k: int = 8, floor_km: float = 25.0) -> DataFrame:
     """The ``k`` nearest other points (id, lat, lon) of each, with normalised inverse-distance weights.
 
-    ``points`` is a registry of some hundreds of rows: the pairs are formed by a broadcast.
+    ``points`` is a registry of some hundreds of rows, 5,000 at most: the pairs are formed by a broadcast.
     """
+    if points.limit(5001).count() > 5000:
+        raise ValueError("more than 5,000 points; nearest_cell does not form all pairs")
     other = points.select(F.col("id").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     km = great_circle(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     pairs = points.join(F.broadcast(other), F.col("id") != F.col("neighbour")).select("id", "neighbour", km.alias("km"))

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.functions.nulls import clip
+from agrolith.functions.nulls import categories, clip
 
 
 def best(predictions: DataFrame, model: str, predicted: str, observed: str, k: int) -> DataFrame:
@@ -37,3 +37,45 @@ def fingerprint(columns: list[str]) -> str:
 def to_train(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Those of ``wanted`` (learner, target, fingerprint) that the catalogue has no model of: a run that broke off goes on there."""
     return wanted.join(catalogue.select("learner", "target", "fingerprint").distinct(), ["learner", "target", "fingerprint"], "left_anti")
+
+
+def scores(rows: DataFrame, by: str, predicted: Column, observed: Column, edges: list[float]) -> DataFrame:
+    """Per model: rmse, skill against zero, correlation, mean absolute error, and how often both fall into the same category.
+    Predictions are bounded to [-100, 1000] percent first."""
+    x = rows.select(by, clip(predicted, -100, 1000).alias("__f"), observed.alias("__y"))
+    f, y = F.col("__f"), F.col("__y")
+    mse = F.avg((f - y) * (f - y))
+    same = (categories(f, edges) == categories(y, edges)).cast("int")
+    return x.groupBy(by).agg(F.sqrt(mse).alias("rmse"), (1 - F.try_divide(mse, F.avg(y * y))).alias("skill"), F.corr(f, y).alias("r"), F.avg(F.abs(f - y)).alias("mae"), F.avg(same).alias("accuracy"))
+
+
+def calibration_slope(observed: Column, predicted: Column, least: int = 20, spread: float = 0.0) -> Column:
+    """Slope of the observations on the predictions within [-2, 4]; 1 for a group of ``least`` rows or fewer, or of no spread."""
+    enough = (F.count(F.lit(1)) > least) & (F.stddev_samp(predicted) > spread)
+    return F.when(enough, clip(F.regr_slope(observed, predicted), -2, 4)).otherwise(1.0)
+
+
+def inflated(predicted: str, keys: list[str], factor: float) -> Column:
+    """Predictions spread about their group's mean by ``factor``."""
+    mean = F.avg(predicted).over(Window.partitionBy(*keys))
+    return mean + factor * (F.col(predicted) - mean)
+
+
+def quantile_mapped(rows: DataFrame, keys: list[str], predicted: str, observed: str, tie: str, name: str) -> DataFrame:
+    """Adds ``name``: for the prediction of a rank within its group, the observation of that rank."""
+    g = Window.partitionBy(*keys)
+    ranked = rows.withColumn("__i", F.row_number().over(g.orderBy(predicted, tie)))
+    to = rows.select(*keys, F.row_number().over(g.orderBy(observed, tie)).alias("__i"), F.col(observed).alias(name))
+    return ranked.join(to, [*keys, "__i"]).drop("__i")
+
+
+def log_ratio(amount: Column, normal: Column) -> Column:
+    return F.ln((amount + 1.0) / (normal + 1.0))
+
+
+def amount_of_log_ratio(ratio: Column, normal: Column) -> Column:
+    return F.exp(ratio) * (normal + 1.0) - 1.0
+
+
+def departure_of_amount(amount: Column, normal: Column) -> Column:
+    return F.try_divide(F.lit(100.0) * (amount - normal), normal)

@@ -22,3 +22,17 @@ def national_year_on_year(rows: DataFrame, unit: str, year: str, value: str, thi
     sums = both.groupBy(year).agg(F.sum(F.when(paired, F.col(value))).alias("now"), F.sum(F.when(paired, F.col("__ly"))).alias("before"), F.sum("__ly").alias("__all"), F.count(value).alias("units"))
     basis, change = F.try_divide(100 * F.col("before"), F.col("__all")), F.try_divide(100 * (F.col("now") - F.col("before")), F.col("before"))
     return sums.where("units > 0").select(year, "now", "before", basis.alias("basis"), F.when((basis >= thin) & (F.abs(change) <= most), change).alias("change"))
+
+
+#: Labels of rows that sum up others in a national report.
+AGGREGATES = ("total", "grand total", "all crops", "cereals", "coarse cereals", "pulses", "oilseeds", "foodgrains", "kharif total", "rabi total")
+
+
+def national_report(rows: DataFrame, label: str, year: str, value: str, now: int, normal: tuple[int, int], aggregates: tuple[str, ...] = AGGREGATES) -> DataFrame:
+    """Per label: change on the year before and percent of the normal, recomputed from the yearly sums, and whether the row
+    sums up others, so that it isn't added to them."""
+    s = lambda c: F.sum(F.when(c, F.col(value)))
+    y = F.col(year)
+    change = F.try_divide(s(y == now), s(y == now - 1)) * 100 - 100
+    share = F.try_divide(F.lit(100.0) * s(y == now), s(y.between(*normal)) / (normal[1] - normal[0] + 1))
+    return rows.groupBy(label).agg(change.alias("pct_change"), share.alias("pct_of_normal")).withColumn("is_aggregate", F.lower(F.trim(label)).isin(*aggregates).cast("int"))

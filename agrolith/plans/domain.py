@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.functions.nulls import categories, clip, percent_departure
-from agrolith.operators import crops, indices, joins, ocean
-from agrolith.operators import normals as N
+from agrolith.functions.nulls import clip, percent_departure
+from agrolith.operators import checks, crops, indices, joins, models, ocean
 from agrolith.operators import windows as W
 from agrolith.plans.climate import BASE, NORMAL, monthly, r4, txt
 from agrolith.plans.registry import query
@@ -153,27 +152,21 @@ def d14(spark, d):
 
 @query("d15_scores", "WITH p AS (SELECT l_returnflag AS model, least(greatest(l_tax * 1000 - 40, -100), 1000) AS f, l_discount * 1000 - 50 AS y FROM lineitem) SELECT model, round(sqrt(avg(power(f - y, 2))), 4) AS rmse, round(1 - avg(power(f - y, 2)) / avg(y * y), 6) AS skill, round(corr(f, y), 6) AS r, round(avg(abs(f - y)), 4) AS mae, round(avg(CAST(CAST(f >= -20 AS INT) + CAST(f >= 20 AS INT) = CAST(y >= -20 AS INT) + CAST(y >= 20 AS INT) AS INT)), 6) AS accuracy FROM p GROUP BY 1")
 def d15(spark, d):
-    p = A.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), clip(F.col("l_tax") * 1000 - 40, -100, 1000).alias("f"), (F.col("l_discount") * 1000 - 50).alias("y"))
-    f, y = F.col("f"), F.col("y")
-    mse = F.avg((f - y) * (f - y))
-    same = (categories(f, [-20, 20]) == categories(y, [-20, 20])).cast("int")
-    return p.groupBy("model").agg(r4(F.sqrt(mse), "rmse"), r6(1 - mse / F.avg(y * y), "skill"), r6(F.corr(f, y), "r"), r4(F.avg(F.abs(f - y)), "mae"), r6(F.avg(same), "accuracy"))
+    s = models.scores(A.table(spark, d, "lineitem").withColumn("model", F.col("l_returnflag")), "model", F.col("l_tax") * 1000 - 40, F.col("l_discount") * 1000 - 50, [-20, 20])
+    return s.select("model", *[F.round(c, k).alias(c) for c, k in (("rmse", 4), ("skill", 6), ("r", 6), ("mae", 4), ("accuracy", 6))])
 
 
 @query("x04_district_calibration", "SELECT s_nationkey AS district_id, CASE WHEN count(*) > 20 AND stddev_samp(l_tax) > 0 THEN round(least(greatest(regr_slope(l_discount, l_tax), -2), 4), 5) ELSE 1 END AS slope FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
 def x04(spark, d):
     x = A.table(spark, d, "lineitem").join(A.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    fit = F.when((F.count(F.lit(1)) > 20) & (F.stddev_samp("l_tax") > 0), F.round(clip(F.regr_slope("l_discount", "l_tax"), -2, 4), 5)).otherwise(1.0)
-    return x.groupBy(F.col("s_nationkey").alias("district_id")).agg(fit.alias("slope"))
+    return x.groupBy(F.col("s_nationkey").alias("district_id")).agg(F.round(models.calibration_slope(F.col("l_discount"), F.col("l_tax")), 5).alias("slope"))
 
 
 @query("d18_inflate_and_quantile_map", "WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal AS p, s_acctbal * 0.5e0 + s_suppkey AS o FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY p, s_suppkey) AS i, row_number() OVER (PARTITION BY s_nationkey ORDER BY o, s_suppkey) AS k, avg(p) OVER (PARTITION BY s_nationkey) AS mu FROM s) SELECT a.s_suppkey, round(a.mu + 1.5e0 * (a.p - a.mu), 3) AS inflated, round(b.o, 4) AS mapped FROM r a JOIN r b ON a.s_nationkey = b.s_nationkey AND a.i = b.k")
 def d18(spark, d):
     s = A.table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("p"), (F.col("s_acctbal") * 0.5 + F.col("s_suppkey")).alias("o"))
-    g = Window.partitionBy("s_nationkey")
-    r = s.withColumn("i", F.row_number().over(g.orderBy("p", "s_suppkey"))).withColumn("mu", F.avg("p").over(g))
-    sorted_ = s.select("s_nationkey", F.row_number().over(g.orderBy("o", "s_suppkey")).alias("i"), F.col("o").alias("to"))
-    return r.join(sorted_, ["s_nationkey", "i"]).select("s_suppkey", F.round(F.col("mu") + 1.5 * (F.col("p") - F.col("mu")), 3).alias("inflated"), r4(F.col("to"), "mapped"))
+    r = models.quantile_mapped(s, ["s_nationkey"], "p", "o", "s_suppkey", "to")
+    return r.select("s_suppkey", F.round(models.inflated("p", ["s_nationkey"], 1.5), 3).alias("inflated"), r4(F.col("to"), "mapped"))
 
 
 @query("j08_as_of_join", "WITH c AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, max((o_orderkey, o_totalprice)) AS v FROM orders GROUP BY 1, 2), q AS (SELECT o_custkey, o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INT) AS DATE) AS d FROM orders) SELECT q.id, strftime(c.d, '%Y-%m-%d') AS as_of, v[1] AS last_order, round(v[2], 2) AS last_price FROM q ASOF LEFT JOIN c ON q.o_custkey = c.o_custkey AND q.d >= c.d")
@@ -294,18 +287,14 @@ def q09(spark, d):
 
 @query("d20_d22_product_checks", f"{with_(DAILY)} SELECT district_id, CAST(count(*) AS BIGINT) AS days, CAST(count(DISTINCT date) AS BIGINT) AS distinct_days, CAST(count(*) - count(rain_mm) AS BIGINT) AS blanks, CAST(datediff('day', min(date), max(date)) + 1 - count(DISTINCT date) AS BIGINT) AS gaps, CAST(count(*) FILTER (rain_mm < 0 OR rain_mm > 500) AS BIGINT) AS out_of_range FROM daily GROUP BY 1")
 def d20(spark, d):
-    x = F.col("rain_mm")
-    days = F.countDistinct("date")
-    return A.daily(spark, d).groupBy("district_id").agg(F.count(F.lit(1)).alias("days"), days.alias("distinct_days"), (F.count(F.lit(1)) - F.count(x)).alias("blanks"), (F.datediff(F.max("date"), F.min("date")) + 1 - days).alias("gaps"), F.count_if((x < 0) | (x > 500)).alias("out_of_range"))
+    return checks.product_checks(A.daily(spark, d), ["district_id"], "date", "rain_mm", (0, 500))
 
 
 @query("d21_feed_comparison", "WITH a AS (SELECT l_orderkey AS k, l_linenumber AS l, l_quantity AS v FROM lineitem WHERE l_orderkey % 7 <> 0), b AS (SELECT l_orderkey AS k, l_linenumber AS l, l_quantity + CAST(l_orderkey % 11 = 0 AS INT) AS v FROM lineitem WHERE l_orderkey % 5 <> 0) SELECT CAST(count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS BIGINT) AS shared, CAST(count(*) FILTER (a.k IS NULL) AS BIGINT) AS added, CAST(count(*) FILTER (b.k IS NULL) AS BIGINT) AS lost, CAST(count(*) FILTER (abs(a.v - b.v) > 1e-6) AS BIGINT) AS revised FROM a FULL JOIN b ON a.k = b.k AND a.l = b.l")
 def d21(spark, d):
     x = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.col("l_quantity").alias("v"))
-    a = x.where("k % 7 <> 0").select("k", "l", "v", F.lit(1).alias("old"))
-    b = x.where("k % 5 <> 0").select("k", "l", (F.col("v") + (F.col("k") % 11 == 0).cast("int")).alias("w"), F.lit(1).alias("new"))
-    j = a.join(b, ["k", "l"], "full")
-    return j.agg(F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("shared"), F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("lost"), F.count_if(F.abs(F.col("v") - F.col("w")) > 1e-6).alias("revised"))
+    new = x.where("k % 5 <> 0").withColumn("v", F.col("v") + (F.col("k") % 11 == 0).cast("int"))
+    return checks.compare_feeds(x.where("k % 7 <> 0"), new, ["k", "l"], "v")
 
 
 @query("s18_json_fields", "SELECT event_type, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")

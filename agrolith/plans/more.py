@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.functions.nulls import categories, clip, weighted_mean
-from agrolith.operators import joins
-from agrolith.operators import normals as N
+from agrolith.functions.nulls import clip, weighted_mean
+from agrolith.operators import checks, joins, models, reliability, sowing
 from agrolith.operators import windows as W
 from agrolith.operators.joins import nearest
 from agrolith.plans.climate import BASE, monthly, r4, txt
@@ -61,34 +60,23 @@ sc AS (SELECT *, 0.5e0 * least(greatest(eff / 4, 0), 1) + 0.5e0 * least(greatest
 @query("d09_reliability", f"{with_(DAILY, MONTHLY, CELLS, RELIABILITY)} SELECT district_id, round(eff, 4) AS effective_cells, round(spread, 4) AS spread_pct, round(score, 6) AS score, CASE WHEN score <= 0.35 THEN 'Low' WHEN score <= 0.55 THEN 'Moderate' WHEN score <= 0.75 THEN 'Good' ELSE 'High' END AS grade FROM sc")
 def d09(spark, d):
     weights, _ = grid(spark, d)
-    eff = weights.groupBy("district_id").agg((F.pow(F.sum("w"), 2.0) / F.sum(F.col("w") * F.col("w"))).alias("eff"))
-    a, b = F.col("tmax_c"), F.col("tmin_c")
-    ok = (a + b) != 0
-    spread = monthly(spark, d).where(F.month("month").between(6, 9)).groupBy("district_id").agg(F.when(F.count_if(ok) >= 5, F.avg(F.when(ok, F.abs(a - b) / ((a + b) / 2))) * 100).alias("spread"))
-    median = spread.agg(F.percentile("spread", 0.5).alias("median"))
-    x = eff.join(spread, "district_id", "left").crossJoin(F.broadcast(median)).withColumn("spread", F.coalesce("spread", "median"))
-    score = 0.5 * clip(F.col("eff") / 4, 0, 1) + 0.5 * clip(1 - F.col("spread") / 60, 0, 1)
-    grade = F.element_at(F.array(*[F.lit(g) for g in ("Low", "Moderate", "Good", "High")]), categories(score, [0.35, 0.55, 0.75], right=True) + 1)
-    return x.select("district_id", r4(F.col("eff"), "effective_cells"), r4(F.col("spread"), "spread_pct"), r6(score, "score"), grade.alias("grade"))
+    spread = monthly(spark, d).where(F.month("month").between(6, 9)).groupBy("district_id").agg(reliability.relative_spread(F.col("tmax_c"), F.col("tmin_c")).alias("spread"))
+    x = reliability.reliability(weights, spread)
+    return x.select("district_id", r4(F.col("effective_cells"), "effective_cells"), r4(F.col("spread"), "spread_pct"), r6(F.col("score"), "score"), "grade")
 
 
 @query("d10_irrigation_index", f"{with_(REGISTRY)}, y AS (SELECT c_nationkey AS district_id, year(o_orderdate) AS y, count(*) AS high FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2), l AS (SELECT district_id, avg(high) AS high FROM (SELECT *, dense_rank() OVER (ORDER BY y DESC) AS r FROM y) WHERE r <= 5 GROUP BY 1), f AS (SELECT district_id, state, least(greatest(high / (area * 100), 0), 1) AS share FROM registry LEFT JOIN l USING (district_id)), g AS (SELECT *, coalesce(share, quantile_cont(share, 0.5) OVER (PARTITION BY state)) AS s FROM f) SELECT district_id, round(s, 8) AS share, round((rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0e0) / count(*) OVER (), 6) AS idx FROM g")
 def d10(spark, d):
     o = A.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    yearly = o.groupBy(F.col("c_nationkey").alias("district_id"), F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("high"))
-    last = yearly.select("y").distinct().orderBy(F.desc("y")).limit(5)
-    high = yearly.join(F.broadcast(last), "y", "left_semi").groupBy("district_id").agg(F.avg("high").alias("high"))
-    f = A.registry(spark, d).join(high, "district_id", "left").withColumn("share", clip(F.col("high") / (F.col("area") * 100), 0, 1))
-    g = f.withColumn("s", F.coalesce("share", F.percentile("share", 0.5).over(Window.partitionBy("state")))).withColumn("all", F.lit(0))
-    return g.select("district_id", F.round("s", 8).alias("share"), r6(W.percent_rank_average("s", ["all"]), "idx"))
+    yearly = o.groupBy(F.col("c_nationkey").alias("district_id"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("high"))
+    return reliability.irrigation(yearly, A.registry(spark, d)).select("district_id", F.round("share", 8).alias("share"), r6(F.col("idx"), "idx"))
 
 
 @query("d26_national_sowing", "SELECT p_brand, CAST(lower(p_brand) IN ('brand#11', 'brand#22') AS INT) AS is_aggregate, round(sum(l_extendedprice) FILTER (year(l_shipdate) = 2000) / nullif(sum(l_extendedprice) FILTER (year(l_shipdate) = 1999), 0) * 100 - 100, 4) AS pct_change, round(100.0e0 * sum(l_extendedprice) FILTER (year(l_shipdate) = 2000) / nullif(sum(l_extendedprice) FILTER (year(l_shipdate) BETWEEN 1995 AND 1998) / 4, 0), 4) AS pct_of_normal FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def d26(spark, d):
     x = A.table(spark, d, "lineitem").join(A.table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    y = F.year("l_shipdate")
-    s = lambda c: F.sum(F.when(c, F.col("l_extendedprice")))
-    return x.groupBy("p_brand").agg(r4(F.try_divide(s(y == 2000), s(y == 1999)) * 100 - 100, "pct_change"), r4(F.try_divide(F.lit(100.0) * s(y == 2000), s(y.between(1995, 1998)) / 4), "pct_of_normal")).withColumn("is_aggregate", F.lower("p_brand").isin("brand#11", "brand#22").cast("int"))
+    r = sowing.national_report(x.withColumn("year", F.year("l_shipdate")), "p_brand", "year", "l_extendedprice", 2000, (1995, 1998), ("brand#11", "brand#22"))
+    return r.select("p_brand", r4(F.col("pct_change"), "pct_change"), r4(F.col("pct_of_normal"), "pct_of_normal"), "is_aggregate")
 
 
 @query("d12_year_on_year_and_pace", f"WITH {COUNTERS}, k AS (SELECT brand, CAST(year(week) AS INT) AS sy, CAST(weekofyear(week) AS INT) AS wk, max(area) AS area FROM counter GROUP BY ALL), p AS (SELECT brand, sy + 1 AS sy, max(area) AS prev, count(*) AS weeks FROM k GROUP BY brand, sy), j AS (SELECT k.*, l.area AS ly, CASE WHEN p.weeks >= 4 THEN p.prev END AS prev FROM k LEFT JOIN k l ON l.brand = k.brand AND l.sy = k.sy - 1 AND l.wk = k.wk LEFT JOIN p ON p.brand = k.brand AND p.sy = k.sy), q AS (SELECT *, 100 * (area - ly) / nullif(prev, 0) AS pace FROM j) SELECT brand, sy, wk, round(100 * (area - ly) / nullif(ly, 0), 4) AS yoy_pct, round(100 * area / nullif(prev, 0), 4) AS coverage_pct, round(pace, 4) AS pace_pp, CASE WHEN pace >= 3 THEN 'Ahead' WHEN pace <= -3 THEN 'Behind' WHEN pace IS NULL THEN 'no prior season' ELSE 'On pace' END AS label FROM q")
@@ -121,8 +109,7 @@ def j17(spark, d):
 
 @query("f13_freshness", "SELECT event_type, strftime(max(ts), '%Y-%m-%d') AS edge, CASE WHEN datediff('day', CAST(max(ts) AS DATE), DATE '2024-02-05') <= 5 THEN 'CURRENT' WHEN datediff('day', CAST(max(ts) AS DATE), DATE '2024-02-05') <= 13 THEN 'DUE' ELSE 'STALE' END AS status FROM events GROUP BY 1")
 def f13(spark, d):
-    age = F.datediff(F.lit("2024-02-05").cast("date"), F.max("ts").cast("date"))
-    status = F.when(age <= 5, "CURRENT").when(age <= 2 * 5 + 3, "DUE").otherwise("STALE")
+    status = checks.freshness(F.max("ts").cast("date"), F.lit("2024-02-05").cast("date"), 5)
     return A.table(spark, d, "events").groupBy("event_type").agg(F.max("ts").cast("date").cast("string").alias("edge"), status.alias("status"))
 
 
@@ -149,17 +136,15 @@ def w26(spark, d):
 
 @query("t05_top_states_per_crop", "SELECT p_brand, r_name, round(v, 4) AS v, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY v DESC, r_name) AS r FROM (SELECT p_brand, r_name, avg(l_extendedprice) AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)) WHERE r <= 3")
 def t05(spark, d):
-    x = A.table(spark, d, "lineitem").join(A.table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(A.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(A.registry(spark, d)), F.col("s_nationkey") == F.col("district_id"))
+    x = A.table(spark, d, "lineitem").join(A.table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(A.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(A.registry(spark, d), F.col("s_nationkey") == F.col("district_id"))
     g = x.groupBy("p_brand", F.col("state").alias("r_name")).agg(F.avg("l_extendedprice").alias("v"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("v"), "r_name"))).where("rank <= 3").select("p_brand", "r_name", r4(F.col("v"), "v"), "rank")
 
 
 @query("d19_leakage_audit", f"{with_(DAILY, MONTHLY)}, x AS (SELECT district_id, rain_mm, lag(tmax_c) OVER w AS b, lead(tmax_c) OVER w AS f FROM monthly WINDOW w AS (PARTITION BY district_id ORDER BY month)) SELECT district_id, round(corr(rain_mm, b), 6) AS back, round(corr(rain_mm, f), 6) AS forward, CAST(coalesce(abs(corr(rain_mm, f)) > 0.3 AND abs(corr(rain_mm, f)) > 1.5 * abs(corr(rain_mm, b)), false) AS INT) AS leaks FROM x GROUP BY 1")
 def d19(spark, d):
-    w = W.series("district_id", "month")
-    x = monthly(spark, d).select("district_id", "rain_mm", F.lag("tmax_c").over(w).alias("b"), F.lead("tmax_c").over(w).alias("f"))
-    b, f = F.corr("rain_mm", "b"), F.corr("rain_mm", "f")
-    return x.groupBy("district_id").agg(r6(b, "back"), r6(f, "forward"), F.coalesce((F.abs(f) > 0.3) & (F.abs(f) > 1.5 * F.abs(b)), F.lit(False)).cast("int").alias("leaks"))
+    x = checks.leakage(monthly(spark, d), ["district_id"], "month", "rain_mm", "tmax_c")
+    return x.select("district_id", r6(F.col("back"), "back"), r6(F.col("forward"), "forward"), "leaks")
 
 
 @query("d07_model_layers", f"{with_(DAILY)}, g AS (SELECT district_id, date, rain_mm, 1 + (district_id + day(date)) % 4 AS n_records FROM daily), k AS (SELECT *, CASE WHEN n_records >= 4 THEN rain_mm END AS v FROM g) SELECT district_id, {day()} AS date, CASE WHEN count(v) OVER w >= 2 THEN round(sum(v) OVER w, 4) END AS rain_14 FROM k WINDOW w AS (PARTITION BY district_id ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)")
@@ -173,15 +158,15 @@ def d07(spark, d):
 def d08(spark, d):
     m = A.table(spark, d, "lineitem").join(A.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("run"), F.col("l_linenumber").alias("lead"), "l_suppkey").agg(F.sum("l_quantity").alias("v"))
     newest = A.table(spark, d, "orders").agg(F.max("o_orderpriority").alias("run"))
-    n = m.join(F.broadcast(newest), "run", "left_semi").where(F.col("lead").isin(1, 3, 5, 7))
+    n = m.join(newest, "run", "left_semi").where(F.col("lead").isin(1, 3, 5, 7))
     return n.groupBy("lead").agg(r4(F.avg("v"), "mean"), r4(F.percentile("v", 0.1), "p10"), r4(F.percentile("v", 0.9), "p90"))
 
 
 @query("d16_target_transforms", "SELECT p_partkey, round(ln((p_retailprice + 1.0e0) / (p_size + 1.0e0)), 8) AS logratio, round((exp(ln((p_retailprice + 1.0e0) / (p_size + 1.0e0))) * (p_size + 1.0e0) - 1.0e0), 4) AS amount, round(100.0e0 * (p_retailprice - p_size) / p_size, 4) AS departure FROM part WHERE p_size >= 5")
 def d16(spark, d):
     a, n = F.col("p_retailprice"), F.col("p_size")
-    ratio = F.ln((a + 1.0) / (n + 1.0))
-    return A.table(spark, d, "part").where(n >= 5).select("p_partkey", F.round(ratio, 8).alias("logratio"), r4(F.exp(ratio) * (n + 1.0) - 1.0, "amount"), r4(F.lit(100.0) * (a - n) / n, "departure"))
+    ratio = models.log_ratio(a, n)
+    return A.table(spark, d, "part").where(n >= 5).select("p_partkey", F.round(ratio, 8).alias("logratio"), r4(models.amount_of_log_ratio(ratio, n), "amount"), r4(models.departure_of_amount(a, n), "departure"))
 
 
 @query("d17_learners")
