@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, columns: list[str], bucket: str = "year") -> DataFrame:
     """For each row of ``left`` the latest row of ``right`` of the same key at or before its time.
 
     Both sides become one table, sorted by key and time, in which the last right row is carried
-    forward: work is that of a sort, however many rows a key has on both sides. Right rows that share key and time: the greatest struct of columns.
+    forward: work is that of a sort, however many rows a key has on both sides. The sort is done by
+    key and ``bucket`` of time, so that a hot key goes to many tasks; a bucket begins with the
+    last right row of those before it. Right rows that share key and time: the greatest struct of columns.
     """
-    last = right.groupBy(*on, time).agg(F.max(F.struct(*columns)).alias("__v"))
-    given = F.struct(*[F.col(c) for c in left.columns]).alias("__left")
-    rows = left.select(*on, time, F.lit(1).alias("__side"), given, F.lit(None).cast(f"struct<at: {right.schema[time].dataType.simpleString()}, v: {last.schema['__v'].dataType.simpleString()}>").alias("__right"))
-    both = rows.unionByName(last.select(*on, time, F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), F.struct(F.col(time).alias("at"), F.col("__v").alias("v")).alias("__right")))
-    w = Window.partitionBy(*on).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__right", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
+    period = F.trunc(F.col(time).cast("date"), bucket).alias("__period")
+    last = right.groupBy(*on, time).agg(F.max(F.struct(*columns)).alias("v")).select(*on, time, period, F.struct(F.col(time).alias("at"), "v").alias("__right"))
+    tails = last.groupBy(*on, "__period").agg(F.max_by("__right", time).alias("__tail"))
+    none = F.lit(None).cast(last.schema["__right"].dataType)
+    periods = tails.unionByName(left.select(*on, period).distinct().withColumn("__tail", none)).groupBy(*on, "__period").agg(F.max("__tail").alias("__tail"))
+    before = Window.partitionBy(*on).orderBy("__period").rowsBetween(Window.unboundedPreceding, -1)
+    opening = periods.select(*on, "__period", F.last("__tail", ignorenulls=True).over(before).alias("__right")).where("__right is not null")
+    rows = left.select(*on, time, period, F.lit(2).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__left"), none.alias("__right"))
+    empty = F.lit(None).cast(rows.schema["__left"].dataType).alias("__left")
+    both = rows.unionByName(last.select(*on, time, "__period", F.lit(1).alias("__side"), empty, "__right"))
+    both = both.unionByName(opening.select(*on, F.lit(None).cast(rows.schema[time].dataType).alias(time), "__period", F.lit(0).alias("__side"), empty, "__right"))
+    w = Window.partitionBy(*on, "__period").orderBy(F.col("__side") > 0, time, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__right", F.last("__right", ignorenulls=True).over(w)).where("__side = 2")
     known = F.col(time).isNotNull()
     for c in on:
         known = known & F.col(c).isNotNull()
