@@ -100,3 +100,11 @@ def freshness(edge: Column, today: Column, lag_days: int) -> Column:
     """CURRENT up to the source's usual lag, DUE up to twice that and three days, STALE beyond."""
     age = F.datediff(today, edge)
     return F.when(age <= lag_days, "CURRENT").when(age <= 2 * lag_days + 3, "DUE").when(age.isNotNull(), "STALE")
+
+
+def exactly_one(df: DataFrame, condition: Column) -> DataFrame:
+    """The row that fulfils a condition; an error if there is none or more than one."""
+    found = df.where(condition).limit(2)
+    if (n := found.count()) != 1:
+        raise ValueError(f"{'no row' if n == 0 else 'more than one row'} fulfils {condition}")
+    return found

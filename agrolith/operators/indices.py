@@ -99,3 +99,13 @@ def octant(x: Column, y: Column) -> Column:
 def stress_degrees(tmax: Column, above: float) -> Column:
     """Degrees of the maximum above a threshold."""
     return clip(tmax - above, 0)
+
+
+def weighted_moments(df: DataFrame, x: str, groups: list[str], order: str) -> DataFrame:
+    """Unbiased probability-weighted moments of each group: groups, n, w0, w1, w2. Ranks come from one sort a group."""
+    v = df.where(F.col(x).isNotNull())
+    g = Window.partitionBy(*groups)
+    ranked = v.select(*groups, F.col(x).alias("__x"), F.row_number().over(g.orderBy(x, order)).cast("double").alias("__j"), F.count(F.lit(1)).over(g).cast("double").alias("__n"))
+    n, j, y = F.col("__n"), F.col("__j"), F.col("__x")
+    w1, w2 = F.try_divide(F.sum((n - j) * y), F.max(n * (n - 1))), F.try_divide(F.sum((n - j) * (n - j - 1) * y), F.max(n * (n - 1) * (n - 2)))
+    return ranked.groupBy(*groups).agg(F.max("__n").cast("long").alias("n"), F.avg(y).alias("w0"), w1.alias("w1"), w2.alias("w2"))

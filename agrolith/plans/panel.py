@@ -265,3 +265,14 @@ def j15(spark, d):
     k = F.col("s_suppkey")
     points = A.table(spark, d, "supplier").select(k.alias("id"), (k * 7 % 100 + 0.5).alias("x"), (k * 13 % 90 + 0.25).alias("y"))
     return joins.in_polygons(points, edges, 10.0)
+
+
+@query("w21_weighted_moments", f"{with_(DAILY, MONTHLY)}, r AS (SELECT district_id, rain_mm AS x, CAST(row_number() OVER (PARTITION BY district_id ORDER BY rain_mm, month) AS DOUBLE) AS j, CAST(count(*) OVER (PARTITION BY district_id) AS DOUBLE) AS n FROM monthly WHERE rain_mm IS NOT NULL) SELECT district_id, CAST(max(n) AS BIGINT) AS n, round(avg(x), 6) AS w0, round(sum((n - j) * x) / nullif(max(n * (n - 1)), 0), 6) AS w1, round(sum((n - j) * (n - j - 1) * x) / nullif(max(n * (n - 1) * (n - 2)), 0), 6) AS w2 FROM r GROUP BY 1")
+def w21(spark, d):
+    m = indices.weighted_moments(monthly(spark, d), "rain_mm", ["district_id"], "month")
+    return m.select("district_id", "n", *[F.round(c, 6).alias(c) for c in ("w0", "w1", "w2")])
+
+
+@query("j24_exactly_one", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+def j24(spark, d):
+    return checks.exactly_one(A.table(spark, d, "nation"), F.col("n_nationkey") == 7).select("n_nationkey", "n_name")

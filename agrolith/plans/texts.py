@@ -115,3 +115,12 @@ def k04(spark, d):
     sinks.masters(monthly(spark, d), path, KEYS, {"rain": ["rain_mm"], "tmax": ["tmax_c", "none_such"]})
     read = lambda name, c: spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("master"), "district_id", txt("month"), r4(F.col(c), "v"))
     return read("rain", "rain_mm").union(read("tmax", "tmax_c"))
+
+
+@query("s24_edge_of_newest_file", f"{with_(DAILY)} SELECT {day('max(date)')} AS edge FROM daily WHERE tmax_c IS NOT NULL AND date < DATE '2001-07-01'")
+def s24(spark, d):
+    base = shared_path(spark, "years")
+    x = A.daily(spark, d).where("tmax_c is not null and date < DATE'2001-07-01'").select("date", "tmax_c")
+    for year in (2000, 2001):
+        x.where(F.year("date") == year).write.option("header", True).csv(f"{base}/tmax_{year}")
+    return text.edge(spark, f"{base}/tmax_*", "date date, tmax_c double").select(txt("edge"))

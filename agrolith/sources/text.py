@@ -87,3 +87,10 @@ def repaired_area(value: Column, unit: Column) -> Column:
     number = unit.try_cast("double")
     v = F.when((value.try_cast("double") == 1000) & number.isNotNull(), number).otherwise(value.try_cast("double"))
     return F.when(unit.rlike(r"(?i)^\s*ha\s*$"), v / 1000).otherwise(v)
+
+
+def edge(spark: SparkSession, pattern: str, schema: str, date: str = "date") -> DataFrame:
+    """The last day that the newest file of a glob holds; one row, empty if there is no file."""
+    path = newest(spark, pattern)
+    rows = csv(spark, path, schema, [date]) if path else spark.createDataFrame([], schema).select(date)
+    return rows.agg(F.max(date).alias("edge")).where("edge is not null")
