@@ -17,11 +17,11 @@ BROADCAST_ROWS = 400_000
 _own_folder: dict[str, str] = {}
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Send Python at most ``rows`` rows at a time, as a row may hold a long text; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Send Python at most ``rows`` rows and about ``size`` bytes at a time, as a row may hold a long text; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= most:
+            spark.conf.set(key, most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
