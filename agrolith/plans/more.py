@@ -9,10 +9,10 @@ from agrolith.functions.nulls import clip, weighted_mean
 from agrolith.operators import checks, joins, models, reliability, sowing
 from agrolith.operators import windows as W
 from agrolith.operators.joins import nearest
-from agrolith.plans.climate import BASE, monthly, r4, txt
+from agrolith.plans.climate import monthly, r4, txt
 from agrolith.plans.domain import COUNTERS, counters, r6
 from agrolith.plans.registry import query
-from agrolith.plans.sql import DAILY, INDEX, MONTHLY, REGISTRY, day, with_
+from agrolith.plans.sql import DAILY, MONTHLY, REGISTRY, day, with_
 from agrolith.sources import adapters as A
 
 CELLS = "cells AS (SELECT s_nationkey AS district_id, p_size AS cell, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), grid AS (SELECT p_size AS cell, CAST(year(l_shipdate) AS INT) AS year, CASE WHEN sum(l_quantity) > 300 THEN sum(l_quantity) END AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"

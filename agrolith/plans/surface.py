@@ -9,10 +9,10 @@ from agrolith.functions.nulls import clip, percent_departure
 from agrolith.operators import normals as N
 from agrolith.operators import ocean
 from agrolith.operators.joins import normalised
-from agrolith.plans.climate import BASE, NORMAL, monthly, r4, txt
-from agrolith.plans.domain import COUNTERS, STATE, counters, r6
+from agrolith.plans.climate import BASE, NORMAL, monthly, txt
+from agrolith.plans.domain import COUNTERS, STATE, counters
 from agrolith.plans.registry import query
-from agrolith.plans.sql import DAILY, INDEX, MONTHLY, REGISTRY, day, with_
+from agrolith.plans.sql import DAILY, INDEX, MONTHLY, day, with_
 from agrolith.sources import adapters as A
 from agrolith.sources import sinks
 
