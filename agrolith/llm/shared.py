@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The column that ``with_rows`` adds.
-ROW = "__row"
+ROW = "__agrolith_row"
 #: Rows of (key, few numbers) that may be broadcast: at most about 30 MB in an executor.
 BROADCAST_ROWS = 400_000
 _own_folder: dict[str, str] = {}
@@ -96,13 +96,13 @@ def with_rows(docs: DataFrame) -> DataFrame:
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
         try:
-            placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__index"))
-            paths = sorted(r[0] for r in placed.select("__path").distinct().collect())
+            placed = docs.select("*", F.col("_metadata.file_path").alias("__agrolith_path"), F.col("_metadata.row_index").alias("__agrolith_index"))
+            paths = sorted(r[0] for r in placed.select("__agrolith_path").distinct().collect())
         except AnalysisException:  # files of another format
             pass
         else:
-            files = docs.sparkSession.createDataFrame([(i << 40, p) for i, p in enumerate(paths)], "__file long, __path string")
-            return placed.join(F.broadcast(files), "__path").select(*docs.columns, (F.col("__file") + F.col("__index")).alias(ROW))
+            files = docs.sparkSession.createDataFrame([(i << 40, p) for i, p in enumerate(paths)], "__agrolith_file long, __agrolith_path string")
+            return placed.join(F.broadcast(files), "__agrolith_path").select(*docs.columns, (F.col("__agrolith_file") + F.col("__agrolith_index")).alias(ROW))
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
