@@ -30,7 +30,7 @@ from agrolith.llm.kernels import give_back, text_bytes
 from agrolith.llm.shared import documents, scratch, sized, stored
 
 END = 0
-CACHED = 1_200_000
+CACHED = 3_000_000
 CUTS = " \n.,"
 _odd = re.compile(r"\s[ \n]|[\W_][.,]|\0")
 #: Of bytes: 0 letters, digits and bytes of letters beyond ASCII, 1 white space, 2 stop and comma, 3 others.
