@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and their SQL where it can express them."""
 
-from agrolith.llm import embedding_dedup, exact_dedup, language_id, lm_score, minhash_dedup, mixing, quality, sentencepiece_codec, target_resampling, token_orc, url_filter, warc
+from agrolith.llm import embedding_dedup, exact_dedup, hard_negatives, language_id, lm_score, minhash_dedup, mixing, quality, sentencepiece_codec, target_resampling, token_orc, url_filter, warc
 
 QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_embedding_dedup": embedding_dedup.op6,
     "op9_quality": quality.op9,
     "op1_url_filter": url_filter.op1,
+    "op11_hard_negatives": hard_negatives.op11,
     "op12_warc": warc.op12,
     "op13_target_resampling": target_resampling.op13,
 }
@@ -22,6 +23,7 @@ ORACLES = {
     "op6_embedding_dedup": embedding_dedup.ORACLE,
     "op7_minhash_dedup": minhash_dedup.ORACLE,
     "op1_url_filter": url_filter.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_warc": warc.ORACLE,
     "op13_target_resampling": target_resampling.ORACLE,
 }
