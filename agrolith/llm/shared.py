@@ -46,11 +46,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts its lineage."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it again, which cuts its lineage; options are the Parquet writer's."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

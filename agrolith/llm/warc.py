@@ -106,7 +106,7 @@ def write(pages: DataFrame, path: str, *, segment_bytes: int = SEGMENT_BYTES, ch
     Other columns aren't read. compression: of a whole archive, ``gzip`` or ``none``.
     """
     small_batches(pages.sparkSession)
-    keyed = with_rows(pages.select("page_id", "url", "html"))
+    keyed = with_rows(pages).select(ROW, "page_id", "url", "html")
     salt = F.lit(uuid.uuid4().hex)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     facts = keyed.select(ROW, "page_id", payload.alias("payload")).where(F.octet_length("payload") >= least_bytes).select(ROW, "page_id", F.sha2("payload", 256).alias("same"))
@@ -200,7 +200,7 @@ def pieces_of(spark: SparkSession, path: str) -> DataFrame:
     head = F.substring_index("value", "\r\n\r\n", 1)
     rows = text.select("file", "start", "n", F.col("value").cast("binary").alias("raw"), F.octet_length("value").cast("long").alias("octets"), (F.octet_length(head) + 4).cast("long").alias("body_at"), head.alias("head"))
     rows = rows.withColumn("length", _field("Content-Length").try_cast("long")).withColumn("length", F.when(F.col("body_at") <= F.col("octets"), F.col("length")))
-    return stored(rows.drop("head"), "warc-pieces")
+    return stored(rows.drop("head"), "warc-pieces", compression="zstd")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
