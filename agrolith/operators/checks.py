@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def edges_and_holes(days: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: first and last day with a value, days missing in between (holes), and days of the calendar after the last
-    one, which are the edge and no holes."""
+    """Per key: first and last day with a value, days missing in between (holes), and days of the calendar, which is dense, after
+    the last one, which are the edge and no holes."""
     ends = days.groupBy(*keys).agg(F.min("date").alias("first"), F.max("date").alias("edge"), F.countDistinct("date").alias("seen"))
-    spans = ends.join(calendar.withColumnRenamed("date", "__at"), F.col("__at") >= F.col("first"), "left")
-    return spans.groupBy(*keys, "first", "edge", "seen").agg((F.count_if(F.col("__at") <= F.col("edge")) - F.col("seen")).alias("holes"), F.count_if(F.col("__at") > F.col("edge")).alias("after_edge"))
+    last = calendar.agg(F.max("date").alias("__last"))
+    holes = F.datediff("edge", "first") + 1 - F.col("seen")
+    return ends.crossJoin(F.broadcast(last)).select(*keys, "first", "edge", "seen", holes.cast("long").alias("holes"), F.greatest(F.datediff("__last", "edge"), F.lit(0)).cast("long").alias("after_edge"))
 
 
 def to_fetch(known: DataFrame, calendar: DataFrame, refetch: int = 10, misses: int = 7) -> DataFrame:

@@ -77,13 +77,13 @@ def export_payload(layers: DataFrame, months: int, digits: int = 1) -> DataFrame
     return seen.join(span, F.col("month") >= F.col("__from")).groupBy("layer", "month").agg(F.to_json(values).alias("json")).join(last, "layer").select("layer", "month", "layer_last", "json")
 
 
-def display_audit(shown: DataFrame, source: DataFrame, months: DataFrame) -> DataFrame:
+def display_audit(shown: DataFrame, source: DataFrame) -> DataFrame:
     """What a display lacks of its source, by layer: holes (months between its first and last without a value), rows beyond the
     source, values that differ, and months that its last one is behind."""
     edges = lambda df, name: df.where("v is not null").groupBy("layer").agg(F.min("month").alias(f"{name}_first"), F.max("month").alias(f"{name}_last"), F.countDistinct("month").alias(f"{name}_months"))
     a, b = edges(shown, "shown"), edges(source, "source")
-    spans = a.join(months.select(F.col("month").alias("at")), F.col("at").between(F.col("shown_first"), F.col("shown_last"))).groupBy("layer").agg(F.count(F.lit(1)).alias("span"))
+    span = F.months_between("shown_last", "shown_first").cast("long") + 1
     s, t = shown.where("v is not null"), source.where("v is not null").withColumnRenamed("v", "w")
     both = s.join(t, ["layer", "district_id", "month"], "full").groupBy("layer").agg(F.count_if(F.col("w").isNull()).alias("beyond"), F.count_if(F.abs(F.col("v") - F.col("w")) > 1e-6).alias("differing"), F.count_if(F.col("v").isNull()).alias("lacking"))
     behind = F.months_between("source_last", "shown_last").cast("int")
-    return both.join(b, "layer", "left").join(a, "layer", "left").join(spans, "layer", "left").select("layer", "beyond", "differing", "lacking", (F.col("span") - F.col("shown_months")).alias("holes"), behind.alias("behind"))
+    return both.join(b, "layer", "left").join(a, "layer", "left").select("layer", "beyond", "differing", "lacking", (span - F.col("shown_months")).alias("holes"), behind.alias("behind"))

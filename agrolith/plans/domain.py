@@ -177,10 +177,11 @@ def j08(spark, d):
     return joins.as_of(asked, known, ["o_custkey"], "day", ["last_order", "last_price"]).select("id", txt("as_of"), "last_order", F.round("last_price", 2).alias("last_price"))
 
 
-@query("j12_u08_spine", "SELECT n_nationkey AS district_id, CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM nation, range(1995, 2002) a(y), range(1, 13) b(m)")
+@query("j12_u08_spine", f"{with_(DAILY)} SELECT n_nationkey AS district_id, CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM nation, (SELECT DISTINCT year(date) AS y FROM daily), range(1, 13) b(m)")
 def j12(spark, d):
     n = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("district_id"))
-    return n.select("district_id", F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("year")).select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    years = A.calendar(spark, d).select(F.year("date").alias("year")).distinct()
+    return n.crossJoin(F.broadcast(years)).select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
 
 
 @query("j14_allocation", f"{with_(REGISTRY)} SELECT district_id, round(t / n, 4) AS allocated FROM registry JOIN (SELECT state, count(*) AS n FROM registry GROUP BY 1) USING (state) JOIN (SELECT r_name AS state, sum(s_acctbal) AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1) USING (state)")
@@ -272,15 +273,15 @@ def q07(spark, d):
     return c.where(hit).orderBy(F.col("c_acctbal").asc_nulls_last(), "c_custkey").limit(400).select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
-@query("q01_layer_with_fallback", f"{with_(DAILY, MONTHLY)}, x AS (SELECT district_id, arg_max(month, month) FILTER (rain_mm IS NOT NULL) AS at_month, arg_max(rain_mm, month) FILTER (rain_mm IS NOT NULL) AS v FROM monthly WHERE month <= DATE '2001-07-01' GROUP BY 1) SELECT district_id, strftime(at_month, '%Y-%m-%d') AS as_of, round(v, 4) AS rain_mm FROM x")
+@query("q01_layer_with_fallback", f"{with_(DAILY, MONTHLY)}, x AS (SELECT district_id, arg_max(month, month) FILTER (rain_mm IS NOT NULL) AS at_month, arg_max(rain_mm, month) FILTER (rain_mm IS NOT NULL) AS v FROM monthly WHERE month < (SELECT max(month) FROM monthly) GROUP BY 1) SELECT district_id, strftime(at_month, '%Y-%m-%d') AS as_of, round(v, 4) AS rain_mm FROM x")
 def q01(spark, d):
-    m = monthly(spark, d).where("month <= DATE'2001-07-01' and rain_mm is not null")
+    m = A.with_last(monthly(spark, d), "month").where("month < last and rain_mm is not null")
     return m.groupBy("district_id").agg(F.max(F.struct("month", "rain_mm")).alias("v")).select("district_id", F.col("v.month").cast("string").alias("as_of"), r4(F.col("v.rain_mm"), "rain_mm"))
 
 
-@query("q09_wide_export", f"{with_(DAILY, MONTHLY)} SELECT district_id, " + ", ".join(f"round(max(CASE WHEN month = DATE '2000-{m:02d}-01' THEN rain_mm END), 4) AS m{m:02d}" for m in range(1, 13)) + " FROM monthly GROUP BY 1")
+@query("q09_wide_export", f"{with_(DAILY, MONTHLY)} SELECT district_id, " + ", ".join(f"round(max(CASE WHEN month(month) = {m} THEN rain_mm END), 4) AS m{m:02d}" for m in range(1, 13)) + " FROM monthly WHERE year(month) = (SELECT max(year(month)) - 1 FROM monthly) GROUP BY 1")
 def q09(spark, d):
-    m = monthly(spark, d).where("year(month) = 2000").withColumn("k", F.date_format("month", "'m'MM"))
+    m = A.with_last(monthly(spark, d), "month").where("year(month) = year(last) - 1").withColumn("k", F.date_format("month", "'m'MM"))
     names = [f"m{k:02d}" for k in range(1, 13)]
     return m.groupBy("district_id").pivot("k", names).agg(F.max("rain_mm")).select("district_id", *[r4(F.col(n), n) for n in names])
 

@@ -24,15 +24,15 @@ def p01(spark, d):
     return monthly(spark, d).select("district_id", txt("month"), F.round(F.col("tmax_c") - F.col("tmin_c"), 8).alias("spread"), r6(F.col("rain_mm") - 2 * F.col("tmax_c"), "balance"))
 
 
-@query("p04_month_and_year_filter", f"{M} SELECT district_id, {day('month')} AS month, round(rain_mm, 4) AS rain_mm FROM monthly WHERE month(month) IN (6, 7, 8, 9) AND year(month) BETWEEN 1996 AND 1999 AND district_id IN (1, 2, 3)")
+@query("p04_month_and_year_filter", f"{M} SELECT district_id, {day('month')} AS month, round(rain_mm, 4) AS rain_mm FROM monthly WHERE month(month) IN (6, 7, 8, 9) AND year(month) BETWEEN 1996 AND 1999")
 def p04(spark, d):
-    m = F.month("month").isin(6, 7, 8, 9) & F.year("month").between(1996, 1999) & F.col("district_id").isin(1, 2, 3)
+    m = F.month("month").isin(6, 7, 8, 9) & F.year("month").between(1996, 1999)
     return monthly(spark, d).where(m).select("district_id", txt("month"), r4(F.col("rain_mm"), "rain_mm"))
 
 
-@query("p05_calendar_keys", f"{with_(DAILY)} SELECT district_id, {day()} AS date, rain_mm FROM daily WHERE (month(date), day(date)) IN (SELECT (month(o_orderdate), day(o_orderdate)) FROM orders WHERE o_orderdate >= DATE '1998-07-01') AND rain_mm IS NOT NULL")
+@query("p05_calendar_keys", f"{with_(DAILY)} SELECT district_id, {day()} AS date, rain_mm FROM daily WHERE (month(date), day(date)) IN (SELECT (month(o_orderdate), day(o_orderdate)) FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 31 DAY) AND rain_mm IS NOT NULL")
 def p05(spark, d):
-    keys = A.table(spark, d, "orders").where("o_orderdate >= DATE'1998-07-01'").select(F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("dd")).distinct()
+    keys = A.with_last(A.table(spark, d, "orders"), "o_orderdate").where("o_orderdate >= last - interval 31 days").select(F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("dd")).distinct()
     x = A.daily(spark, d).where("rain_mm is not null").select("district_id", "date", "rain_mm", F.month("date").alias("m"), F.dayofmonth("date").alias("dd"))
     return x.join(keys, ["m", "dd"], "left_semi").select("district_id", txt(), "rain_mm")
 
@@ -167,8 +167,7 @@ def j13(spark, d):
 
 @query("j22_aligned", f"{with_(DAILY)} SELECT r.district_id, {day('r.date')} AS date, r.rain_mm, t.tmax_c FROM (SELECT * FROM daily WHERE rain_mm IS NOT NULL) r JOIN (SELECT * FROM daily WHERE tmax_c IS NOT NULL) t ON t.district_id = r.district_id AND t.date = r.date")
 def j22(spark, d):
-    rain = A.observed_rain(spark, d).where("date between DATE'1995-01-01' and DATE'2001-08-01'")
-    return P.align([rain, A.observed_temperature(spark, d).select("district_id", "date", "tmax_c")], ["district_id", "date"]).select("district_id", txt(), "rain_mm", "tmax_c")
+    return P.align([A.observed_rain(spark, d), A.observed_temperature(spark, d).select("district_id", "date", "tmax_c")], ["district_id", "date"]).select("district_id", txt(), "rain_mm", "tmax_c")
 
 
 @query("j23_reindexed", f"{with_(DAILY)}, t AS (SELECT district_id, date FROM daily WHERE tmax_c IS NOT NULL) SELECT t.district_id, {day('t.date')} AS date, rain_mm FROM t LEFT JOIN daily USING (district_id, date)")
@@ -295,12 +294,12 @@ def x01(spark, d):
     return m.select("district_id", txt("month"), r6(rank, "position"), r6(indices.stress_degrees(F.col("tmax_c"), 34), "heat"))
 
 
-@query("j10_own_last_month", f"{M}, l AS (UNPIVOT (SELECT district_id, month, rain_mm, tmax_c FROM monthly WHERE month <= DATE '2001-03-01') ON rain_mm, tmax_c INTO NAME layer VALUE v), e AS (SELECT layer, max(month) AS t FROM l GROUP BY 1) SELECT layer, district_id, {day('t')} AS as_of, round(v, 6) AS v FROM l JOIN e USING (layer) WHERE month = t")
+@query("j10_own_last_month", f"{M}, l AS (UNPIVOT (SELECT district_id, month, rain_mm, tmax_c FROM monthly) ON rain_mm, tmax_c INTO NAME layer VALUE v), e AS (SELECT layer, max(month) AS t FROM l GROUP BY 1) SELECT layer, district_id, {day('t')} AS as_of, round(v, 6) AS v FROM l JOIN e USING (layer) WHERE month = t")
 def j10(spark, d):
     from agrolith.operators import layers
 
-    x = monthly(spark, d).where("month <= DATE'2001-03-01'").unpivot(["district_id", "month"], ["rain_mm", "tmax_c"], "layer", "v").where("v is not null")
-    return layers.clamped(x, "month", F.lit("2001-12-01").cast("date"), ["district_id"]).select("layer", "district_id", txt("as_of"), r6(F.col("v"), "v"))
+    x = monthly(spark, d).unpivot(["district_id", "month"], ["rain_mm", "tmax_c"], "layer", "v").where("v is not null")
+    return layers.clamped(x, "month", F.lit("9999-12-31").cast("date"), ["district_id"]).select("layer", "district_id", txt("as_of"), r6(F.col("v"), "v"))
 
 
 @query("d02_departure_by_phase", f"{with_(DAILY, MONTHLY, INDEX, STATE)}, n AS (SELECT district_id, month(month) AS m, avg(rain_mm) AS nm FROM monthly WHERE year(month) BETWEEN 1995 AND 1998 GROUP BY ALL) SELECT phase, round(avg(CASE WHEN nm >= 5 THEN (rain_mm - nm) / nm * 100 END), 5) AS departure, CAST(count(*) AS BIGINT) AS months FROM monthly mo JOIN n ON n.district_id = mo.district_id AND n.m = month(mo.month) JOIN state s ON s.year = year(mo.month) AND s.month = month(mo.month) GROUP BY 1")

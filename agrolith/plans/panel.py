@@ -141,12 +141,11 @@ def d25(spark, d):
     return checks.against_official(ours, official, ["state", "month"], "v").select("state", txt("month"), "ours", "official", F.round("percent", 5).alias("percent"), "verdict")
 
 
-@query("d27_display_audit", f"{with_(DAILY, MONTHLY, LAYERS)}, s AS (SELECT layer, district_id, month, round(v, 1) AS v FROM l WHERE v > 2 AND month < DATE '2001-06-01'), sp AS (SELECT layer, min(month) AS f, max(month) AS t, count(DISTINCT month) AS n FROM s GROUP BY 1), src AS (SELECT layer, max(month) AS t FROM l GROUP BY 1), j AS (SELECT coalesce(s.layer, l.layer) AS layer, s.v, l.v AS w FROM s FULL JOIN l ON s.layer = l.layer AND s.district_id = l.district_id AND s.month = l.month) SELECT j.layer, CAST(count(*) FILTER (w IS NULL) AS BIGINT) AS beyond, CAST(count(*) FILTER (abs(v - w) > 1e-6) AS BIGINT) AS differing, CAST(count(*) FILTER (v IS NULL) AS BIGINT) AS lacking, CAST(date_diff('month', any_value(sp.f), any_value(sp.t)) + 1 - any_value(sp.n) AS BIGINT) AS holes, CAST(date_diff('month', any_value(sp.t), any_value(src.t)) AS INT) AS behind FROM j LEFT JOIN sp ON sp.layer = j.layer LEFT JOIN src ON src.layer = j.layer GROUP BY 1")
+@query("d27_display_audit", f"{with_(DAILY, MONTHLY, LAYERS)}, s AS (SELECT layer, district_id, month, round(v, 1) AS v FROM l WHERE v > 2 AND month < (SELECT max(month) FROM l) - INTERVAL 2 MONTH), sp AS (SELECT layer, min(month) AS f, max(month) AS t, count(DISTINCT month) AS n FROM s GROUP BY 1), src AS (SELECT layer, max(month) AS t FROM l GROUP BY 1), j AS (SELECT coalesce(s.layer, l.layer) AS layer, s.v, l.v AS w FROM s FULL JOIN l ON s.layer = l.layer AND s.district_id = l.district_id AND s.month = l.month) SELECT j.layer, CAST(count(*) FILTER (w IS NULL) AS BIGINT) AS beyond, CAST(count(*) FILTER (abs(v - w) > 1e-6) AS BIGINT) AS differing, CAST(count(*) FILTER (v IS NULL) AS BIGINT) AS lacking, CAST(date_diff('month', any_value(sp.f), any_value(sp.t)) + 1 - any_value(sp.n) AS BIGINT) AS holes, CAST(date_diff('month', any_value(sp.t), any_value(src.t)) AS INT) AS behind FROM j LEFT JOIN sp ON sp.layer = j.layer LEFT JOIN src ON src.layer = j.layer GROUP BY 1")
 def d27(spark, d):
     source = long(spark, d)
-    shown = source.where("v > 2 and month < DATE'2001-06-01'").withColumn("v", F.round("v", 1))
-    months = A.calendar(spark).where(F.dayofmonth("date") == 1).select(F.col("date").alias("month"))
-    return layers.display_audit(shown, source, months)
+    shown = A.with_last(source, "month").where("v > 2 and month < add_months(last, -2)").drop("last").withColumn("v", F.round("v", 1))
+    return layers.display_audit(shown, source)
 
 
 @query("d28_export_payload", f"{with_(DAILY, MONTHLY, LAYERS)}, e AS (SELECT layer, max(month) AS last FROM l GROUP BY 1) SELECT layer, {day('l.month')} AS month, {day('any_value(e.last)')} AS layer_last, '{{' || string_agg('\"' || district_id || '\":' || CAST(round(v, 1) AS VARCHAR), ',' ORDER BY CAST(district_id AS VARCHAR)) || '}}' AS json FROM l JOIN e USING (layer) WHERE l.month >= (SELECT max(month) FROM l) - INTERVAL 23 MONTH GROUP BY layer, l.month")
@@ -154,10 +153,10 @@ def d28(spark, d):
     return layers.export_payload(long(spark, d), 24).select("layer", txt("month"), txt("layer_last"), "json")
 
 
-@query("q02_layer_by_day", f"{with_(DAILY)}, l AS (UNPIVOT (SELECT district_id, date, rain_mm, tmax_c, tmin_c FROM daily) ON rain_mm, tmax_c, tmin_c INTO NAME layer VALUE v), e AS (SELECT layer, least(max(date), DATE '2001-12-31') AS as_of FROM l GROUP BY 1) SELECT layer, district_id, {day('as_of')} AS as_of, round(v, 4) AS v FROM l JOIN e USING (layer) WHERE date = as_of")
+@query("q02_layer_by_day", f"{with_(DAILY)}, l AS (UNPIVOT (SELECT district_id, date, rain_mm, tmax_c, tmin_c FROM daily) ON rain_mm, tmax_c, tmin_c INTO NAME layer VALUE v), e AS (SELECT layer, max(date) AS as_of FROM l GROUP BY 1) SELECT layer, district_id, {day('as_of')} AS as_of, round(v, 4) AS v FROM l JOIN e USING (layer) WHERE date = as_of")
 def q02(spark, d):
     days = A.daily(spark, d).unpivot(["district_id", "date"], NAMES, "layer", "v").where("v is not null")
-    return layers.clamped(days, "date", F.lit("2001-12-31").cast("date"), ["district_id"]).select("layer", "district_id", txt("as_of"), r4(F.col("v"), "v"))
+    return layers.clamped(days, "date", F.lit("9999-12-31").cast("date"), ["district_id"]).select("layer", "district_id", txt("as_of"), r4(F.col("v"), "v"))
 
 
 @query("q03_painted_by_state", f"{with_(DAILY, MONTHLY, REGISTRY, LAYERS)}, s AS (SELECT layer, state, month, sum(v * area) FILTER (area > 0) / sum(area) FILTER (area > 0) AS v FROM l JOIN registry USING (district_id) GROUP BY ALL) SELECT layer, district_id, {day('month')} AS month, round(v, 6) AS v FROM s JOIN registry USING (state)")
@@ -178,16 +177,17 @@ def q10(spark, d):
     return x.select("crop", "season_year", r6(F.col("csi"), "csi"), "districts", cycle.alias("cycle"), F.array_join("states", ", ").alias("states"))
 
 
-@query("st03_edges_and_holes", f"{with_(DAILY)}, e AS (SELECT district_id, min(date) AS f, max(date) AS t, count(*) AS n FROM daily WHERE rain_mm IS NOT NULL GROUP BY 1) SELECT district_id, {day('f')} AS first, {day('t')} AS edge, CAST(n AS BIGINT) AS seen, CAST(date_diff('day', f, t) + 1 - n AS BIGINT) AS holes, CAST(date_diff('day', t, DATE '2001-08-01') AS BIGINT) AS after_edge FROM e")
+@query("st03_edges_and_holes", f"{with_(DAILY)}, e AS (SELECT district_id, min(date) AS f, max(date) AS t, count(*) AS n FROM daily WHERE rain_mm IS NOT NULL GROUP BY 1) SELECT district_id, {day('f')} AS first, {day('t')} AS edge, CAST(n AS BIGINT) AS seen, CAST(date_diff('day', f, t) + 1 - n AS BIGINT) AS holes, CAST(date_diff('day', t, (SELECT max(date) FROM daily)) AS BIGINT) AS after_edge FROM e")
 def st03(spark, d):
-    seen = A.observed_rain(spark, d).where(F.col("date").between("1995-01-01", "2001-08-01"))
-    return checks.edges_and_holes(seen.select("district_id", "date"), A.calendar(spark), ["district_id"]).select("district_id", txt("first"), txt("edge"), "seen", "holes", "after_edge")
+    seen = A.observed_rain(spark, d).select("district_id", "date")
+    return checks.edges_and_holes(seen, A.calendar(spark, d), ["district_id"]).select("district_id", txt("first"), txt("edge"), "seen", "holes", "after_edge")
 
 
-@query("s13_days_to_fetch", f"{with_(DAILY)}, k AS (SELECT DISTINCT date FROM daily WHERE rain_mm > 30 AND date < DATE '2001-07-01'), c AS (SELECT DISTINCT date FROM daily), e AS (SELECT max(date) AS edge FROM k) SELECT {day('c.date')} AS date, CASE WHEN k.date IS NULL AND c.date > edge THEN 'edge' WHEN k.date IS NULL THEN 'hole' ELSE 'revision' END AS why FROM c CROSS JOIN e LEFT JOIN k ON k.date = c.date WHERE (k.date IS NULL OR date_diff('day', c.date, edge) < 10) AND date_diff('day', edge, c.date) <= 7")
+@query("s13_days_to_fetch", f"{with_(DAILY)}, k AS (SELECT DISTINCT date FROM daily WHERE rain_mm > 30 AND date < (SELECT max(date) FROM daily) - INTERVAL 150 DAY), c AS (SELECT DISTINCT date FROM daily), e AS (SELECT max(date) AS edge FROM k) SELECT {day('c.date')} AS date, CASE WHEN k.date IS NULL AND c.date > edge THEN 'edge' WHEN k.date IS NULL THEN 'hole' ELSE 'revision' END AS why FROM c CROSS JOIN e LEFT JOIN k ON k.date = c.date WHERE (k.date IS NULL OR date_diff('day', c.date, edge) < 10) AND date_diff('day', edge, c.date) <= 7")
 def s13(spark, d):
-    known = A.observed_rain(spark, d).where("rain_mm > 30 and date between DATE'1995-01-01' and DATE'2001-06-30'").select("date").distinct()
-    return checks.to_fetch(known, A.calendar(spark)).select(txt(), "why")
+    days = A.calendar(spark, d)
+    known = A.observed_rain(spark, d).crossJoin(F.broadcast(days.agg(F.max("date").alias("last")))).where("rain_mm > 30 and date < last - 150").select("date").distinct()
+    return checks.to_fetch(known, days).select(txt(), "why")
 
 
 @query("s20_years_to_build", "SELECT y.year, m.mode FROM (SELECT CAST(range AS INT) AS year FROM range(1990, 2003)) y JOIN (VALUES ('UPDATE'), ('YEAR'), ('BACKFILL')) m(mode) ON (mode = 'UPDATE' AND year = 2002) OR (mode = 'YEAR' AND year = 1997) OR (mode = 'BACKFILL' AND year NOT IN (SELECT year(o_orderdate) FROM orders))")

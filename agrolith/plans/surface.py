@@ -97,9 +97,9 @@ def x09(spark, d):
     return A.table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.round(clip((F.col("s_acctbal") / 50 - 20) * b, -100, 1000), 7)).alias("forecast"))
 
 
-@query("q06_district_briefing", f"{with_(DAILY, MONTHLY)}, l AS (UNPIVOT (SELECT district_id, month, rain_mm, tmax_c, tmin_c FROM monthly WHERE month <= DATE '2001-06-01') ON rain_mm, tmax_c, tmin_c INTO NAME layer VALUE v) SELECT district_id, layer, strftime(max(month), '%Y-%m-%d') AS as_of, round(arg_max(v, month), 4) AS v FROM l GROUP BY 1, 2")
+@query("q06_district_briefing", f"{with_(DAILY, MONTHLY)}, l AS (UNPIVOT (SELECT district_id, month, rain_mm, tmax_c, tmin_c FROM monthly) ON rain_mm, tmax_c, tmin_c INTO NAME layer VALUE v) SELECT district_id, layer, strftime(max(month), '%Y-%m-%d') AS as_of, round(arg_max(v, month), 4) AS v FROM l GROUP BY 1, 2")
 def q06(spark, d):
-    long = monthly(spark, d).where("month <= DATE'2001-06-01'").unpivot(["district_id", "month"], ["rain_mm", "tmax_c", "tmin_c"], "layer", "v").where("v is not null")
+    long = monthly(spark, d).unpivot(["district_id", "month"], ["rain_mm", "tmax_c", "tmin_c"], "layer", "v").where("v is not null")
     return long.groupBy("district_id", "layer").agg(F.max("month").cast("string").alias("as_of"), F.round(F.max_by("v", "month"), 4).alias("v"))
 
 
@@ -110,16 +110,16 @@ def q08(spark, d):
     return m.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rmse", "model"))).where("rank <= 3").select("model", "rank", "rmse")
 
 
-@query("k05_layer_payload", f"{with_(DAILY, MONTHLY)}, l AS (UNPIVOT (SELECT district_id, month, rain_mm, tmax_c, tmin_c FROM monthly WHERE month >= DATE '2000-01-01') ON rain_mm, tmax_c, tmin_c INTO NAME layer VALUE v), i AS (SELECT layer, month, string_agg('\"' || district_id || '\":' || CAST(round(v, 1) AS VARCHAR), ',' ORDER BY CAST(district_id AS VARCHAR)) AS m FROM l GROUP BY 1, 2) SELECT layer, '{{' || string_agg('\"' || {day('month')} || '\":{{' || m || '}}', ',' ORDER BY month) || '}}' AS json FROM i GROUP BY 1")
+@query("k05_layer_payload", f"{with_(DAILY, MONTHLY)}, l AS (UNPIVOT (SELECT district_id, month, rain_mm, tmax_c, tmin_c FROM monthly WHERE month > (SELECT max(month) FROM monthly) - INTERVAL 24 MONTH) ON rain_mm, tmax_c, tmin_c INTO NAME layer VALUE v), i AS (SELECT layer, month, string_agg('\"' || district_id || '\":' || CAST(round(v, 1) AS VARCHAR), ',' ORDER BY CAST(district_id AS VARCHAR)) AS m FROM l GROUP BY 1, 2) SELECT layer, '{{' || string_agg('\"' || {day('month')} || '\":{{' || m || '}}', ',' ORDER BY month) || '}}' AS json FROM i GROUP BY 1")
 def k05(spark, d):
     """One JSON object a layer, {month: {district: value}}; its form is tested with the sinks."""
-    last = monthly(spark, d).where("month >= DATE'2000-01-01'")
-    return sinks.layer_maps(last.unpivot(["district_id", "month"], ["rain_mm", "tmax_c", "tmin_c"], "layer", "v"), "layer", "month", "district_id", "v")
+    recent = A.with_last(monthly(spark, d), "month").where("month > add_months(last, -24)")
+    return sinks.layer_maps(recent.unpivot(["district_id", "month"], ["rain_mm", "tmax_c", "tmin_c"], "layer", "v"), "layer", "month", "district_id", "v")
 
 
-@query("k06_positional_payload", f"{with_(DAILY)} SELECT {day()} AS date, CAST(list(round(rain_mm, 4) ORDER BY district_id) AS VARCHAR) AS v FROM daily WHERE date >= DATE '2001-07-01' GROUP BY 1")
+@query("k06_positional_payload", f"{with_(DAILY)} SELECT {day()} AS date, CAST(list(round(rain_mm, 4) ORDER BY district_id) AS VARCHAR) AS v FROM daily WHERE date > (SELECT max(date) FROM daily) - INTERVAL 120 DAY GROUP BY 1")
 def k06(spark, d):
-    x = A.daily(spark, d).where("date >= DATE'2001-07-01'").select("date", "district_id", F.round("rain_mm", 4).alias("v"))
+    x = A.with_last(A.daily(spark, d), "date").where("date > last - 120").select("date", "district_id", F.round("rain_mm", 4).alias("v"))
     values = F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("NULL")))
     return sinks.positional(x, "date", "district_id", "v").select(txt(), F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]")).alias("v"))
 

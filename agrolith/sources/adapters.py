@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_DAY, LAST_DAY = "1995-01-01", "2001-08-01"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,8 +21,16 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(customers, "district_id", "left").select("district_id", "district", "state", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
-def calendar(spark: SparkSession, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
-    return spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS date")
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days from the first observation of any kind to the last; none without observations."""
+    dates = [table(spark, sf_dir, t).select(F.col(c).cast("date").alias("date")) for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
+    ends = dates[0].union(dates[1]).agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return ends.select(F.explode(F.sequence("first", "last")).alias("date"))
+
+
+def with_last(df: DataFrame, column: str, name: str = "last") -> DataFrame:
+    """``df`` with the greatest value of a column beside each row."""
+    return df.crossJoin(F.broadcast(df.agg(F.max(column).alias(name))))
 
 
 def observed_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def observed_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """district_id, date, rain_mm, tmax_c, tmin_c on a dense calendar: all windows by rows need it."""
     districts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("district_id"))
-    spine = districts.crossJoin(F.broadcast(calendar(spark)))
+    spine = districts.crossJoin(F.broadcast(calendar(spark, sf_dir)))
     return spine.join(observed_rain(spark, sf_dir), ["district_id", "date"], "left").join(observed_temperature(spark, sf_dir), ["district_id", "date"], "left")
 
 
