@@ -31,8 +31,6 @@ BUCKETS = 10_000
 PERCENT = 10
 MIN_WORDS = 20
 SEED = 2024
-#: Words before A-Z are put in lower case: ASCII letters and digits, and all that isn't ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Features that are broadcast: at most so many, of so many bytes at most.
 HEAD, HEAD_BYTES = 100_000, 64
 #: Words that a task takes at a time.
@@ -42,7 +40,11 @@ _IN_WORD[0x30:0x3A] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x80:] = True
 
 
 def features(column: pa.Array, low: int, high: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """Of all texts: (text number, feature, times), some words at a time; a pair may come more than once."""
+    """Of all texts: (text number, feature, times), some words at a time; a pair may come more than once.
+
+    A word is a run of ASCII letters and digits and of all that isn't ASCII, with A-Z in lower
+    case. The feature null stands for any word.
+    """
     raw, at = text_bytes(column)
     raw = LOWER[raw]
     word = _IN_WORD[raw]
@@ -55,6 +57,8 @@ def features(column: pa.Array, low: int, high: int) -> Iterator[tuple[np.ndarray
     text = np.searchsorted(at, i, "right") - 1
     for lo in range(0, len(i), AT_ONCE):
         hi = min(len(i), lo + AT_ONCE)
+        some, times = np.unique(text[lo:hi], return_counts=True)
+        yield some, pa.nulls(len(some), pa.large_string()), times
         e = min(len(i), hi + high - 1)
         size = j[lo:e] - i[lo:e] + 1
         spaced = np.concatenate([[0], np.cumsum(size)])  # where words begin if each is followed by a space
@@ -77,7 +81,7 @@ def features(column: pa.Array, low: int, high: int) -> Iterator[tuple[np.ndarray
 
 
 def counts(docs: DataFrame, low: int = LOW, high: int = HIGH, key: str = ROW) -> DataFrame:
-    """Rows (key, feature, times); a document may have several rows for one feature, whose times add up."""
+    """Rows (key, feature, times); a document may have several rows for one feature, whose times add up. Those of the feature null count its words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +98,7 @@ def dictionary(raw: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     both = raw.select("feature", F.lit(1).cast("long").alias("spread"), F.col("times").alias("raw"), zero.alias("target"))
     both = both.union(target.select("feature", zero, zero, F.col("times")))
-    return both.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("spread", "raw", "target")]).withColumn("bucket", F.crc32(F.col("feature").cast("binary")) % buckets)
+    return both.where("feature is not null").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("spread", "raw", "target")]).withColumn("bucket", F.crc32(F.col("feature").cast("binary")) % buckets)
 
 
 def gains(words: DataFrame, buckets: int) -> DataFrame:
@@ -118,17 +122,17 @@ def _head(words: DataFrame) -> DataFrame:
 
 
 def weighed(docs: DataFrame, targets: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS) -> DataFrame:
-    """A stored table (ROW, weight) of the documents that have a feature; docs: ROW and text, targets: text."""
+    """A stored table (ROW, words, weight) of the documents that have a word; docs: ROW and text, targets: text."""
     own = stored(counts(docs, low, high), "resampling-counts")
     goal = counts(targets.select(F.lit(0).cast("long").alias(ROW), "text"), low, high)
     words = stored(dictionary(own, goal, buckets), "resampling-dictionary")
     gained = stored(words.join(F.broadcast(gains(words, buckets)), "bucket").where("spread > 0").select("feature", "spread", "gain"), "resampling-gains")
     head = _head(gained).withColumnRenamed("feature", "common")
     met = own.join(F.broadcast(head), F.col("feature") == F.col("common"), "left")
-    value = F.sum(F.col("times") * F.col("gain")).alias("weight")
-    sure = met.where("common is not null").groupBy(ROW).agg(value)
-    rest = met.where("common is null").select(ROW, "feature", "times").join(gained.select("feature", "gain"), "feature").groupBy(ROW).agg(value)
-    out = stored(sure.union(rest).groupBy(ROW).agg(F.sum("weight").alias("weight")), "resampling-weights")
+    value, words_of = F.sum(F.col("times") * F.col("gain")).alias("weight"), F.sum(F.when(F.col("feature").isNull(), F.col("times"))).alias("words")
+    sure = met.where("common is not null or feature is null").groupBy(ROW).agg(value, words_of)
+    rest = met.where("common is null").select(ROW, "feature", "times").join(gained.select("feature", "gain"), "feature").groupBy(ROW).agg(value, F.lit(0).cast("long").alias("words"))
+    out = stored(sure.union(rest).groupBy(ROW).agg(F.sum("words").alias("words"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")), "resampling-weights")
     discard(own, words, gained)
     return out
 
@@ -150,12 +154,10 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
 
 def scored(keyed: DataFrame, targets: DataFrame, *, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, percent: int = PERCENT, min_words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
     """Rows (ROW, doc_id, n_features, weight, score, rank) of ``keyed``, made by ``with_rows``; see ``resample``."""
-    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     held = sum((F.greatest(F.lit(0).cast("long"), F.col("words") - (k - 1)) for k in range(low, high + 1)), F.lit(0).cast("long"))
     weights = weighed(keyed.select(ROW, "text"), targets, low, high, buckets)
-    base = keyed.select(ROW, "doc_id", n.alias("words")).select(ROW, "doc_id", "words", held.alias("n_features"))
-    base = base.join(weights, ROW, "left").withColumn("weight", F.coalesce("weight", F.lit(0).cast("long")))
-    base = stored(base.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "resampling-scores")
+    base = keyed.select(ROW, "doc_id").join(weights, ROW, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("words", "weight")})
+    base = stored(base.withColumn("n_features", held).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "resampling-scores")
     able = base.where(F.col("words") >= min_words)
     drawn = largest(able.select(ROW, "doc_id", "score"), able.count() * percent // 100, key="score")
     order = (F.desc("score"), F.col("doc_id").asc_nulls_first(), F.col(ROW).asc())
@@ -174,7 +176,7 @@ def resample(docs: DataFrame, targets: DataFrame, **settings) -> DataFrame:
     Without targets the target model is even; an empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
-    return scored(with_rows(docs.select("doc_id", "text")), targets, **settings).drop(ROW)
+    return scored(with_rows(docs).select(ROW, "doc_id", "text"), targets, **settings).drop(ROW)
 
 
 def sample(docs: DataFrame, targets: DataFrame, **settings) -> DataFrame:
