@@ -41,12 +41,12 @@ def to_train(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def scores(rows: DataFrame, by: str, predicted: Column, observed: Column, edges: list[float]) -> DataFrame:
     """Per model: rmse, skill against zero, correlation, mean absolute error, and how often both fall into the same category.
-    Predictions are bounded to [-100, 1000] percent first."""
+    Predictions are bounded to [-100, 1000] percent first; a constant has no correlation."""
     x = rows.select(by, clip(predicted, -100, 1000).alias("__f"), observed.alias("__y"))
     f, y = F.col("__f"), F.col("__y")
     mse = F.avg((f - y) * (f - y))
     same = (categories(f, edges) == categories(y, edges)).cast("int")
-    return x.groupBy(by).agg(F.sqrt(mse).alias("rmse"), (1 - F.try_divide(mse, F.avg(y * y))).alias("skill"), F.corr(f, y).alias("r"), F.avg(F.abs(f - y)).alias("mae"), F.avg(same).alias("accuracy"))
+    return x.groupBy(by).agg(F.sqrt(mse).alias("rmse"), (1 - F.try_divide(mse, F.avg(y * y))).alias("skill"), F.try_divide(F.covar_samp(f, y), F.stddev_samp(f) * F.stddev_samp(y)).alias("r"), F.avg(F.abs(f - y)).alias("mae"), F.avg(same).alias("accuracy"))
 
 
 def calibration_slope(observed: Column, predicted: Column, least: int = 20, spread: float = 0.0) -> Column:

@@ -14,6 +14,7 @@ from agrolith.plans.domain import COUNTERS, counters, r6
 from agrolith.plans.registry import query
 from agrolith.plans.sql import DAILY, MONTHLY, REGISTRY, day, with_
 from agrolith.sources import adapters as A
+from agrolith.streaming.runtime import shared_path
 
 CELLS = "cells AS (SELECT s_nationkey AS district_id, p_size AS cell, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), grid AS (SELECT p_size AS cell, CAST(year(l_shipdate) AS INT) AS year, CASE WHEN sum(l_quantity) > 300 THEN sum(l_quantity) END AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
@@ -182,8 +183,11 @@ def d17(spark, d):
         "month", F.col("rain_mm").alias("y"), *[F.lag(c).over(w).alias(n) for c, n in (("rain_mm", "rain_prev"), ("tmax_c", "tmax_prev"), ("tmin_c", "tmin_prev"))], F.sin(angle).alias("moy_sin"), F.cos(angle).alias("moy_cos")
     ).where("y > 0")
     s = s.select("month", "y", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in features], *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in features])
-    x = VectorAssembler(inputCols=[*features, *[f"{c}_missing" for c in features]], outputCol="x").transform(s).select("month", "y", "x").cache()
-    train, test = x.where("month < '2000-01-01'"), x.where("month >= '2000-01-01'")
+    x = VectorAssembler(inputCols=[*features, *[f"{c}_missing" for c in features]], outputCol="x").transform(s).select("month", "y", "x")
+    path = shared_path(spark, "learners")
+    A.with_last(x, "month").write.parquet(path)  # each learner reads it many times
+    x = spark.read.parquet(path)
+    train, test = x.where("month < add_months(last, -18)"), x.where("month >= add_months(last, -18)")
     learners = {
         "gbt": GBTRegressor(featuresCol="x", labelCol="y", maxIter=10, maxDepth=4, seed=0),
         "forest": RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=20, maxDepth=5, seed=0),

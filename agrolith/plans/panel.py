@@ -241,14 +241,16 @@ def x09(spark, d):
     return p.join(slopes, "district_id").select("district_id", txt("month"), F.round(models.served(c("rain_dep"), c("b"), c("days"), c("rain_normal")), 5).alias("shown"))
 
 
-@query("k13_models_to_train", "SELECT learner, target FROM (VALUES ('forest'), ('trees'), ('linear')) l(learner), (VALUES ('raw'), ('huber')) t(target) WHERE NOT (learner = 'forest') AND NOT (learner = 'trees' AND target = 'huber')")
+@query("k13_models_to_train", "SELECT DISTINCT p_brand AS learner, p_type AS target FROM part WHERE (p_brand, p_type) NOT IN (SELECT p_brand, p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_returnflag <> 'R')")
 def k13(spark, d):
+    """Learners and targets of the part table; the catalogue has those that sold much, and of returned ones a model of other features."""
     from agrolith.operators import models
 
     now, before = models.fingerprint(["rain_mm", "tmax_c"]), models.fingerprint(["tmax_c", "rain_mm"])
-    wanted = spark.createDataFrame([(a, b, now) for a in ("forest", "trees", "linear") for b in ("raw", "huber")], "learner string, target string, fingerprint string")
-    catalogue = spark.createDataFrame([("forest", "raw", now), ("forest", "huber", now), ("trees", "huber", now), ("linear", "raw", before)], "learner string, target string, fingerprint string")
-    return models.to_train(wanted, catalogue).select("learner", "target")
+    part = A.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("learner"), F.col("p_type").alias("target"))
+    sold = A.table(spark, d, "lineitem").where("l_quantity >= 50").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    catalogue = sold.select("learner", "target", F.when(F.col("l_returnflag") == "R", before).otherwise(now).alias("fingerprint"))
+    return models.to_train(part.select("learner", "target").distinct().withColumn("fingerprint", F.lit(now)), catalogue).select("learner", "target")
 
 
 SHAPES = "WITH sq AS (SELECT n_nationkey AS polygon, n_nationkey * 7 % 90 * 1.0e0 AS x, n_nationkey * 11 % 80 * 1.0e0 AS y FROM nation), pt AS (SELECT s_suppkey AS id, s_suppkey * 7 % 100 + 0.5e0 AS px, s_suppkey * 13 % 90 + 0.25e0 AS py FROM supplier)"
