@@ -57,6 +57,8 @@ def numbers(vectors: DataFrame, label: str = "label", scale: int = SCALE) -> Dat
 def _dealt(rows: DataFrame, name: str, each: int, *order) -> DataFrame:
     """A stored table of ``rows`` in ranges of about ``each``, with the number of the range as ``part``."""
     n = rows.count()
+    if n <= each:
+        return stored(rows.withColumn("part", F.lit(0)), name)
     return stored(rows.repartitionByRange(max(1, -(-n // each)), *order).withColumn("part", F.spark_partition_id()), name)
 
 
