@@ -1,13 +1,9 @@
-"""Streaming forms of the batch operators: late revisions, part days, sliding sums, silence, dry spells."""
+"""Streaming forms of the batch operators: late revisions, part days, sliding sums, silence."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def timed(stream: DataFrame, late: str = "10 days") -> DataFrame:
@@ -26,9 +22,9 @@ def sliding_sums(stream: DataFrame, length: str = "7 days", step: str = "1 day")
     return w.select(F.col("w.start").cast("date").alias("since"), F.col("w.end").cast("date").alias("until"), "event_type", "total")
 
 
-def sessions(stream: DataFrame, gap: str) -> DataFrame:
-    """Runs of a user's events without a silence of ``gap`` or more."""
-    s = timed(stream).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+def sessions(stream: DataFrame, gap: str, late: str = "10 days") -> DataFrame:
+    """Runs of a user's events without a silence of ``gap`` or more; in append mode each is told once, when no event can join it any more."""
+    s = timed(stream, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return s.select("user_id", F.col("w.start").alias("since"), "n", "total")
 
 
@@ -42,33 +38,3 @@ def persisted(index: DataFrame, keys: list[str], day: str, value: str, most: int
     ahead = index.select(*keys, day, value, F.explode(F.sequence(F.lit(1), F.lit(most))).alias("__age"))
     usable = ahead.groupBy(*keys, F.date_add(day, F.col("__age")).alias("day"))
     return usable.agg(F.max_by(value, day).alias(value))
-
-
-class DrySpell(StatefulProcessor):
-    """Counts a key's days in a row at or under a threshold; a day above it ends the run."""
-
-    def __init__(self, wet: float) -> None:
-        self.wet = wet
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "days long, last date")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        days, last = self.run.get() if self.run.exists() else (0, None)
-        frame = pd.concat(list(rows)).sort_values("day")
-        out = []
-        for day, value in zip(frame["day"], frame["value"], strict=True):
-            broken = last is not None and (day - last).days != 1
-            days = 0 if value > self.wet else (1 if broken else days + 1)
-            last = day
-            out.append((key[0], day, days))
-        self.run.update((days, last))
-        yield pd.DataFrame(out, columns=["event_type", "day", "dry_days"])
-
-    def close(self) -> None:
-        pass
-
-
-def dry_spells(stream: DataFrame, wet: float) -> DataFrame:
-    """Of rows (event_type, day, value), one a day in order: the running dry spell."""
-    return stream.groupBy("event_type").transformWithStateInPandas(DrySpell(wet), "event_type string, day date, dry_days long", "append", "none")
