@@ -33,7 +33,7 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from agrolith.plans import climate, domain, inventory, learning, more, panel, shapes, streams, surface, texts  # noqa: F401
+    from agrolith.plans import climate, domain, exports, inventory, learning, more, panel, shapes, streams, surface, texts  # noqa: F401
 
 
 load()

@@ -94,3 +94,21 @@ def edge(spark: SparkSession, pattern: str, schema: str, date: str = "date") ->
     path = newest(spark, pattern)
     rows = csv(spark, path, schema, [date]) if path else spark.createDataFrame([], schema).select(date)
     return rows.agg(F.max(date).alias("edge")).where("edge is not null")
+
+
+def tables_after_prose(spark: SparkSession, pattern: str, first_cell: str, schema: str, within: int = 15, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tables that follow some lines of prose: (rows, files without a header).
+
+    The header is the first of the ``within`` first lines whose first cell is ``first_cell`` in any case; releases differ
+    in how many lines come before it. Rows are the lines below it, read as CSV by position as ``schema``, with file (its name, or ``name``),
+    line (its number from 1) and as_of, the date in the file's name or null. A file is a report of some pages, read as a whole.
+    Cells that aren't of their type are null, lines without a first cell are left out, and carriage returns don't count.
+    """
+    file = name if name is not None else F.element_at(F.split("_metadata.file_path", "/"), -1)
+    whole = spark.read.text(pattern, wholetext=True).select(file.alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    cell = lambda line: F.lower(F.trim(F.regexp_replace(F.substring_index(line, ",", 1), '"', "")))
+    at = F.array_position(F.transform(F.slice("lines", 1, within), cell), first_cell.lower())
+    named = whole.select("file", F.to_date(F.regexp_extract("file", r"\d{4}-\d{2}-\d{2}", 0).try_cast("date")).alias("as_of"), "lines", at.alias("at"))
+    below = named.where("at > 0").select("file", "as_of", "at", F.posexplode("lines").alias("n", "text")).where("n >= at")
+    read = below.select("file", "as_of", (F.col("n") + 1).alias("line"), F.from_csv("text", schema, {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"), cell(F.col("text")).alias("__first"))
+    return read.where("__first <> ''").select("file", "line", "as_of", "r.*"), named.where("at = 0").select("file", "as_of")
