@@ -32,6 +32,12 @@ def reliability(weights: DataFrame, spread: DataFrame) -> DataFrame:
     return x.select("district_id", "effective_cells", "spread", score.alias("score"), grade.alias("grade"))
 
 
+def limited(weights: DataFrame, least: float = 1.5) -> DataFrame:
+    """district_id, effective_cells, resolution_limited: whether fewer than ``least`` cells of a coarse grid count, so that the district only repeats one cell."""
+    eff = weights.groupBy("district_id").agg((F.pow(F.sum("w"), 2.0) / F.sum(F.col("w") * F.col("w"))).alias("effective_cells"))
+    return eff.withColumn("resolution_limited", F.coalesce(F.col("effective_cells") < least, F.lit(True)))
+
+
 def irrigation(yearly: DataFrame, registry: DataFrame, maps: int = 5) -> DataFrame:
     """district_id, share, idx: mean irrigated hectares of the last ``maps`` years over the district's, or the state's median
     share, and its rank in percent. yearly: district_id, year, high (ha); registry: district_id, state, area (km2)."""

@@ -9,6 +9,7 @@ from agrolith.functions.nulls import clip, weighted_mean
 from agrolith.operators import checks, joins, models, reliability, sowing
 from agrolith.operators import windows as W
 from agrolith.operators.joins import nearest
+from agrolith.operators.verification import pace
 from agrolith.plans.climate import monthly, r4, txt
 from agrolith.plans.domain import COUNTERS, counters, r6
 from agrolith.plans.registry import query
@@ -83,12 +84,7 @@ def d26(spark, d):
 @query("d12_year_on_year_and_pace", f"WITH {COUNTERS}, k AS (SELECT brand, CAST(year(week) AS INT) AS sy, CAST(weekofyear(week) AS INT) AS wk, max(area) AS area FROM counter GROUP BY ALL), p AS (SELECT brand, sy + 1 AS sy, max(area) AS prev, count(*) AS weeks FROM k GROUP BY brand, sy), j AS (SELECT k.*, l.area AS ly, CASE WHEN p.weeks >= 4 THEN p.prev END AS prev FROM k LEFT JOIN k l ON l.brand = k.brand AND l.sy = k.sy - 1 AND l.wk = k.wk LEFT JOIN p ON p.brand = k.brand AND p.sy = k.sy), q AS (SELECT *, 100 * (area - ly) / nullif(prev, 0) AS pace FROM j) SELECT brand, sy, wk, round(100 * (area - ly) / nullif(ly, 0), 4) AS yoy_pct, round(100 * area / nullif(prev, 0), 4) AS coverage_pct, round(pace, 4) AS pace_pp, CASE WHEN pace >= 3 THEN 'Ahead' WHEN pace <= -3 THEN 'Behind' WHEN pace IS NULL THEN 'no prior season' ELSE 'On pace' END AS label FROM q")
 def d12b(spark, d):
     k = counters(spark, d).groupBy("brand", F.year("week").alias("sy"), F.weekofyear("week").alias("wk")).agg(F.max("area").alias("area"))
-    ly = k.select("brand", (F.col("sy") + 1).alias("sy"), "wk", F.col("area").alias("ly"))
-    prev = k.groupBy("brand", (F.col("sy") + 1).alias("sy")).agg(F.when(F.count(F.lit(1)) >= 4, F.max("area")).alias("prev"))
-    j = k.join(ly, ["brand", "sy", "wk"], "left").join(prev, ["brand", "sy"], "left")
-    pace = F.try_divide(100 * (F.col("area") - F.col("ly")), F.col("prev"))
-    label = F.when(pace >= 3, "Ahead").when(pace <= -3, "Behind").when(pace.isNull(), "no prior season").otherwise("On pace")
-    return j.select("brand", "sy", "wk", r4(F.try_divide(100 * (F.col("area") - F.col("ly")), F.col("ly")), "yoy_pct"), r4(F.try_divide(100 * F.col("area"), F.col("prev")), "coverage_pct"), r4(pace, "pace_pp"), label.alias("label"))
+    return pace(k, "brand", "sy", "wk", "area").select("brand", "sy", "wk", *[r4(F.col(c), c) for c in ("yoy_pct", "coverage_pct", "pace_pp")], "label")
 
 
 @query("w19_neighbour_mean", "WITH p AS (SELECT n_nationkey AS id, 8.0e0 + n_nationkey * 7 % 25 AS lat, 68.0e0 + n_nationkey * 11 % 29 AS lon FROM nation), k AS (SELECT a.id, b.id AS neighbour, 6371.0e0 * acos(least(greatest(sin(radians(a.lat)) * sin(radians(b.lat)) + cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(a.lon - b.lon)), -1), 1)) AS km FROM p a JOIN p b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, neighbour) AS rank FROM k), w AS (SELECT *, 1 / greatest(km, 25) / sum(1 / greatest(km, 25)) OVER (PARTITION BY id) AS weight FROM r WHERE rank <= 8), v AS (SELECT s_nationkey AS neighbour, avg(s_acctbal) AS v FROM supplier GROUP BY 1) SELECT id, CASE WHEN sum(CASE WHEN v IS NOT NULL THEN weight END) >= 0.2 THEN round(sum(weight * v) / sum(CASE WHEN v IS NOT NULL THEN weight END), 3) END AS mean FROM w LEFT JOIN v USING (neighbour) GROUP BY 1")

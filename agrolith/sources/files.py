@@ -75,3 +75,31 @@ def cached(spark: SparkSession, folder: str, inputs: list[str], build: Callable[
             if old.startswith("built-") and old != name:
                 remove(spark, f"{folder}/{old}")
     return spark.read.parquet(path)
+
+
+def file_stage(spark: SparkSession, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Of the tables that a display reads, name to (path, format): files, bytes, rows and a status: missing, unreadable, empty or ok.
+
+    A table is counted by Spark; the list is that of a display's files, some dozens.
+    """
+    rows = []
+    for name, (path, fmt) in wanted.items():
+        fs, where = store_of(spark, path)
+        found = fs.globStatus(where)
+        if not found:
+            rows.append((name, 0, 0, None, "missing"))
+            continue
+        size, n = 0, 0
+        for top in found:
+            each = fs.listFiles(top.getPath(), True)
+            while each.hasNext():
+                f = each.next()
+                if not f.getPath().getName().startswith(("_", ".")):
+                    size, n = size + f.getLen(), n + 1
+        try:
+            count = spark.read.format(fmt).load(path).count()
+        except Exception:  # whatever the format's reader says of what it can't read
+            rows.append((name, n, size, None, "unreadable"))
+            continue
+        rows.append((name, n, size, count, "ok" if count else "empty"))
+    return spark.createDataFrame(rows, "name string, files int, bytes long, rows long, status string")
