@@ -131,3 +131,66 @@ def incomplete_tail(panel: DataFrame, days: Column, month: str = "month") -> Dat
     seen = panel.groupBy(month).agg(F.max(days).alias("days"))
     whole = seen.where(F.col("days") >= F.dayofmonth(F.last_day(month))).agg(F.max(month).alias("__whole"))
     return seen.join(whole, F.col("__whole").isNull() | (F.col(month) > F.col("__whole"))).drop("__whole")
+
+
+#: Months of the two growing seasons, and the temperatures above which degree-days count in each; stress days count above the third.
+KHARIF, RABI = (6, 7, 8, 9, 10), (11, 12, 1, 2, 3)
+KHARIF_BASE, RABI_BASE, STRESS_BASE = 10.0, 5.0, 34.0
+
+
+def thermal(daily: DataFrame, years: tuple[int, int], complete: int = 15) -> DataFrame:
+    """district_id, month, temp_days, degree-days of the two seasons (missing outside their months), stress degree-days, and each one's normal and anomaly.
+
+    Sums need ``complete`` days of temperature. A normal is the mean of the calendar month over ``years``.
+    """
+    tx, tn = F.col("tmax_c"), F.col("tmin_c")
+    both = tx.isNotNull() & tn.isNotNull()
+    m = F.month("month")
+    sums = daily.groupBy("district_id", F.trunc("date", "MM").alias("month")).agg(
+        F.count_if(both).alias("temp_days"), F.sum(indices.degree_days(tx, tn, KHARIF_BASE)).alias("__k"), F.sum(indices.degree_days(tx, tn, RABI_BASE)).alias("__r"), F.sum(F.when(both, clip(tx - STRESS_BASE, 0))).alias("sdd")
+    )
+    whole = F.col("temp_days") >= complete
+    x = sums.select("district_id", "month", "temp_days", F.when(whole & m.isin(*KHARIF), F.col("__k")).alias("gdd_kharif"), F.when(whole & m.isin(*RABI), F.col("__r")).alias("gdd_rabi"), F.when(whole, F.col("sdd")).alias("sdd"))
+    columns = ["gdd_kharif", "gdd_rabi", "sdd"]
+    x = N.with_normal(x, columns, years)
+    return x.withColumns({f"{c}_anom": F.col(c) - F.col(f"{c}_normal") for c in columns})
+
+
+def masked(features: DataFrame, needs: dict[str, list[Column]]) -> DataFrame:
+    """``features`` with each column of ``needs`` missing where one of its conditions (say, enough days of an input) doesn't hold; a missing condition doesn't."""
+    ok = lambda cs: reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in cs], F.lit(True))
+    return features.withColumns({c: F.when(ok(cs), F.col(c)) for c, cs in needs.items()})
+
+
+def refilled(features: DataFrame, to_date: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """``features`` with the values of ``to_date`` in rows that it has: a running month's whole-month figures give way to those of its first days.
+
+    to_date: keys and any of the columns; a value that it lacks for a row that it has becomes missing, never the whole month's. is_month_to_date tells the rows.
+    """
+    new = [c for c in to_date.columns if c not in keys and c in features.columns]
+    beside = to_date.select(*keys, F.lit(1).alias("__to_date"), *[F.col(c).alias(f"__{c}") for c in new])
+    j = features.join(beside, keys, "left")
+    here = F.col("__to_date").isNotNull()
+    out = [F.when(here, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in features.columns]
+    return j.select(*out, here.cast("int").alias("is_month_to_date"))
+
+
+def running_month(daily: DataFrame, years: tuple[int, int], latitude: Column, scales: list[int], least: int = 20, complete: int = 15) -> DataFrame:
+    """Of the newest month with rain, if it isn't whole: district_id, month, days, rain and departure, maximum's anomaly, degree-days and their anomalies, and the drought index
+    of ``scales``, all over its first days against the same days of other years.
+
+    The month and its number of days are one row of the driver, as the windows are made for them.
+    """
+    last = daily.where("rain_mm is not null").agg(F.max("date").alias("d"), F.last_day(F.max("date")).alias("e")).first()
+    if last.d is None or last.d == last.e:
+        empty = daily.limit(0).select("district_id", F.trunc("date", "MM").alias("month"))
+        return empty.withColumns({c: F.lit(None).cast("double") for c in ("rain_mm", "rain_dep", "tmax_anom", "sdd", "sdd_anom", *[f"spei_{s}" for s in scales])})
+    month, days, year = last.d.month, last.d.day, last.d.year
+    now = month_to_date(daily, month, days, years).where(F.col("year") == year)
+    out = now.select("district_id", F.make_date(F.lit(year), F.lit(month), F.lit(1)).alias("month"), F.col("rain").alias("rain_mm"), F.col("departure").alias("rain_dep"), "tmax_anom", "sdd", (F.col("sdd") - F.col("sdd_normal")).alias("sdd_anom"))
+    radiation = indices.extraterrestrial_radiation(latitude, F.dayofyear("date"))
+    balance = daily.select("district_id", "date", (F.col("rain_mm") - indices.hargreaves(radiation, F.col("tmax_c"), F.col("tmin_c"))).alias("wb"))
+    for s in scales:
+        z = partial_spei(balance, month, days, s, least, complete).where(F.col("year") == year).select("district_id", F.col("spei").alias(f"spei_{s}"))
+        out = out.join(z, "district_id", "left")
+    return out

@@ -33,7 +33,7 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from agrolith.plans import audits, climate, domain, exports, inventory, learning, more, panel, shapes, streams, surface, texts, verification  # noqa: F401
+    from agrolith.plans import audits, climate, domain, exports, features, inventory, learning, more, panel, payload, shapes, streams, surface, texts, verification  # noqa: F401
 
 
 load()
