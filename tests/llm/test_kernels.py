@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,3 +32,25 @@ def test_grams_depend_on_order():
     h, _ = K.word_hashes(pa.array(["a b a b c a"]))
     g = K.grams(h, 2)
     assert g[0] == g[2] and g[0] != g[1] and len(g) == 5
+
+
+def test_structured_words_do_not_collide():
+    """Words of a and b after the Thue-Morse sequence, which any polynomial modulo 2^64 confuses with their complements."""
+    t = [bin(i).count("1") % 2 for i in range(4096)]
+    values = []
+    for n in (64, 1024, 2048, 4096):
+        values += ["".join("ab"[v] for v in t[:n]), "".join("ba"[v] for v in t[:n])]
+    blocks = ["12345678", "abcdefgh", "zyxwvuts"]
+    values += ["".join(p) for p in itertools.permutations(blocks)] + [w * n for w in ("a", "ab", "12345678") for n in range(1, 40)]
+    h, _ = K.word_hashes(pa.array(values))
+    assert len(set(h.tolist())) == len(set(values))
+
+
+def test_hashes_do_not_depend_on_where_a_word_stands():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abc\0é") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    alone = K.word_hashes(pa.array(words))[0].tolist()
+    text = " ".join(f"{w}\t\n" for w in words)
+    assert K.word_hashes(pa.array([text]))[0].tolist() == alone
+    big = " ".join(words * 60)
+    assert K.word_hashes(pa.array(["x", big]))[0].tolist()[1:] == alone * 60
