@@ -167,10 +167,11 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """kept is true for just one row of each class, of rows with the keeper's id the one whose content the state points to."""
     rows = classes(documents(spark, sf_dir))
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("locator")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 ORACLE = """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""

@@ -504,3 +504,12 @@ def test_language_of_texts_in_scripts_of_many_letters(monkeypatch):
         assert names == ["ko"] * 5 + ["zh"] * 5 + ["en", "de"]
         found.append(score.tolist())
     assert found[0] == found[1] == found[2]
+
+
+def test_exact_dedup_keeps_one_row_of_each_class_though_ids_repeat_or_are_null(spark, tmp_path):
+    table = [(3, "b"), (3, "b"), (2, "b"), (None, "a"), (None, "a"), (None, "c"), (1, "c"), (7, None), (7, "")]
+    spark.createDataFrame(table, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(exact_dedup.op2(spark, str(tmp_path)))
+    assert all(r["kept"] is not None for r in got)
+    assert sorted((str(r["keep_id"]), r["group_size"]) for r in got if r["kept"]) == [("1", 2), ("3", 3), ("7", 2), ("None", 2)]
+    assert sum(r["kept"] for r in got) == 4 and all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
