@@ -2,7 +2,7 @@
 
 Unit vectors are rotated to the axes of their covariance, largest variance first. Distinct
 vectors are cut into slabs along the first axis and the slabs into blocks along the second,
-all of about BLOCK_ROWS vectors. Pairs of blocks are compared, one task a pair, tile by tile: the products
+all of about BLOCK_ROWS vectors; what is twice as large, as many vectors tie, is dealt by hash. Pairs of blocks are compared, one task a pair, tile by tile: the products
 of the leading STEP axes are added up first, and a pair goes on to the next axes only while
 its sum, plus the product of the two rests' norms, can reach the threshold. What is left
 after the last axis is decided by the cosine of the given vectors in double precision. Two
@@ -32,6 +32,8 @@ from agrolith.llm.shared import components, discard, sized, stored
 THRESHOLD = 0.95
 BLOCK_ROWS = 4096
 TILE = 1024
+#: Pairs whose given vectors are multiplied at a time.
+STRIP = 1 << 14
 STEP = 8
 #: Leading axes over which blocks have boxes.
 BOX = 8
@@ -81,9 +83,8 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def candidates(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the rotated unit vectors ``x``, ``y`` that may reach the threshold, tile by tile."""
-    left, right = [], []
+def candidates(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each pair of tiles: pairs of rows of the rotated unit vectors ``x``, ``y`` that may reach the threshold, TILE squared at most."""
     width = x.shape[1]
     rest_x, rest_y = (np.sqrt(np.maximum(0, np.cumsum((z**2)[:, ::-1], axis=1)[:, ::-1])) for z in (x, y))
     rest_x, rest_y = (np.concatenate([z, np.zeros((len(z), 1))], axis=1) for z in (rest_x, rest_y))
@@ -105,9 +106,8 @@ def candidates(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tu
                 p = p + np.einsum("ij,ij->i", u[i, k:e], v[j, k:e])
                 keep = p + rest_x[a + i, e] * rest_y[b + j, e] >= threshold - SLACK
                 i, j, p = i[keep], j[keep], p[keep]
-            left.append(i + a)
-            right.append(j + b)
-    return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
+            if len(i):
+                yield i + a, j + b
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -150,7 +150,11 @@ def _blocks(turned: DataFrame, n: int) -> DataFrame:
     slabbed = turned.withColumn("slab", where(first, F.array(*[F.lit(c) for c in cuts])) if slabs > 1 else F.lit(0))
     inner = slabbed.groupBy("slab").agg(F.percentile_approx(second, [i / each for i in range(1, each)] or [0.5], 20 * each).alias("cuts"))
     inner = stored(inner, "vectors-cuts")  # a row a slab
-    return slabbed.join(sized(inner, 1000), "slab").withColumn("block", F.col("slab") * F.lit(each).cast("long") + (where(second, F.col("cuts")) if each > 1 else F.lit(0))).drop("cuts", "slab")
+    cut = slabbed.join(sized(inner, 1000), "slab").withColumn("block", F.col("slab") * F.lit(each).cast("long") + (where(second, F.col("cuts")) if each > 1 else F.lit(0))).drop("cuts", "slab")
+    # vectors that both axes tie stay in one block, however many: such blocks are dealt by hash
+    large = stored(cut.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK_ROWS).select(F.col("block").alias("of"), F.ceil(F.col("n") / BLOCK_ROWS).alias("pieces")), "vectors-large")
+    piece = F.coalesce(F.pmod(F.xxhash64("kind"), F.col("pieces")), F.lit(0))
+    return cut.join(sized(large, 100_000), F.col("block") == F.col("of"), "left").withColumn("block", F.col("block") * F.lit(1 << 24) + piece).drop("of", "pieces")
 
 
 def _near(blocked: DataFrame, box: int, reach: float) -> DataFrame:
@@ -192,16 +196,16 @@ def _links(kinds: DataFrame, width: int, threshold: float) -> DataFrame:
         side = group["side"].to_numpy()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(b)
-        p, q = candidates(y[a], y[a] if same else y[b], threshold, same)
-        p, q = a[p], a[q] if same else b[q]
-        hit = np.zeros(len(p), bool)
-        for lo in range(0, len(p), 1 << 16):
-            s, t = p[lo : lo + (1 << 16)], q[lo : lo + (1 << 16)]
-            hit[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", raw[s], raw[t]) / (norm[s] * norm[t]) >= threshold
-        p, q = p[hit], q[hit]
         copies = group["copies"].to_numpy()
-        links = np.bincount(p, copies[q], len(raw)) + np.bincount(q, copies[p], len(raw))
-        root = roots(len(raw), p, q)
+        links, root, every = np.zeros(len(raw)), np.arange(len(raw)), np.arange(len(raw))
+        for p, q in candidates(y[a], y[a] if same else y[b], threshold, same):  # a tile's pairs are counted and joined, then forgotten
+            p, q = a[p], a[q] if same else b[q]
+            hit = np.concatenate([np.einsum("ij,ij->i", raw[p[lo : lo + STRIP]], raw[q[lo : lo + STRIP]]) / (norm[p[lo : lo + STRIP]] * norm[q[lo : lo + STRIP]]) >= threshold for lo in range(0, len(p), STRIP)])
+            p, q = p[hit], q[hit]
+            links += np.bincount(p, copies[q], len(raw)) + np.bincount(q, copies[p], len(raw))
+            new = root[p] != root[q]
+            if new.any():
+                root = roots(len(raw), np.concatenate([every, p[new]]), np.concatenate([root, q[new]]))
         has = np.flatnonzero(links > 0)
         kind = group["kind"].to_numpy()
         return pa.table({"kind": pa.array(kind[has]), "links": pa.array(links[has].astype(np.int64)), "root": pa.array(kind[root[has]])})

@@ -513,3 +513,23 @@ def test_exact_dedup_keeps_one_row_of_each_class_though_ids_repeat_or_are_null(s
     assert all(r["kept"] is not None for r in got)
     assert sorted((str(r["keep_id"]), r["group_size"]) for r in got if r["kept"]) == [("1", 2), ("3", 3), ("7", 2), ("None", 2)]
     assert sum(r["kept"] for r in got) == 4 and all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
+def test_dense_and_parallel_vectors_are_linked_tile_by_tile(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=16)
+    dense = v + rng.normal(size=(1500, 16)) * 0.01
+    parallel = -np.outer(np.arange(1, 1201), np.ones(16))
+    apart = np.eye(16)[:3] * 5
+    x = np.concatenate([dense, parallel, apart])
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(embedding_dedup, "TILE", 128)
+    sizes = []
+    whole = embedding_dedup._near
+    monkeypatch.setattr(embedding_dedup, "_near", lambda blocked, *a: (sizes.append(max(r["count"] for r in blocked.groupBy("block").count().collect())), whole(blocked, *a))[1])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(embedding_dedup.near_duplicates(spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(x)], "vec_id long, embedding array<double>")))}
+    assert got == {i: (1499, 0) for i in range(1500)} | {i: (1199, 1500) for i in range(1500, 2700)} | {i: (0, i) for i in range(2700, 2703)}
+    assert max(sizes) <= 2 * 200
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [len(p) for p, _ in embedding_dedup.candidates(unit, unit, 0.95, True)]
+    assert max(pairs) <= 128 * 128 and sum(pairs) == 1500 * 1499 // 2 + 1200 * 1199 // 2
