@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 
 from agrolith.llm.shared import BROADCAST_ROWS, discard, documents, free_name, keep_ids, scratch, sized, stored
 
-#: Disk-backed state; change logs instead of whole snapshots, and no disk set aside for small stores.
+#: Disk-backed state; change logs instead of whole snapshots, and no disk set aside for small stores. All stores of an executor share one
+#: bounded memory, however many partitions it holds.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 #: Staged rows are small; a micro-batch takes up to this many bytes of them.
 BATCH_BYTES = 256 << 20
