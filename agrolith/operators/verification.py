@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrolith.functions.nulls import categories, clip
-from agrolith.operators.models import amount_of_log_ratio, departure_of_amount
+from agrolith.operators.models import amount_of_log_ratio
 from agrolith.operators.quantiles import exact_quantiles
 
 BOUNDS = (-100.0, 1000.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from agrolith.functions.nulls import clip, percent_departure
-from agrolith.operators import indices, joins
+from agrolith.operators import grids, indices, joins
 from agrolith.operators import panel as P
 from agrolith.operators import windows as W
 from agrolith.plans.climate import monthly, r4, txt
@@ -256,7 +256,7 @@ def f11(spark, d):
 
 @query("f17_scaled_units", "SELECT s_suppkey, round(greatest(s_acctbal * -1000, 0), 4) AS evaporation_mm, round(s_acctbal * 0.01e0, 6) AS sst FROM supplier")
 def f17(spark, d):
-    return A.table(spark, d, "supplier").select("s_suppkey", r4(clip(F.col("s_acctbal") * -1000, 0), "evaporation_mm"), r6(F.col("s_acctbal") * 0.01, "sst"))
+    return A.table(spark, d, "supplier").select("s_suppkey", r4(grids.evaporation_mm(F.col("s_acctbal")), "evaporation_mm"), r6(F.col("s_acctbal") * 0.01, "sst"))
 
 
 @query("f19_finite_values", "SELECT s_suppkey, round(CASE WHEN s_nationkey > 0 THEN s_acctbal / s_nationkey END, 6) AS v FROM supplier")

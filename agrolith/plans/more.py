@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrolith.functions.nulls import clip, weighted_mean
-from agrolith.operators import checks, joins, models, reliability, sowing
+from agrolith.operators import checks, grids, joins, models, reliability, sowing
 from agrolith.operators import windows as W
 from agrolith.operators.joins import nearest
 from agrolith.operators.verification import pace
@@ -37,20 +37,21 @@ def a06(spark, d):
 
 @query("a31_subdaily_to_daily", "SELECT event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, round(avg(value) * 86400, 2) AS rate, max(value) AS hi, min(value) AS lo, round(sqrt(power(avg(value), 2) + power(avg(user_id), 2)), 4) AS speed, CAST(count(*) AS BIGINT) AS n_records FROM events GROUP BY 1, 2")
 def a31(spark, d):
-    e = A.table(spark, d, "events").groupBy("event_type", F.to_date("ts").cast("string").alias("day"))
-    return e.agg(F.round(F.avg("value") * 86400, 2).alias("rate"), F.max("value").alias("hi"), F.min("value").alias("lo"), r4(F.sqrt(F.pow(F.avg("value"), 2.0) + F.pow(F.avg("user_id"), 2.0)), "speed"), F.count(F.lit(1)).alias("n_records"))
+    x = grids.subdaily_to_daily(A.table(spark, d, "events"), ["event_type"], "ts", "value", "value", "user_id")
+    return x.select("event_type", F.col("day").cast("string").alias("day"), F.round("total", 2).alias("rate"), "hi", "lo", r4(F.col("speed"), "speed"), "n_records")
 
 
 @query("a32_class_area_shares", "SELECT p_brand, CAST(sum(CASE WHEN p_size <= 10 THEN p_size END) AS BIGINT) AS irrigated, CAST(sum(CASE WHEN p_size <= 25 THEN p_size END) AS BIGINT) AS cropped, round(100.0e0 * sum(CASE WHEN p_size <= 10 THEN p_size END) / nullif(sum(CASE WHEN p_size <= 25 THEN p_size END), 0), 4) AS pct FROM part GROUP BY 1")
 def a32(spark, d):
-    area = lambda k: F.sum(F.when(F.col("p_size") <= k, F.col("p_size")))
-    return A.table(spark, d, "part").groupBy("p_brand").agg(area(10).alias("irrigated"), area(25).alias("cropped"), r4(F.try_divide(F.lit(100.0) * area(10), area(25)), "pct"))
+    size = F.col("p_size")
+    x = grids.class_areas(A.table(spark, d, "part"), "p_brand", "p_size", {"irrigated": size <= 10, "cropped": size <= 25}, {"pct": ("irrigated", "cropped")})
+    return x.select("p_brand", "irrigated", "cropped", r4(F.col("pct"), "pct"))
 
 
 @query("a33_quality_masked_mean", "SELECT l_suppkey, round(avg(CASE WHEN l_linenumber <= 2 THEN l_quantity / 10000.0e0 END), 8) AS mean, round(avg(CAST(l_linenumber <= 2 AS INT)), 6) AS clear FROM lineitem GROUP BY 1")
 def a33(spark, d):
-    ok = F.col("l_linenumber") <= 2
-    return A.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(F.when(ok, F.col("l_quantity") / 10000)), 8).alias("mean"), r6(F.avg(ok.cast("int")), "clear"))
+    x = grids.quality_masked_mean(A.table(spark, d, "lineitem"), "l_suppkey", "l_quantity", F.col("l_linenumber") <= 2, 10_000)
+    return x.select("l_suppkey", F.round("mean", 8).alias("mean"), r6(F.col("clear"), "clear"))
 
 
 RELIABILITY = f"""e AS (SELECT district_id, power(sum(w), 2) / sum(w * w) AS eff FROM cells GROUP BY 1),
@@ -113,15 +114,13 @@ def f13(spark, d):
 @query("f16_kelvin_before_mean", "SELECT l_suppkey, round(avg(CASE WHEN v > 100 THEN v - 273.15e0 ELSE v END), 4) AS c FROM (SELECT l_suppkey, l_quantity + CASE WHEN l_linenumber % 2 = 0 THEN 273.15e0 ELSE 0 END AS v FROM lineitem) GROUP BY 1")
 def f16(spark, d):
     x = A.table(spark, d, "lineitem").withColumn("v", F.col("l_quantity") + F.when(F.col("l_linenumber") % 2 == 0, 273.15).otherwise(0.0))
-    return x.groupBy("l_suppkey").agg(r4(F.avg(F.when(F.col("v") > 100, F.col("v") - 273.15).otherwise(F.col("v"))), "c"))
+    return x.groupBy("l_suppkey").agg(r4(F.avg(grids.celsius(F.col("v"))), "c"))
 
 
 @query("f18_adaptive_domain", f"{with_(DAILY, MONTHLY)}, a AS (SELECT month, list_sort(list(abs(rain_mm - 100))) AS v FROM monthly WHERE rain_mm IS NOT NULL GROUP BY 1) SELECT {day('month')} AS month, CAST(CASE WHEN len(v) < 8 THEN 100 ELSE coalesce(list_min([n for n in [5, 10, 20, 25, 50, 100, 200, 250, 500, 1000] if n >= v[CAST(floor(0.95 * (len(v) - 1)) AS INT) + 1]]), 1000) END AS INT) AS top FROM a")
 def f18(spark, d):
-    nice = F.array(*[F.lit(n) for n in (5, 10, 20, 25, 50, 100, 200, 250, 500, 1000)])
-    a = monthly(spark, d).where("rain_mm is not null").groupBy("month").agg(F.array_sort(F.collect_list(F.abs(F.col("rain_mm") - 100))).alias("v"))
-    p95 = F.element_at("v", F.floor(0.95 * (F.size("v") - 1)).cast("int") + 1)
-    return a.select(txt("month"), F.when(F.size("v") < 8, 100).otherwise(F.coalesce(F.array_min(F.filter(nice, lambda n: n >= p95)), F.lit(1000))).alias("top"))
+    x = grids.adaptive_domain(monthly(spark, d).where("rain_mm is not null"), ["month"], F.abs(F.col("rain_mm") - 100))
+    return x.select(txt("month"), "top")
 
 
 @query("w26_trailing_incomplete_months", f"{with_(DAILY, MONTHLY)}, m AS (SELECT month, CAST(min(days) >= 1 AS INT) AS complete FROM monthly GROUP BY 1) SELECT {day('month')} AS month FROM m WHERE month > coalesce((SELECT max(month) FROM m WHERE complete = 1), DATE '1900-01-01')")
@@ -146,17 +145,15 @@ def d19(spark, d):
 
 @query("d07_model_layers", f"{with_(DAILY)}, g AS (SELECT district_id, date, rain_mm, 1 + (district_id + day(date)) % 4 AS n_records FROM daily), k AS (SELECT *, CASE WHEN n_records >= 4 THEN rain_mm END AS v FROM g) SELECT district_id, {day()} AS date, CASE WHEN count(v) OVER w >= 2 THEN round(sum(v) OVER w, 4) END AS rain_14 FROM k WINDOW w AS (PARTITION BY district_id ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)")
 def d07(spark, d):
-    n = 1 + (F.col("district_id") + F.dayofmonth("date")) % 4
-    x = A.daily(spark, d).withColumn("v", F.when(n >= 4, F.col("rain_mm")))
-    return x.select("district_id", txt(), r4(W.rolling_sum(F.col("v"), W.series(), 14, 2), "rain_14"))
+    x = grids.forecast_layer(A.daily(spark, d), ["district_id"], "date", "rain_mm", 1 + (F.col("district_id") + F.dayofmonth("date")) % 4, 4, 14, 2)
+    return x.select("district_id", txt(), r4(F.col("total"), "rain_14"))
 
 
 @query("d08_ensemble_lead_layers", "WITH m AS (SELECT o_orderpriority AS run, l_linenumber AS lead, l_suppkey, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3), n AS (SELECT * FROM m WHERE run = (SELECT max(run) FROM m)) SELECT lead, round(avg(v), 4) AS mean, round(quantile_cont(CAST(v AS DOUBLE), 0.1), 4) AS p10, round(quantile_cont(CAST(v AS DOUBLE), 0.9), 4) AS p90 FROM n WHERE lead IN (1, 3, 5, 7) GROUP BY 1")
 def d08(spark, d):
     m = A.table(spark, d, "lineitem").join(A.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("run"), F.col("l_linenumber").alias("lead"), "l_suppkey").agg(F.sum("l_quantity").alias("v"))
-    newest = A.table(spark, d, "orders").agg(F.max("o_orderpriority").alias("run"))
-    n = m.join(newest, "run", "left_semi").where(F.col("lead").isin(1, 3, 5, 7))
-    return n.groupBy("lead").agg(r4(F.avg("v"), "mean"), r4(F.percentile("v", 0.1), "p10"), r4(F.percentile("v", 0.9), "p90"))
+    x = grids.ensemble_leads(m, "run", "lead", "v", [1, 3, 5, 7])
+    return x.select("lead", r4(F.col("mean"), "mean"), r4(F.col("q")[0], "p10"), r4(F.col("q")[1], "p90"))
 
 
 @query("d16_target_transforms", "SELECT p_partkey, round(ln((p_retailprice + 1.0e0) / (p_size + 1.0e0)), 8) AS logratio, round((exp(ln((p_retailprice + 1.0e0) / (p_size + 1.0e0))) * (p_size + 1.0e0) - 1.0e0), 4) AS amount, round(100.0e0 * (p_retailprice - p_size) / p_size, 4) AS departure FROM part WHERE p_size >= 5")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agrolith.sources import files
+
 
 def by_year(df: DataFrame, path: str, order: list[str], date: str = "date", fmt: str = "parquet") -> None:
-    """One folder a year, sorted within; a rerun replaces only the years that it holds."""
+    """One folder a year, files sorted within and dealt by ranges of the order, so that a large year is many tasks; a rerun replaces only the years that it holds."""
     years = df.withColumn("year", F.year(date))
-    years.repartition("year").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").format(fmt).save(path)
+    years.repartitionByRange("year", *order).sortWithinPartitions("year", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").format(fmt).save(path)
 
 
 def _by_key(a: Column, b: Column) -> Column:
@@ -33,7 +35,11 @@ def sentinel(x: Column, value: float = -9999.0) -> Column:
     return F.coalesce(x, F.lit(value))
 
 
-def text_series(df: DataFrame, path: str, date: str, value: str) -> None:
+def text_series(df: DataFrame, path: str, date: str, value: str, backup: bool = False) -> None:
+    """Lines of date and value with the sentinel for missing ones. backup: a series that is there already is kept as ``path``.bak, in place of an older one."""
+    if backup and files.exists(df.sparkSession, path):
+        files.remove(df.sparkSession, f"{path}.bak")
+        files.publish(df.sparkSession, path, f"{path}.bak")
     df.select(F.concat_ws(",", F.col(date).cast("string"), F.format_string("%.3f", sentinel(F.col(value)))).alias("value")).write.mode("overwrite").text(path)
 
 

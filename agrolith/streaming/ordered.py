@@ -1,6 +1,6 @@
 """Folds over a key's rows in time order, on streams whose rows come late or out of order.
 
-Rows wait in list state until the watermark has passed them; a timer then takes them in order, folds them into a
+Rows wait in list state until the watermark has passed them; a timer then takes all such rows in order, folds them into a
 value state and emits what the fold says of each. What arrives behind the watermark is dropped by Spark, as
 its time has been told already. State is that of a key's pending rows and one small value.
 """
@@ -41,7 +41,8 @@ class Ordered(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ripe_at = expiredTimerInfo.getExpiryTimeInMs()
+        # all that the watermark has passed at once, so that the timers after the first find nothing left to do
+        ripe_at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         rows = [(ms, pd.Timestamp(t), v) for ms, t, v in self.waiting.get()]
         ripe = sorted((r for r in rows if r[0] <= ripe_at), key=lambda r: (r[1], r[2] is None, r[2] or 0.0))
         rest = [r for r in rows if r[0] > ripe_at]

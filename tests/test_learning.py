@@ -21,6 +21,18 @@ def test_boosted_trees_beat_climatology_on_held_out_months(spark):
     assert all(v > 0 for v in got.values())
 
 
+def test_plain_learners_are_about_as_good_as_the_mean_or_better(spark):
+    rows = registry.QUERIES["d17_learners"](spark, SF).collect()
+    m = learning.monthly(spark, SF).where("rain_mm > 0")
+    last = m.agg(F.max("month")).first()[0]
+    train, test = (m.where(F.col("month") < F.add_months(F.lit(last), -18)), m.where(F.col("month") >= F.add_months(F.lit(last), -18)))
+    mean = train.agg(F.avg("rain_mm")).first()[0]
+    base = test.agg(F.sqrt(F.avg(F.pow(F.col("rain_mm") - mean, 2.0)))).first()[0]
+    assert {r.model for r in rows} == {"gbt", "forest", "huber", "tweedie"} and {r.n for r in rows} == {test.count()}
+    assert all(r.rmse < 1.1 * base for r in rows)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_stack_beats_climatology_and_learns_from_other_folds_alone(spark):
     rows = registry.QUERIES["d17_stack"](spark, SF).collect()
     assert all(r.weight >= 0 for r in rows) and rows[0].blend_rmse < rows[0].climatology_rmse

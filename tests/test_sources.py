@@ -50,3 +50,10 @@ def test_sinks(spark, tmp_path):
     assert sorted((str(r.date), r["values"]) for r in sinks.positional(df, "date", "id", "v").collect()) == [("2000-01-01", [1.26, None]), ("2001-01-01", [3.0])]
     sinks.text_series(df.where("id = 2"), str(tmp_path / "s"), "date", "v")
     assert [r.value for r in spark.read.text(str(tmp_path / "s")).collect()] == ["2000-01-01,-9999.000"]
+
+
+def test_a_series_that_is_written_again_is_kept_beside(spark, tmp_path):
+    path = str(tmp_path / "series")
+    for v in (1.0, 2.0, 3.0):
+        sinks.text_series(spark.createDataFrame([(dt.date(2000, 1, 1), v)], "date date, v double"), path, "date", "v", backup=True)
+    assert [[r.value for r in spark.read.text(p).collect()] for p in (path, path + ".bak")] == [["2000-01-01,3.000"], ["2000-01-01,2.000"]]
