@@ -133,11 +133,11 @@ def d24(spark, d):
     return checks.against_official(ours, official, ["brand", "year"], "v").withColumn("percent", F.round("percent", 6))
 
 
-@query("d25_district_against_bulletin", f"{with_(DAILY, MONTHLY, REGISTRY)}, a AS (SELECT state, month, sum(rain_mm * area) / nullif(sum(area), 0) AS v FROM monthly JOIN registry USING (district_id) WHERE rain_mm IS NOT NULL AND area > 0 GROUP BY 1, 2), b AS (SELECT state, month, avg(rain_mm) AS v FROM monthly JOIN registry USING (district_id) WHERE rain_mm IS NOT NULL GROUP BY 1, 2), c AS (SELECT coalesce(a.state, b.state) AS state, coalesce(a.month, b.month) AS month, round(a.v, 6) AS ours, round(b.v, 6) AS official FROM a FULL JOIN b ON a.state = b.state AND a.month = b.month) SELECT state, {day('month')} AS month, ours, official, round(100 * (ours - official) / nullif(official, 0), 5) AS percent, {VERDICT} AS verdict FROM c")
+@query("d25_district_against_bulletin", f"{with_(DAILY, MONTHLY, REGISTRY)}, a AS (SELECT state, month, sum(rain_mm * area) / nullif(sum(area), 0) AS v FROM monthly JOIN registry USING (district_id) WHERE rain_mm IS NOT NULL AND area > 0 GROUP BY 1, 2), b AS (SELECT state, month, avg(rain_mm) AS v FROM monthly JOIN registry USING (district_id) WHERE rain_mm IS NOT NULL GROUP BY 1, 2), c AS (SELECT coalesce(a.state, b.state) AS state, coalesce(a.month, b.month) AS month, round(a.v, 8) AS ours, round(b.v, 8) AS official FROM a FULL JOIN b ON a.state = b.state AND a.month = b.month) SELECT state, {day('month')} AS month, ours, official, round(100 * (ours - official) / nullif(official, 0), 5) AS percent, {VERDICT} AS verdict FROM c")
 def d25(spark, d):
     keyed = monthly(spark, d).join(A.registry(spark, d), "district_id").where("rain_mm is not null")
-    ours = keyed.where("area > 0").groupBy("state", "month").agg(F.round(F.try_divide(F.sum(F.col("rain_mm") * F.col("area")), F.sum("area")), 6).alias("v"))
-    official = keyed.groupBy("state", "month").agg(F.round(F.avg("rain_mm"), 6).alias("v"))
+    ours = keyed.where("area > 0").groupBy("state", "month").agg(F.round(F.try_divide(F.sum(F.col("rain_mm") * F.col("area")), F.sum("area")), 8).alias("v"))
+    official = keyed.groupBy("state", "month").agg(F.round(F.avg("rain_mm"), 8).alias("v"))
     return checks.against_official(ours, official, ["state", "month"], "v").select("state", txt("month"), "ours", "official", F.round("percent", 5).alias("percent"), "verdict")
 
 
