@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolith.functions.nulls import categories, clip, percent_departure, ratio_of_sums, sum_at_least, weighted_mean
+from agrolith.functions.nulls import categories, clip, correlation, percent_departure, ratio_of_sums, sum_at_least, weighted_mean
 from agrolith.operators import normals as N
 from agrolith.operators import windows as W
 from agrolith.operators.quantiles import exact_quantiles
@@ -158,7 +158,7 @@ def a21(spark, d):
 def a22(spark, d):
     a, b = F.col("tmax_c"), F.col("tmin_c")
     ok = (a + b) != 0
-    return monthly(spark, d).groupBy("district_id").agg(F.when(F.count_if(ok) >= 5, F.round(F.avg(F.when(ok, F.abs(a - b) / ((a + b) / 2))) * 100, 4)).alias("spread_pct"), F.when(F.count_if(a.isNotNull() & b.isNotNull()) > 2, F.round(F.corr(a, b), 4)).alias("r"))
+    return monthly(spark, d).groupBy("district_id").agg(F.when(F.count_if(ok) >= 5, F.round(F.avg(F.when(ok, F.abs(a - b) / ((a + b) / 2))) * 100, 4)).alias("spread_pct"), F.when(F.count_if(a.isNotNull() & b.isNotNull()) > 2, F.round(correlation(a, b), 4)).alias("r"))
 
 
 @query("a23_quantiles", f"SELECT l_shipdate_year, {', '.join(f'round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {q}), 4) AS p{int(q * 100)}' for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))} FROM (SELECT *, CAST(year(l_shipdate) AS INT) AS l_shipdate_year FROM lineitem) GROUP BY 1")
