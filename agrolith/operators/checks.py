@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrolith.functions.nulls import correlation
+
 
 def edges_and_holes(days: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: first and last day with a value, days missing in between (holes), and days of the calendar, which is dense, after
@@ -90,10 +92,10 @@ def compare_feeds(old: DataFrame, new: DataFrame, keys: list[str], value: str, t
 
 def leakage(rows: DataFrame, keys: list[str], time: str, target: str, x: str, strong: float = 0.30, times: float = 1.5) -> DataFrame:
     """Per key: correlation of the target with the feature's row before and after. A feature that tells the past better
-    than the future leaks: forward beyond ``strong`` and ``times`` the backward one."""
+    than the future leaks: forward beyond ``strong`` and ``times`` the backward one; a constant's NaN is beyond all numbers, as in SQL."""
     w = Window.partitionBy(*keys).orderBy(time)
     moved = rows.select(*keys, target, F.lag(x).over(w).alias("__b"), F.lead(x).over(w).alias("__f"))
-    b, f = F.corr(target, "__b"), F.corr(target, "__f")
+    b, f = correlation(F.col(target), F.col("__b")), correlation(F.col(target), F.col("__f"))
     return moved.groupBy(*keys).agg(b.alias("back"), f.alias("forward"), F.coalesce((F.abs(f) > strong) & (F.abs(f) > times * F.abs(b)), F.lit(False)).cast("int").alias("leaks"))
 
 
