@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from agrolith.functions.nulls import clip, percent_departure
+from agrolith.functions.nulls import clip, correlation, percent_departure
 from agrolith.operators import grids, indices, joins
 from agrolith.operators import panel as P
 from agrolith.operators import windows as W
@@ -270,7 +270,7 @@ def f19(spark, d):
 @query("x03_spread_and_correlation", f"{M} SELECT district_id, round(avg(abs(tmax_c - tmin_c) / ((tmax_c + tmin_c) / 2)) * 100, 6) AS spread, round(corr(tmax_c, tmin_c), 6) AS r FROM monthly WHERE tmax_c + tmin_c > 0 GROUP BY 1")
 def x03(spark, d):
     a, b = F.col("tmax_c"), F.col("tmin_c")
-    return monthly(spark, d).where(a + b > 0).groupBy("district_id").agg(r6(F.avg(F.abs(a - b) / ((a + b) / 2)) * 100, "spread"), r6(F.corr(a, b), "r"))
+    return monthly(spark, d).where(a + b > 0).groupBy("district_id").agg(r6(F.avg(F.abs(a - b) / ((a + b) / 2)) * 100, "spread"), r6(correlation(a, b), "r"))
 
 
 @query("x10_member_average", "SELECT l_linenumber AS lead, round(sum(l_quantity * (l_tax + 1)) / sum(l_tax + 1), 6) AS mean, CAST(count(*) AS BIGINT) AS members FROM lineitem GROUP BY 1")
